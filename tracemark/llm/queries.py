@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import mixing, rules, sharding
+from tracemark.llm import mixing, packing, rules, sharding, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -13,11 +13,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents")).drop("reasons")
 
@@ -27,7 +41,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op6_token_file": op6_token_file,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
 }
