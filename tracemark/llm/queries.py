@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import mixing, packing, rules, sharding, tokenfile
+from tracemark.llm import embeddings, mixing, packing, quality, rules, sharding, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -28,6 +28,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -43,6 +51,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op4_embedding_near_dup": op4_embedding_near_dup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_file": op6_token_file,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
