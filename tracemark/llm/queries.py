@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import embeddings, mixing, packing, quality, rules, sharding, tokenfile
+from tracemark.llm import embeddings, mixing, packing, quality, rules, sharding, suffixes, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -40,6 +40,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents")).drop("reasons")
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op4_embedding_near_dup": op4_embedding_near_dup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_file": op6_token_file,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_mixing": op10_mixing,
 }
