@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import embeddings, mixing, packing, quality, rules, sharding, suffixes, tokenfile
+from tracemark.llm import embeddings, jaccard, mixing, packing, quality, rules, sharding, suffixes, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
@@ -55,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sharding": op3_sharding,
     "op4_embedding_near_dup": op4_embedding_near_dup,
     "op5_quality_classifier": op5_quality_classifier,
