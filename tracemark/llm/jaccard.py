@@ -28,7 +28,6 @@ but name no component; an empty table gives an empty result; only doc_id and tex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +122,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def signatures(tokens: np.ndarray, off: np.ndarray, freq: np.ndarray, band: int, seed: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, sets that fall short) of at most 4095 sets in the scheme of one band."""
+    """(signature, set, sets that fall short) of at most 2047 sets in the scheme of one band."""
     n = np.diff(off)
     bits = max(16, 3 + 2 * band)
     owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
@@ -170,8 +169,8 @@ def _index(words: int, percent: int, parts: int, seed: int):
             scheme = np.where(home + shift == band_of(n * 100 // percent), home + shift, home if not shift else -1)
             for band in np.unique(scheme[scheme >= 0]).tolist():
                 sets = np.flatnonzero(scheme == band)
-                for k in range(0, len(sets), 4000):
-                    own = sets[k : k + 4000]
+                for k in range(0, len(sets), 2000):
+                    own = sets[k : k + 2000]
                     pick = np.concatenate([np.arange(off[s], off[s + 1]) for s in own.tolist()])
                     s, i, few = signatures(tokens[pick], np.append(0, np.cumsum(n[own])), freq[pick], band, seed, percent)
                     sigs.append(s)
@@ -287,11 +286,12 @@ def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     parts = max(8, blocks)
     asked = blocked.groupBy("block").applyInArrow(_ask(words, parts), "block int, part int, keys binary, n binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "block int, part int, n binary")
-    for seed in count():
+    for seed in range(16):
         index = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_index(words, percent, parts, seed), "part int, sigs binary, ids binary, times binary")
         links = stored(spark, index.groupBy("part").applyInArrow(_meet, "a long, b long"), "candidates")
         if not links.filter("a = b").limit(1).count():  # else a set's segments don't carry the guarantee: draw others
             return links
+    raise RuntimeError("no partition of the universe gave every set enough segments")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
