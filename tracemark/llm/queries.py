@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import embeddings, jaccard, mixing, packing, quality, rules, sharding, suffixes, tokenfile
+from tracemark.llm import embeddings, jaccard, lm, mixing, packing, quality, rules, sharding, suffixes, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -53,6 +53,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents")).drop("reasons")
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_token_file": op6_token_file,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_katz_lm": op9_katz_lm,
     "op10_mixing": op10_mixing,
 }
 
