@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from tracemark.llm._blocks import planes, unplanes, with_blocks
 from tracemark.llm._components import components, roots
 from tracemark.llm._kernels import MULT, U64, mix, shingle_sets, slices
+from tracemark.llm._sieve import may_match
 from tracemark.llm._stream import complete_groups
 from tracemark.plans.storage import stored
 
@@ -307,7 +308,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     meets = F.expr("transform(sequence(0, chunks - 1), k -> struct(least(k, chunk) AS i, greatest(k, chunk) AS j))")
     placed = member.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("m", F.explode(meets)).select("row", "component", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "chunk", "key")
-    texts = rows.filter("text IS NOT NULL").select(row.alias("row"), "text").join(member.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    texts = may_match(rows.filter("text IS NOT NULL").select(row.alias("row"), "text"), member.select("row"), "row").dropDuplicates(["row"])
     sets = texts.join(placed, "row").select("component", "i", "j", "chunk", "key", "text")
     sets = sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = sets.mapInArrow(_verify_task(words, percent), "a long, b long")
