@@ -1,4 +1,4 @@
-"""Queries of the engine itself and their oracles; filled by the modules of ``tracemark.plans``."""
+"""Queries of the engine itself and their oracles."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ FLAGSHIP = "a1_stats"
 
 
 def queries() -> dict:
-    return {}
+    from tracemark.plans import queries as q
+
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tracemark.plans import queries as q
+
+    return dict(q.ORACLES)
