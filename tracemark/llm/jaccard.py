@@ -170,8 +170,8 @@ def _index(words: int, percent: int, parts: int, seed: int):
             scheme = np.where(home + shift == band_of(n * 100 // percent), home + shift, home if not shift else -1)
             for band in np.unique(scheme[scheme >= 0]).tolist():
                 sets = np.flatnonzero(scheme == band)
-                for k in range(0, len(sets), 2000):
-                    own = sets[k : k + 2000]
+                for k in range(0, len(sets), 500):
+                    own = sets[k : k + 500]
                     pick = np.concatenate([np.arange(off[s], off[s + 1]) for s in own.tolist()])
                     s, i, few = signatures(tokens[pick], np.append(0, np.cumsum(n[own])), freq[pick], band, seed, percent)
                     sigs.append(s)

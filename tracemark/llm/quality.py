@@ -203,7 +203,7 @@ def _score_task(model):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             text = batch.column(at)
-            scores = [model.value.scores(text.slice(a, e - a)) for a, e in slices(text)]
+            scores = [model.value.scores(text.slice(a, e - a)) for a, e in slices(text, 1 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names, "quality_score"])
 
     return go
