@@ -58,7 +58,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20, rows: int = 4000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``rows`` texts and about ``limit`` bytes (a longer text comes alone)."""
     _, off = text_buffer(column)
     at, n = 0, len(off) - 1

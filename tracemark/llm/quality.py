@@ -31,8 +31,8 @@ from tracemark.llm._kernels import mix, slices, text_buffer, word_gram_hashes, w
 WORD_ROWS = 1 << 15
 SHAPE_ROWS = 1 << 13
 DIM = 32
-MAX_ROWS = 8_000
-MAX_BYTES = 48 << 20
+MAX_ROWS = 5_000
+MAX_BYTES = 24 << 20
 THRESHOLD = 0.3
 _CLASS = np.zeros((256, 5), np.int32)  # upper, digit, symbol, exclamation, other ASCII punctuation
 for _k, _set in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>@=_{}[]~^+/\\", "!?", ".,;:'\"()-")):
