@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import agreement, citations, claims, consensus, gates, propagation, report, saydo, transcript
+from tracemark.operators import agreement, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -403,3 +403,127 @@ def o10_audit_sample(spark, sf):
 def q12_evidence_items(spark, sf):
     c = _checked(spark, sf).filter("status = 'verified'").join(_messages(spark, sf).select("event_id", "text"), "event_id")
     return report.evidence_items(c).select("claim_key", "n", "event_id", "span", "context", "context_offset")
+
+
+# -- derived tables -----------------------------------------------------------------------------
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
+def p15_first_by_priority(spark, sf):
+    o = table(spark, sf, "orders")
+    return summaries.first_by(o, ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c.c_custkey, coalesce(f.o_orderstatus, c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey")
+def j24_reconciled(spark, sf):
+    o = summaries.first_by(table(spark, sf, "orders").filter("o_orderkey % 3 = 0"), ["o_custkey"], [F.col("o_orderkey")]).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"))
+    return summaries.reconciled(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), o, "c_custkey", ["c_mktsegment"])
+
+
+@query("""WITH v AS (SELECT event_id % 700 AS finding, CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens, CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict, event_id % 700 % 5 AS quotes, event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified FROM events WHERE user_id % 10 < 4),
+    g AS (SELECT finding, bool_or(lens = 'reconcile' AND verdict = 'reject') AS r, bool_or(lens = 'did' AND verdict = 'reject') AS d, bool_or(lens = 'support' AND verdict = 'reject') AS s, count(*) FILTER (verdict = 'accept') AS a, max(quotes) AS q, max(verified) AS v FROM v GROUP BY finding)
+    SELECT finding, NOT r AND NOT d AND q > 0 AND q = v AS survives, a >= 2 AND NOT s AND NOT d AS strict FROM g""")
+def r7_survival(spark, sf):
+    v = table(spark, sf, "events").filter("user_id % 10 < 4").selectExpr("event_id % 700 AS finding", "CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens", "CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict", "event_id % 700 % 5 AS quotes", "event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified")
+    return summaries.survival(v)
+
+
+@query(PREPARED + """SELECT family, round, item, 'receiver' AS role, record_id, wall_time, signature FROM recv
+    UNION ALL SELECT r.family, r.round, r.item, 'reveal' AS role, min(r.record_id) AS record_id, v.reveal_time AS wall_time, v.revealer AS signature FROM reveal v JOIN rows r ON r.family = v.family AND r.round = v.round AND r.item = v.item AND r.value = v.consensus_value AND r.wall_time = v.reveal_time AND r.kind IN ('observed_prompt', 'answered', 'relayed') GROUP BY r.family, r.round, r.item, v.reveal_time, v.revealer""", "statements")
+def m14_evidence_rows(spark, sf):
+    s = _statements(spark, sf)
+    u = consensus.units(s)
+    rows = consensus.with_rounds(s, u).filter("round IS NOT NULL")
+    return summaries.evidence_rows(rows, consensus.consensus(rows, u))
+
+
+@query("SELECT CAST(floor(log10(value) * 4) AS BIGINT) AS bucket, count(*) AS n FROM events WHERE value > 0 GROUP BY 1")
+def m15_log_histogram(spark, sf):
+    return summaries.log_histogram(table(spark, sf, "events"), "value")
+
+
+@query("SELECT family, count(*) AS n FROM statements GROUP BY family ORDER BY n DESC, family LIMIT 6", "statements")
+def o8_top_families(spark, sf):
+    return summaries.top(view(spark, sf, "statements"), "family", 6)
+
+
+@query(PREPARED + "SELECT s.family, s.round, s.item, arg_min(s.signature, s.wall_time || s.record_id) AS signature, min(s.wall_time) AS wall_time FROM s JOIN u USING (family, round, item) WHERE s.signature IS NOT NULL GROUP BY ALL", "statements")
+def w7_first_mentions(spark, sf):
+    s = _statements(spark, sf)
+    m = s.filter("signature IS NOT NULL").join(consensus.units(s).select("family", "round", "item"), ["family", "round", "item"], "left_semi")
+    return summaries.first_by(m, ["family", "round", "item"], [F.col("wall_time"), F.col("record_id")]).select("family", "round", "item", "signature", "wall_time")
+
+
+@query(CHECKED + "SELECT claim_key AS finding, count(*) AS quotes, count(*) FILTER (status = 'verified') AS verified, bool_and(status = 'verified') AS all_verified FROM checked GROUP BY claim_key", "citations")
+def q9_verify_findings(spark, sf):
+    return summaries.verify_findings(_checked(spark, sf).withColumnRenamed("claim_key", "finding"))
+
+
+@query(LADDER + "SELECT agent, count(*) AS n, count(*) FILTER (category IN ('backed', 'backed_by_other_agent', 'count_differs', 'contradicted')) AS judged FROM cat GROUP BY agent HAVING count(*) FILTER (category IN ('backed', 'backed_by_other_agent', 'count_differs', 'contradicted')) >= 10", "claims", "runs")
+def r4_saydo_by_agent(spark, sf):
+    return saydo.by_agent(saydo.audit(_claims(spark, sf), _runs(spark, sf), _agents(spark)), 10).select("agent", "n", "judged")
+
+
+@query(AUDIT + "SELECT c.claim_id, min(r.agent) AS other, count(*) AS n FROM claims c JOIN runs r ON r.passed = c.passed AND r.failed = 0 AND r.passed > 0 AND r.agent <> c.agent AND r.ts_us BETWEEN c.ts_us - 7200000000 AND c.ts_us GROUP BY c.claim_id", "claims", "runs")
+def j8_other_agents_results(spark, sf):
+    c, r = view(spark, sf, "claims"), view(spark, sf, "runs").filter("failed = 0 AND passed > 0").select(F.col("agent").alias("other"), F.col("ts_us").alias("run_us"), "passed")
+    j = c.join(r, "passed").filter((F.col("other") != F.col("agent")) & F.col("run_us").between(F.col("ts_us") - 2 * HOUR, F.col("ts_us")))
+    return j.groupBy("claim_id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n"))
+
+
+_FAMILIES = [f"family-{x}{i}" for x in "ANR" for i in range(40) if i % 9]
+_IN = ", ".join(f"'{x}'" for x in _FAMILIES)
+
+
+@query(f"""@ q AS (SELECT record_id, kind, family, round, item, value, used_cache, 'In round we saw GA and ohio with ' || coalesce(value, 'x') || CASE WHEN record_id LIKE '%1-%' THEN ', cached' ELSE '' END AS quote FROM statements)
+    SELECT record_id, CASE WHEN family NOT IN ({_IN}) THEN 'family' WHEN item NOT IN ('GA', ' Georgia.', 'ohio') THEN 'item_not_in_quote' WHEN used_cache AND quote NOT LIKE '%cached' THEN 'used_cache_unsupported' END AS reason FROM q""", "statements")
+def g1_statement_rules(spark, sf):
+    s = view(spark, sf, "statements")
+    q = F.concat(F.lit("In round we saw GA and ohio with "), F.coalesce("value", F.lit("x")), F.when(F.col("record_id").like("%1-%"), ", cached").otherwise(""))
+    s = s.withColumn("quote", q).withColumns({c: F.lit(None).cast("string") for c in ("task_clock", "cohort_tier", "corrects_value")})
+    texts = s.groupBy("record_id").agg(F.concat_ws(" | ", F.collect_set("quote")).alias("text"))
+    return gates.check_statements(s, texts, _FAMILIES).select("record_id", "reason")
+
+
+BATCHES = """@ p AS (SELECT CAST(page_id AS VARCHAR) AS record_id, host AS fam, 100 + page_id * 37 % 900 AS chars, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id % 10, CAST(page_id AS VARCHAR)) AS k, page_id % 3 AS g FROM links),
+    b(g, k, bin, used, n) AS (SELECT g, k, 0, chars, 1 FROM p WHERE k = 1 UNION ALL SELECT p.g, p.k, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.bin ELSE b.bin + 1 END, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.used + p.chars ELSE p.chars END, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.n + 1 ELSE 1 END FROM b JOIN p ON p.g = b.g AND p.k = b.k + 1) """
+
+
+@query(BATCHES + "SELECT p.g, b.bin, count(*) AS n, sum(p.chars) AS chars, min(p.record_id) AS first_record FROM b JOIN p ON p.g = b.g AND p.k = b.k GROUP BY ALL", "links")
+def m2_candidate_batches(spark, sf):
+    p = view(spark, sf, "links").select(F.col("page_id").cast("string").alias("record_id"), (F.col("page_id") % 3).alias("g"), (F.col("page_id") % 10).alias("t"), (100 + F.col("page_id") * 37 % 900).alias("chars"))
+    b = transcript.greedy_bins(p, ["g"], ["t", "record_id"], "chars", 9000, 12)
+    return b.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("record_id").alias("first_record"))
+
+
+@query("""@ r AS (SELECT page_id, 'Round ' || page_id % 12 || ' value ' || page_id * 31 || ' -- Sig-' || chr(CAST(65 + page_id % 5 AS INT)) || 'x -- 12' AS text, host FROM links)
+    SELECT CAST(page_id AS VARCHAR) || '#0' AS post_id, CASE WHEN host LIKE '%.com' THEN host ELSE 'unmapped' END AS page_family, 'Sig-' || chr(CAST(65 + page_id % 5 AS INT)) || 'x' AS signature, true AS candidate FROM r""", "links")
+def m1_posts(spark, sf):
+    v = view(spark, sf, "links")
+    text = F.concat(F.lit("Round "), (F.col("page_id") % 12).cast("string"), F.lit(" value "), (F.col("page_id") * 31).cast("string"), F.lit(" -- Sig-"), F.chr((65 + F.col("page_id") % 5).cast("int")), F.lit("x -- 12"))
+    records = v.select(F.col("page_id").cast("string").alias("id"), text.alias("text"), F.array(F.struct(F.concat(F.lit("w/"), F.col("host")).alias("source_id"), F.lit("t").alias("source_date_literal"))).alias("origins"))
+    pages = v.filter("host LIKE '%.com'").select(F.concat(F.lit("w~"), F.col("host")).alias("page_key"), F.col("host").alias("page_family")).distinct()
+    return posts.build_posts(records, pages).select("post_id", "page_family", "signature", "candidate")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber <> 3), b AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber <> 5) SELECT 'a' AS side, k, n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b' AS side, k, n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def u6_row_differences(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    return gates.same_rows(li.filter("n <> 3"), li.filter("n <> 5")).select("side", "k", "n")
+
+
+@query("@ b AS (SELECT page_id % 40 AS batch, CAST(page_id % 211 AS VARCHAR) AS record_id, 3000 AS size FROM links), c AS (SELECT CAST(i AS VARCHAR) AS record_id FROM range(10, 230) t(i)) SELECT 'limit' AS fault, CAST(batch AS VARCHAR) AS key FROM b GROUP BY batch HAVING count(*) > 30 OR (sum(size) > 15000 AND count(*) > 1) UNION ALL SELECT 'repeated', record_id FROM b GROUP BY record_id HAVING count(*) > 1 UNION ALL SELECT 'missing', record_id FROM c WHERE record_id NOT IN (SELECT record_id FROM b) UNION ALL SELECT 'alien', record_id FROM b WHERE record_id NOT IN (SELECT record_id FROM c)", "links")
+def g2_batch_faults(spark, sf):
+    b = view(spark, sf, "links").select((F.col("page_id") % 40).alias("batch"), (F.col("page_id") % 211).cast("string").alias("record_id"), F.expr("repeat('x', 3000)").alias("text"))
+    return gates.batch_faults(b, spark.range(10, 230).select(F.col("id").cast("string").alias("record_id")))
+
+
+@query(f"SELECT event_id, 'u?day=' || CAST(400 + date_diff('day', DATE '2024-01-01', CAST(ts - INTERVAL 17 HOUR AS DATE)) AS VARCHAR) || '&time=' || CAST(epoch_us(ts) // 1000 AS VARCHAR) AS deeplink FROM events WHERE CAST(ts - INTERVAL 17 HOUR AS DATE) >= DATE '2024-01-01'")
+def f34_deeplinks(spark, sf):
+    days = spark.sql("SELECT date_add(DATE '2024-01-01', CAST(id AS INT)) AS date, CAST(400 + id AS INT) AS day FROM range(40)")
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return report.deeplinks(e, days, "u").filter("day IS NOT NULL").select(F.col("event_id").cast("long").alias("event_id"), "deeplink")
+
+
+@query(LADDER + "SELECT category, least(count(*), CASE category WHEN 'contradicted' THEN 5 WHEN 'backed' THEN 3 ELSE 1000000 END) AS n FROM cat GROUP BY category", "claims", "runs")
+def o11_stratified_sample(spark, sf):
+    a = saydo.audit(_claims(spark, sf), _runs(spark, sf), _agents(spark))
+    return citations.stratified_sample(a, "category", {"contradicted": 5, "backed": 3}, ["claim_id"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
