@@ -6,6 +6,7 @@ texts is handled by a fixed number of numpy calls, never by a Python loop over c
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,36 @@ LOWER[0x41:0x5B] += 32
 _POW = {_BASE: np.ones(1, U64), _INV: np.ones(1, U64)}
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and their peaks shouldn't add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy_stream(task):
+    """A mapInArrow function that releases its memory at its end."""
+
+    def go(batches):
+        yield from task(batches)
+        release_memory()
+
+    return go
+
+
+def tidy_group(task):
+    """The same for a function of one table."""
+
+    def go(table: pa.Table) -> pa.Table:
+        out = task(table)
+        release_memory()
+        return out
+
+    return go
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept."""
     have = _POW[base]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tracemark.llm._blocks import planes, unplanes, with_blocks
 from tracemark.llm._components import components, roots
-from tracemark.llm._kernels import MULT, U64, mix, shingle_sets, slices
+from tracemark.llm._kernels import MULT, U64, mix, release_memory, shingle_sets, slices, tidy_group, tidy_stream
 from tracemark.llm._sieve import may_match
 from tracemark.llm._stream import complete_groups
 from tracemark.plans.storage import stored
@@ -191,7 +191,10 @@ def _index(words: int, percent: int, parts: int, seed: int):
         if short:
             for c, v in zip(rows, (-1, b"", b"", b"")):
                 c.append(v)
-        return pa.table({"part": pa.array(rows[0], pa.int32()), **{k: pa.array(r, pa.binary()) for k, r in zip(("sigs", "ids", "times"), rows[1:])}})
+        out = pa.table({"part": pa.array(rows[0], pa.int32()), **{k: pa.array(r, pa.binary()) for k, r in zip(("sigs", "ids", "times"), rows[1:])}})
+        del s, i, part, order, sigs, ids, tokens, rows
+        release_memory()
+        return out
 
     return go
 
@@ -285,11 +288,11 @@ def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     blocked, blocks = with_blocks(docs.select("doc_id", "text").filter("text IS NOT NULL"))
     blocked = blocked.select("block", "text")
     parts = max(8, blocks)
-    asked = blocked.groupBy("block").applyInArrow(_ask(words, parts), "block int, part int, keys binary, n binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "block int, part int, n binary")
+    asked = blocked.groupBy("block").applyInArrow(tidy_group(_ask(words, parts)), "block int, part int, keys binary, n binary")
+    answers = asked.groupBy("part").applyInArrow(tidy_group(_answer), "block int, part int, n binary")
     for seed in range(16):
         index = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_index(words, percent, parts, seed), "part int, sigs binary, ids binary, times binary")
-        links = stored(spark, index.groupBy("part").applyInArrow(_meet, "a long, b long"), "candidates")
+        links = stored(spark, index.groupBy("part").applyInArrow(tidy_group(_meet), "a long, b long"), "candidates")
         if not links.filter("a = b").limit(1).count():  # else a set's segments don't carry the guarantee: draw others
             return links
     raise RuntimeError("no partition of the universe gave every set enough segments")
@@ -300,7 +303,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     row = F.xxhash64("doc_id", "text")
-    classes = stored(spark, rows.select(row.alias("row"), "doc_id", "text").mapInArrow(_class_task(words), "row long, doc_id long, n long, key long"), "sets")
+    classes = stored(spark, rows.select(row.alias("row"), "doc_id", "text").mapInArrow(tidy_stream(_class_task(words)), "row long, doc_id long, n long, key long"), "sets")
     near = components(candidate_links(rows, words, percent)).withColumnRenamed("node", "key")
     first = classes.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     member = stored(spark, near.join(first, "key"), "candidate-sets")
@@ -311,7 +314,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     texts = may_match(rows.filter("text IS NOT NULL").select(row.alias("row"), "text"), member.select("row"), "row").dropDuplicates(["row"])
     sets = texts.join(placed, "row").select("component", "i", "j", "chunk", "key", "text")
     sets = sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = sets.mapInArrow(_verify_task(words, percent), "a long, b long")
+    links = sets.mapInArrow(tidy_stream(_verify_task(words, percent)), "a long, b long")
     final = components(links).withColumnRenamed("node", "key")
     named = classes.join(final, "key", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "key")))
     least = named.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))

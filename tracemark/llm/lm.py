@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemark.llm._kernels import LOWER, MULT, U64, mix, text_buffer, word_hashes, words
+from tracemark.llm._kernels import LOWER, MULT, U64, mix, text_buffer, tidy_group, tidy_stream, word_hashes, words
 from tracemark.plans.storage import fresh_path, stored
 
 BLOCK_BYTES = 8 << 20
@@ -309,12 +309,12 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     size = blocks.select(F.explode(F.arrays_zip("train", "text")).alias("d")).agg(F.sum(F.octet_length("d.text")), F.count_if("d.train")).first()
     parts, texts = max(8, math.ceil((size[0] or 0) / PART_BYTES)), size[1]
     message = "block long, kind int, part int, keys binary, figures array<binary>"
-    asked = blocks.mapInArrow(_ask_counts(parts), message)
-    counts = _by_block(asked.groupBy("kind", "part").applyInArrow(_answer_counts, message), "lm-counts")
+    asked = blocks.mapInArrow(tidy_stream(_ask_counts(parts)), message)
+    counts = _by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer_counts), message), "lm-counts")
     stats = {k: np.zeros(LOW + 3, np.int64) for k in (1, 2)}
     back = spark.read.schema(message).parquet(counts).filter("block = -1")
     for r in back.select("kind", "keys").toLocalIterator():  # LOW + 3 numbers a part
         stats[r.kind] += np.frombuffer(r.keys, np.int64)
-    asked = blocks.mapInArrow(_ask_histories(counts, parts), message)
-    histories = _by_block(asked.groupBy("kind", "part").applyInArrow(_answer_histories, message), "lm-histories")
-    return blocks.mapInArrow(_score(counts, histories, stats, texts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = blocks.mapInArrow(tidy_stream(_ask_histories(counts, parts)), message)
+    histories = _by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer_histories), message), "lm-histories")
+    return blocks.mapInArrow(tidy_stream(_score(counts, histories, stats, texts)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

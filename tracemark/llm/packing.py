@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemark.llm._kernels import slices
+from tracemark.llm._kernels import slices, tidy_stream
 from tracemark.llm._tokens import encoder
 from tracemark.plans.storage import stored
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, end_id: int
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    state = stored(spark, rows.mapInArrow(_pack_task(tokenizer, keeps_blanks, end_id, capacity), _BIN), "pack-local")
+    state = stored(spark, rows.mapInArrow(tidy_stream(_pack_task(tokenizer, keeps_blanks, end_id, capacity)), _BIN), "pack-local")
     parts = (state.agg(F.max("part")).first()[0] or 0) + 1
     done, level = [state.filter("final")], 1
     while True:

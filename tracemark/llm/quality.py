@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tracemark.llm._kernels import mix, slices, text_buffer, word_gram_hashes, word_hashes, words
+from tracemark.llm._kernels import mix, release_memory, slices, text_buffer, word_gram_hashes, word_hashes, words
 
 WORD_ROWS = 1 << 15
 SHAPE_ROWS = 1 << 13
@@ -198,24 +199,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     return [g[2] for g in got], np.array([g[3] for g in got], float)
 
 
-def _score_task(model):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            text = batch.column(at)
-            scores = [model.value.scores(text.slice(a, e - a)) for a, e in slices(text, 1 << 20)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names, "quality_score"])
-
-    return go
+def score_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
+    """``docs`` with quality_score (0 to 1, higher is better); only the texts go through Python."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, **fitting)))
 
+    @F.arrow_udf(DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            found = [model.value.scores(text.slice(a, e - a)) for a, e in slices(text)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
+        release_memory()
 
-def score_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
-    """``docs`` with quality_score (0 to 1, higher is better)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, **fitting)))
-    docs = docs.drop("quality_score")
-    names = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score_task(model), f"{names}, quality_score double")
+    return docs.withColumn("quality_score", score(F.col("text")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -38,7 +38,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemark.llm._kernels import MULT, U64, mix, text_buffer
+from tracemark.llm._kernels import MULT, U64, mix, text_buffer, tidy_stream
 from tracemark.llm._stream import complete_groups
 from tracemark.plans.storage import stored
 
@@ -330,15 +330,15 @@ def union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _intervals(texts: DataFrame, spare: DataFrame, length: int, hot: int) -> DataFrame:
     """(row, lo, hi) for the texts (row, text) of enough bytes but for the rows of ``spare``."""
     spark = texts.sparkSession
-    found = texts.select("row", "text").mapInArrow(_anchor_task(length), "row long, h long, at long")
+    found = texts.select("row", "text").mapInArrow(tidy_stream(_anchor_task(length)), "row long, h long, at long")
     found = stored(spark, found.join(spare, "row", "left_anti"), "anchors")
     place = F.struct("row", "at")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", (F.col("n") > hot).alias("hot"))
     hits = stored(spark, found.join(again, "h"), "anchor-hits")
     spots = lambda which: hits.filter(which).groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("spots"))
-    context = texts.join(spots("NOT hot"), "row").select("row", "text", "spots").mapInArrow(_context_task(length), "h long, row long, at long, right binary, left binary")
+    context = texts.join(spots("NOT hot"), "row").select("row", "text", "spots").mapInArrow(tidy_stream(_context_task(length)), "h long, row long, at long, right binary, left binary")
     shards = context.repartition("h").sortWithinPartitions("h")
-    out = shards.mapInArrow(_shard_task(length), "row long, lo long, hi long")
+    out = shards.mapInArrow(tidy_stream(_shard_task(length)), "row long, lo long, hi long")
     if hits.filter("hot").limit(1).count():
         windows = stored(spark, texts.join(spots("hot"), "row").select("row", "text", "spots").mapInArrow(_hot_task(length), "w long, row long, p long"), "hot-windows")
         spot = F.struct("row", "p")
@@ -388,4 +388,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     marks = spans.withColumn("copies", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"), F.lit(True).alias("copies")))
     marked = rows.join(marks, "row", "left").select(*docs.columns, "spans", F.coalesce("copies", F.lit(False)).alias("copies"))
     names = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.select(*docs.columns).schema.fields)
-    return marked.mapInArrow(_cut_task(length), f"{names}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return marked.mapInArrow(tidy_stream(_cut_task(length)), f"{names}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
