@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import agreement, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
+from tracemark.operators import agreement, cases, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -527,3 +527,59 @@ def f34_deeplinks(spark, sf):
 def o11_stratified_sample(spark, sf):
     a = saydo.audit(_claims(spark, sf), _runs(spark, sf), _agents(spark))
     return citations.stratified_sample(a, "category", {"contradicted": 5, "backed": 3}, ["claim_id"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+PACKETS = """@ k AS (SELECT o_orderkey AS packet, 'f' || o_orderkey % 4 AS folder, o_custkey % 90 AS chunk, 'e' || o_custkey % 90 % 5 AS episode, 50 + o_orderkey % 500 AS n_events, 4 + o_orderkey % 30 AS claims, 5 + o_orderkey % 20 AS claims_before, o_orderkey % 8 AS deleted, o_orderkey % 3 AS flagged,
+    40 AS quotes, 28 + o_orderkey % 13 AS long_quotes, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS quotes_unverified, 3 + o_orderkey % 3 AS fifths, 10 + o_orderkey % 70 AS cited, o_orderkey % 9 AS most_reused, (o_orderkey % 17) / 100.0 AS reject_rate FROM orders) """
+
+
+def _packets(spark, sf):
+    k = F.col("o_orderkey")
+    chunk = F.col("o_custkey") % 90
+    return table(spark, sf, "orders").select(
+        k.alias("packet"), F.concat(F.lit("f"), (k % 4).cast("string")).alias("folder"), chunk.alias("chunk"), F.concat(F.lit("e"), (chunk % 5).cast("string")).alias("episode"), (50 + k % 500).alias("n_events"), (4 + k % 30).alias("claims"), (5 + k % 20).alias("claims_before"), (k % 8).alias("deleted"), (k % 3).alias("flagged"),
+        F.lit(40).alias("quotes"), (28 + k % 13).alias("long_quotes"), F.when(k % 11 == 0, 1).otherwise(0).alias("quotes_unverified"), (3 + k % 3).alias("fifths"), (10 + k % 70).alias("cited"), (k % 9).alias("most_reused"), ((k % 17) / 100).alias("reject_rate"),
+    )
+
+
+VERDICT = """v AS (SELECT *, CASE WHEN quotes_unverified > 0 OR long_quotes / 40.0 < 0.8 OR deleted / CAST(claims_before AS DOUBLE) > 0.25 OR flagged / CAST(claims AS DOUBLE) > 0.1 OR fifths < 4 OR claims < greatest(6, least(20, n_events // 15)) OR cited < greatest(15, least(60, n_events // 9)) THEN 'REVISE' ELSE 'ACCEPT' END AS verdict FROM k) """
+
+
+@query(PACKETS + ", " + VERDICT + "SELECT packet, verdict, most_reused > 6 AS reused FROM v", "links")
+def g8_packet_verdicts(spark, sf):
+    return cases.packet_verdicts(_packets(spark, sf)).select("packet", "verdict", "reused")
+
+
+@query(PACKETS + ", " + VERDICT + "SELECT folder, count(*) AS packets, count(*) FILTER (verdict = 'ACCEPT') AS accepted, coalesce(sum(claims) FILTER (verdict = 'ACCEPT'), 0) AS claims_accepted, round(avg(reject_rate) FILTER (verdict = 'ACCEPT'), 4) AS mean_reject_rate FROM v GROUP BY folder", "links")
+def g9_sweep(spark, sf):
+    return cases.sweep(cases.packet_verdicts(_packets(spark, sf)))
+
+
+@query(PACKETS + ", o AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY CASE folder WHEN 'f2' THEN 1 WHEN 'f0' THEN 2 ELSE 3 END, packet) AS r FROM k WHERE folder IN ('f2', 'f0', 'f3')) SELECT episode, count(*) AS chunks, sum(n_events) AS events, sum(claims) AS claims FROM o WHERE r = 1 GROUP BY episode", "links")
+def r1_headline_numbers(spark, sf):
+    return cases.headline_numbers(_packets(spark, sf), ["f2", "f0", "f3"])
+
+
+@query("""WITH r AS (SELECT event_id AS seq, user_id % 2 AS who, event_id % 900 AS claim, value > 5 AS verdict FROM events), f AS (SELECT who, claim, arg_min(verdict, seq) AS verdict FROM r GROUP BY who, claim),
+    p AS (SELECT a.verdict AS a, b.verdict AS b FROM f a JOIN f b ON a.claim = b.claim AND a.who = 0 AND b.who = 1), m AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS pa, avg(CASE WHEN b THEN 1.0 ELSE 0.0 END) AS pb FROM p)
+    SELECT n, round(po, 4) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 4) AS kappa FROM m""")
+def r2_audit_statistics(spark, sf):
+    r = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("a"), (F.col("user_id") % 2).cast("string")).alias("auditor"), (F.col("event_id") % 900).alias("claim"), (F.col("value") > 5).alias("verdict"))
+    return cases.audit_statistics(r, "a0", "a1")
+
+
+@query("""@ t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'from the tooltip I also captured ' ELSE 'plain ' END || page_id AS own, CASE WHEN page_id % 2 = 0 THEN 'Other words here -- Nam-One ' ELSE '' END AS prev FROM links)
+    SELECT page_id, own || ' -- Sig-Two' AS segment, page_id % 3 = 0 AS cites_evidence, page_id % 3 = 0 AS says_reproduced FROM t""", "links")
+def m13_evidence_flags(spark, sf):
+    own = F.concat(F.when(F.col("page_id") % 3 == 0, "from the tooltip I also captured ").otherwise("plain "), F.col("page_id").cast("string"))
+    prev = F.when(F.col("page_id") % 2 == 0, "Other words here -- Nam-One ").otherwise("")
+    v = view(spark, sf, "links").select("page_id", own.alias("quote"), F.concat(prev, own, F.lit(" -- Sig-Two and dashboards -- Sig-Three")).alias("text"))
+    return cases.evidence_flags(v, "text", "quote").select("page_id", F.trim("segment").alias("segment"), "cites_evidence", "says_reproduced")
+
+
+@query("""@ p AS (SELECT page_id % 60 AS r, min(page_id) AS page_id FROM links WHERE page_id % 4 <> 0 GROUP BY 1) SELECT CAST(i AS VARCHAR) AS record_id, 'b/' || 'w~' || l.host || '.html' AS url FROM range(60) t(i) LEFT JOIN p ON p.r = i LEFT JOIN links l ON l.page_id = p.page_id""", "links")
+def m17_case_links(spark, sf):
+    t = F.lit("2026-06-01T00:00:00Z")
+    p = view(spark, sf, "links").filter("page_id % 4 <> 0").select((F.col("page_id") % 60).cast("string").alias("record_id"), F.lit("1780272000").alias("wall_time"), F.concat(F.lit("w/"), F.col("host")).alias("source_id"), F.col("page_id").alias("post_id"))
+    c = spark.range(60).select(F.col("id").cast("string").alias("record_id"), t.alias("wall_time"))
+    return cases.with_links(c, p, "b/").select("record_id", "url")
