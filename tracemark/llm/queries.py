@@ -75,9 +75,21 @@ QUERIES = {
 }
 
 
+JACCARD = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, min(a.n) AS na, min(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 75 * (na + nb - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = s.doc_id), s.doc_id)) AS component_id FROM sets s
+"""
+
+
 def oracle() -> dict[str, str]:
     owners = ",".join(map(str, sharding.lookup_table(SHARDS)))
     slot = f"(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT % {sharding.TABLE_SIZE})"
     return {
+        "op2_ngram_jaccard": JACCARD,
         "op3_sharding": f"SELECT doc_id, CAST({slot} AS INTEGER) AS slot, CAST(split('{owners}', ',')[{slot} + 1] AS INTEGER) AS shard FROM documents",
     }
