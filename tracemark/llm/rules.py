@@ -26,8 +26,9 @@ SYMBOLS = "#*$%&|<>"
 STATISTICS = {
     "mean_word": (True, True, 1.0),
     "symbol_rate": (False, True, 0.05),
-    "dup_line_rate": (False, True, 0.05),
-    "repeat_rate": (False, True, 0.05),
+    "dup_line_rate": (False, True, 0.1),
+    "repeat_rate": (False, True, 0.08),
+    "stutter_rate": (False, True, 0.05),
 }
 FENCE = 4.0
 LEAST_ROWS = 200
@@ -70,17 +71,17 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-        _bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        _bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), F.size(F.filter(w, lambda x, i: (i > 0) & (F.get(w, i - 1) == x))).cast("long").alias("n_stutters"))).alias("w"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
-    return counted.select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+    return counted.select("doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "w.n_stutters")
 
 
 def _rates(counts: DataFrame) -> DataFrame:
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return counts.withColumns({"mean_word": per("word_chars", "n_words"), "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words")})
+    return counts.withColumns({"mean_word": per("word_chars", "n_words"), "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "stutter_rate": per("n_stutters", "n_words")})
 
 
 def fences(rates: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
