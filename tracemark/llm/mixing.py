@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from tracemark.plans.storage import stored
 
 WEIGHTS = (5, 2, 1)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 FAN_IN = 16
 _STATE = "doc_id long, source string, size long, whole int, p double, bucket long, copies int"
 
