@@ -3,7 +3,8 @@
 Sampling.  Every window of ``length`` bytes has an anchor: its 32-byte string of least hash (the
 leftmost of equals).  Equal windows have equal anchors at equal places, so it is enough to compare
 suffixes that start at anchors - about one byte position in 180 - together with the bytes before them.
-Anchors whose string occurs once in the corpus cannot lie in a repeated window and are dropped.
+Every window holds either the half window from its anchor on or the one up to it.  Anchors for which
+neither of these two occurs again in the corpus cannot lie in a repeated window and are dropped.
 
 Index.  The remaining anchored suffixes are dealt to shards by their anchor's hash.  Each shard keeps
 a logarithmic family of suffix arrays: a batch is sorted into two arrays (by the bytes from the anchor
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemark.llm._kernels import MULT, U64, mix, text_buffer, tidy_stream
+from tracemark.llm._sieve import may_match
 from tracemark.llm._stream import complete_groups
 from tracemark.plans.storage import stored
 
@@ -112,6 +114,17 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return h, at, first, last
 
 
+def side_hashes(data: np.ndarray, at: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Hashes of the bytes from ``before`` before to ``after`` behind each position; 0 where the text ends."""
+    out = np.zeros(len(at), U64)
+    inside = np.flatnonzero((at >= before) & (at + after <= len(data)))
+    if len(inside):
+        parts = np.ascontiguousarray(sliding_window_view(data, before + after)[at[inside] - before]).view(U64)
+        lanes = np.arange(1, parts.shape[1] + 1, dtype=U64)
+        out[inside] = mix((mix(parts + lanes * MULT[14]) * MULT[15]).sum(axis=1)) | U64(1)
+    return out
+
+
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
     data, off = text_buffer(column)
     for a, e in zip(off[:-1], off[1:]):
@@ -119,18 +132,20 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _anchor_task(length: int):
+    """(row, h, at, ahead, back): the anchors, and hashes of the half windows on either side (0: none)."""
+    half = length // 16 * 8
+    before = (length - half) // 8 * 8
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hs, ps = [], [], []
-            size = 0
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for row, data in zip(batch.column(0).to_numpy(zero_copy_only=False), _texts(batch.column(1))):
                 h, at, _, _ = anchors(data, length)
-                rows.append(np.full(len(h), row, np.int64))
-                hs.append(h.view(np.int64))
-                ps.append(at)
-                size += len(h)
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, hs, ps)], ["row", "h", "at"])
+                sides = (side_hashes(data, at, 0, half), side_hashes(data, at, before, GRAM))
+                for c, v in zip(cols, (np.full(len(h), row, np.int64), h.view(np.int64), at, *(x.view(np.int64) for x in sides))):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["row", "h", "at", "ahead", "back"])
 
     return go
 
@@ -330,16 +345,27 @@ def union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _intervals(texts: DataFrame, spare: DataFrame, length: int, hot: int) -> DataFrame:
     """(row, lo, hi) for the texts (row, text) of enough bytes but for the rows of ``spare``."""
     spark = texts.sparkSession
-    found = texts.select("row", "text").mapInArrow(tidy_stream(_anchor_task(length)), "row long, h long, at long")
+    found = texts.select("row", "text").mapInArrow(tidy_stream(_anchor_task(length)), "row long, h long, at long, ahead long, back long")
     found = stored(spark, found.join(spare, "row", "left_anti"), "anchors")
     place = F.struct("row", "at")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h", (F.col("n") > hot).alias("hot"))
-    hits = stored(spark, found.join(again, "h"), "anchor-hits")
+
+    def again(side: str) -> DataFrame:
+        some = found.filter(F.col(side) != 0)
+        twice = some.groupBy(side).agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select(side)
+        return some.join(twice, side, "left_semi").select("row", "h", "at")
+
+    hits = stored(spark, again("ahead").unionByName(again("back")).distinct(), "anchor-hits")
+    frequent = stored(spark, hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h"), "hot-anchors")
+    if frequent.limit(1).count():
+        hits = hits.join(frequent.withColumn("hot", F.lit(True)), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        hits = stored(spark, hits, "anchor-hits")
+    else:
+        hits = hits.withColumn("hot", F.lit(False))
     spots = lambda which: hits.filter(which).groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("spots"))
-    context = texts.join(spots("NOT hot"), "row").select("row", "text", "spots").mapInArrow(tidy_stream(_context_task(length)), "h long, row long, at long, right binary, left binary")
+    context = may_match(texts, hits.select("row"), "row").join(spots("NOT hot"), "row").select("row", "text", "spots").mapInArrow(tidy_stream(_context_task(length)), "h long, row long, at long, right binary, left binary")
     shards = context.repartition("h").sortWithinPartitions("h")
     out = shards.mapInArrow(tidy_stream(_shard_task(length)), "row long, lo long, hi long")
-    if hits.filter("hot").limit(1).count():
+    if frequent.limit(1).count():
         windows = stored(spark, texts.join(spots("hot"), "row").select("row", "text", "spots").mapInArrow(_hot_task(length), "w long, row long, p long"), "hot-windows")
         spot = F.struct("row", "p")
         twice = windows.groupBy("w").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a <> b").select("w")
