@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.llm import jaccard, mixing, packing, quality, suffixes
+from tracemark.llm._sieve import may_match, no_match
 from tracemark.plans.storage import stored
 
 ROW = "pipeline_row"
@@ -32,11 +33,14 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of similar documents."""
-    found = jaccard.similar_components(docs)
-    first = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("component_id").agg(F.min("row").alias(ROW)).select(ROW)
-    apart = found.filter("n_shingles = 0 OR doc_id IS NULL").select(F.col("row").alias(ROW))
-    kept = stored(spark, first.unionAll(apart).distinct(), "kept-documents")
-    return _rows(docs).join(kept, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+    found = stored(spark, jaccard.similar_components(docs), "similar")
+    first = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    verdict = found.join(first, "row", "left").groupBy(F.col("row").alias(ROW)).agg(F.max(F.coalesce("first", F.lit(False)) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()).alias("pipeline_keep"), F.count(F.lit(1)).alias("pipeline_n"))
+    touched = stored(spark, verdict.filter("NOT pipeline_keep OR pipeline_n > 1").select(ROW, "pipeline_keep"), "near-duplicates")
+    rows = _rows(docs)
+    # only documents that go or occur twice need the join; a bitmap keeps most others out of its shuffle
+    some = may_match(rows, touched, ROW).join(touched, ROW, "left").filter(F.coalesce("pipeline_keep", F.lit(True))).dropDuplicates([ROW])
+    return no_match(rows, touched, ROW).select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
