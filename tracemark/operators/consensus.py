@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
+from tracemark.plans.storage import stored
 
 FIRST_HAND = ("observed_prompt", "answered")
 AHEAD = ("predicted", "relayed")
@@ -18,6 +19,15 @@ UNIT = ["family", "round", "item"]
 _ORDER = ["wall_time", "record_id"]
 
 
+def _base(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(units, statements with rounds, those of them that have one), kept as tables: all metrics below
+    read them several times, and the normal forms and the units are worked out once."""
+    s = stored(s.sparkSession, s, "statements")
+    u = stored(s.sparkSession, units(s), "units")
+    every = stored(s.sparkSession, with_rounds(s, u), "rounds")
+    return u, every, every.filter("round IS NOT NULL")
+
+
 def prepared(statements: DataFrame) -> DataFrame:
     """Statements with a usable time; item and value in normal form."""
     s = statements.withColumn("wall_time", T.norm_time(F.col("wall_time"))).filter("wall_time <> ''")
@@ -78,8 +88,7 @@ def receivers(s: DataFrame, r: DataFrame) -> DataFrame:
 
 def unit_table(s: DataFrame) -> DataFrame:
     """One row per unit with consensus, reveal and its receivers' counts."""
-    u = units(s)
-    rows = with_rounds(s, u).filter("round IS NOT NULL")
+    u, _, rows = _base(s)
     r = reveals(rows, consensus(rows, u))
     n = receivers(rows, r).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("receivers"), F.count_if("exposed").alias("exposed"), F.count_if("confirmed").alias("confirmed_use"))
     return r.join(n, UNIT, "left").fillna(0, ["receivers", "exposed", "confirmed_use"])
@@ -87,9 +96,7 @@ def unit_table(s: DataFrame) -> DataFrame:
 
 def totals(s: DataFrame) -> DataFrame:
     """The metrics document's headline figures, one row."""
-    u = units(s)
-    every = with_rounds(s, u)
-    rows = every.filter("round IS NOT NULL")
+    u, every, rows = _base(s)
     r = reveals(rows, consensus(rows, u))
     v = receivers(rows, r)
     a = v.agg(F.count(F.lit(1)).alias("receiver_rounds"), F.count_if("exposed").alias("exposed_upper"), F.count_if("confirmed").alias("confirmed_use"), F.round(F.median("lead_minutes"), 4).alias("lead_minutes_median"))
@@ -105,8 +112,7 @@ def totals(s: DataFrame) -> DataFrame:
 
 def wrong_values(s: DataFrame) -> DataFrame:
     """Other values of a unit, with their distinct signers; without a consensus every value is other."""
-    u = units(s)
-    rows = with_rounds(s, u).filter("round IS NOT NULL")
+    u, _, rows = _base(s)
     said = _signed(rows).filter(F.col("kind").isin(*FIRST_HAND, "relayed") & F.col("value").isNotNull())
     j = said.join(consensus(rows, u), UNIT).filter(~F.col("value").eqNullSafe(F.col("consensus_value")))
     return j.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n_signatures"))
@@ -114,8 +120,8 @@ def wrong_values(s: DataFrame) -> DataFrame:
 
 def wrong_predictions(s: DataFrame) -> DataFrame:
     """Predicted items that aren't units although their family and round has one."""
-    u = units(s)
-    p = with_rounds(s, u).filter("kind = 'predicted' AND round IS NOT NULL").join(u.select(*UNIT), UNIT, "left_anti").join(u.select("family", "round"), ["family", "round"], "left_semi")
+    u, _, rows = _base(s)
+    p = rows.filter("kind = 'predicted'").join(u.select(*UNIT), UNIT, "left_anti").join(u.select("family", "round"), ["family", "round"], "left_semi")
     return p.groupBy(*UNIT).agg(F.sort_array(F.collect_set("value")).alias("values"), F.countDistinct(F.nullif("signature", F.lit(""))).alias("n_signatures"), F.min("wall_time").alias("first_time"))
 
 
@@ -124,8 +130,7 @@ def foreknowledge(s: DataFrame) -> DataFrame:
 
     The earlier rows of others are found from the two earliest signers of a unit, not by a self-join.
     """
-    u = units(s)
-    rows = with_rounds(s, u).filter("round IS NOT NULL")
+    u, _, rows = _base(s)
     c = consensus(rows, u)
     fh = first_hand(rows, u).select(*UNIT, "signature", F.col("wall_time").alias("fh_time"), F.col("record_id").alias("fh_record"))
     ahead = _signed(rows).filter(F.col("kind").isin(*AHEAD)).join(fh, [*UNIT, "signature"]).filter("wall_time < fh_time AND record_id <> fh_record").join(c.select(*UNIT, "consensus_value"), UNIT)
