@@ -31,13 +31,14 @@ class PieceEncoder:
     ``keeps_blanks``: white space is part of the ids (byte-level vocabularies), else it is dropped.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool):
+    def __init__(self, path: str, keeps_blanks: bool, cache_pieces: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_blanks = keeps_blanks
+        self.cache_pieces = cache_pieces or CACHE_PIECES
         self.pieces = re.compile(_KEEPING if keeps_blanks else _DROPPING).findall
         self.glue = _DIVIDER if keeps_blanks else f" {_DIVIDER} "
         ids = self.tokenizer.encode(_DIVIDER, add_special_tokens=False).ids
@@ -70,7 +71,7 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         have = self.cache
-        if len(have) > CACHE_PIECES:
+        if len(have) > self.cache_pieces:
             self.older, self.cache = have, {}
             have = self.cache
         odd = [i for i, t in enumerate(texts) if _UNSURE.search(t)]
@@ -91,12 +92,12 @@ class PieceEncoder:
         return [whole[i] if i in whole else b"".join(map(get, c)) for i, c in enumerate(cut)]
 
 
-_KEPT: dict[tuple[str, bool], PieceEncoder] = {}
+_KEPT: dict[tuple[str, bool, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_blanks: bool) -> PieceEncoder:
+def encoder(path: str, keeps_blanks: bool, cache_pieces: int | None = None) -> PieceEncoder:
     """The task's encoder; a worker keeps it for its next tasks."""
-    key = (path, keeps_blanks)
+    key = (path, keeps_blanks, cache_pieces)
     if key not in _KEPT:
-        _KEPT[key] = PieceEncoder(path, keeps_blanks)
+        _KEPT[key] = PieceEncoder(path, keeps_blanks, cache_pieces)
     return _KEPT[key]

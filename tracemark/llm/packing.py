@@ -90,11 +90,11 @@ def _emit(bins: list[list[int]], fill: np.ndarray, items: pa.ListArray, lengths:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(bins), part, np.int64)), pa.array(fill), pa.array(_final(fill, capacity, last)), pieces], ["bin", "part", "fill", "final", "pieces"])
 
 
-def _pack_task(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int):
+def _pack_task(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int, cache_pieces: int | None):
     tail = np.array([end_id], "<u4").tobytes()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, keeps_blanks)
+        encode = encoder(tokenizer, keeps_blanks, cache_pieces)
         cols: list[list] = [[], [], [], [], []]
         for batch in batches:
             for a, e in slices(batch.column(1), 1 << 20):
@@ -135,11 +135,14 @@ def _merge_group(level: int, capacity: int, last: bool):
     return go
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, end_id: int = 0, capacity: int = CAPACITY, cache_pieces: int | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``cache_pieces``: fewer known pieces take less of a worker's memory and more of its time.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    state = stored(spark, rows.mapInArrow(tidy_stream(_pack_task(tokenizer, keeps_blanks, end_id, capacity)), _BIN), "pack-local")
+    state = stored(spark, rows.mapInArrow(tidy_stream(_pack_task(tokenizer, keeps_blanks, end_id, capacity, cache_pieces)), _BIN), "pack-local")
     parts = (state.agg(F.max("part")).first()[0] or 0) + 1
     done, level = [state.filter("final")], 1
     while True:
