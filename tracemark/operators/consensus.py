@@ -53,7 +53,7 @@ def consensus(s: DataFrame, u: DataFrame) -> DataFrame:
     """(unit, consensus_value): most distinct first-hand signers, then the earliest."""
     votes = _signed(s).filter(F.col("kind").isin(*FIRST_HAND) & F.col("value").isNotNull()).join(u.select(*UNIT), UNIT, "left_semi")
     n = votes.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n"), F.min(F.struct(*_ORDER)).alias("first"))
-    best = n.groupBy(*UNIT).agg(F.min_by("value", F.struct(-F.col("n"), F.col("first"))).alias("consensus_value"))
+    best = n.groupBy(*UNIT).agg(F.min_by("value", F.struct(-F.col("n"), F.col("first"), F.col("value"))).alias("consensus_value"))
     return u.join(best, UNIT, "left")
 
 

@@ -151,9 +151,9 @@ PREPARED = """@ states(name, code) AS (VALUES ('georgia', 'GA'), ('ohio', 'OH'))
     every AS (SELECT s.* REPLACE (coalesce(s.round, o.r) AS round) FROM s LEFT JOIN only_round o ON o.family = s.family AND o.item = s.item),
     rows AS (SELECT * FROM every WHERE round IS NOT NULL),
     votes AS (SELECT family, round, item, value, count(DISTINCT signature) AS n, min(wall_time) AS first_time FROM rows WHERE kind IN ('observed_prompt', 'answered') AND value IS NOT NULL AND signature IS NOT NULL GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY family, round, item ORDER BY n DESC, first_time, (SELECT min(r.record_id) FROM rows r WHERE r.family = votes.family AND r.round = votes.round AND r.item = votes.item AND r.value = votes.value AND r.wall_time = votes.first_time AND r.signature IS NOT NULL AND r.kind IN ('observed_prompt', 'answered'))) AS k FROM votes),
+    best AS (SELECT *, row_number() OVER (PARTITION BY family, round, item ORDER BY n DESC, first_time, (SELECT min(r.record_id) FROM rows r WHERE r.family = votes.family AND r.round = votes.round AND r.item = votes.item AND r.value = votes.value AND r.wall_time = votes.first_time AND r.signature IS NOT NULL AND r.kind IN ('observed_prompt', 'answered')), value) AS k FROM votes),
     cons AS (SELECT u.*, b.value AS consensus_value FROM u LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (family, round, item)),
-    carriers AS (SELECT r.family, r.round, r.item, r.wall_time, r.signature, row_number() OVER (PARTITION BY r.family, r.round, r.item ORDER BY r.wall_time, r.record_id) AS k FROM rows r JOIN cons c ON c.family = r.family AND c.round = r.round AND c.item = r.item AND c.consensus_value = r.value WHERE r.kind IN ('observed_prompt', 'answered', 'relayed')),
+    carriers AS (SELECT r.family, r.round, r.item, r.wall_time, r.signature, row_number() OVER (PARTITION BY r.family, r.round, r.item ORDER BY r.wall_time, r.record_id, r.signature NULLS FIRST) AS k FROM rows r JOIN cons c ON c.family = r.family AND c.round = r.round AND c.item = r.item AND c.consensus_value = r.value WHERE r.kind IN ('observed_prompt', 'answered', 'relayed')),
     reveal AS (SELECT c.*, x.wall_time AS reveal_time, x.signature AS revealer FROM cons c LEFT JOIN (SELECT * FROM carriers WHERE k = 1) x USING (family, round, item)),
     fh AS (SELECT r.family, r.round, r.item, r.signature, r.wall_time, r.record_id, bool_or(r.used_cache) OVER (PARTITION BY r.family, r.round, r.item, r.signature) AS any_cache, row_number() OVER (PARTITION BY r.family, r.round, r.item, r.signature ORDER BY r.wall_time, r.record_id) AS k
            FROM rows r JOIN u USING (family, round, item) WHERE r.kind IN ('observed_prompt', 'answered') AND r.signature IS NOT NULL),
@@ -445,11 +445,11 @@ def o8_top_families(spark, sf):
     return summaries.top(view(spark, sf, "statements"), "family", 6)
 
 
-@query(PREPARED + "SELECT s.family, s.round, s.item, arg_min(s.signature, s.wall_time || s.record_id) AS signature, min(s.wall_time) AS wall_time FROM s JOIN u USING (family, round, item) WHERE s.signature IS NOT NULL GROUP BY ALL", "statements")
+@query(PREPARED + "SELECT s.family, s.round, s.item, arg_min(s.signature, s.wall_time || s.record_id || s.signature) AS signature, min(s.wall_time) AS wall_time FROM s JOIN u USING (family, round, item) WHERE s.signature IS NOT NULL GROUP BY ALL", "statements")
 def w7_first_mentions(spark, sf):
     s = _statements(spark, sf)
     m = s.filter("signature IS NOT NULL").join(consensus.units(s).select("family", "round", "item"), ["family", "round", "item"], "left_semi")
-    return summaries.first_by(m, ["family", "round", "item"], [F.col("wall_time"), F.col("record_id")]).select("family", "round", "item", "signature", "wall_time")
+    return summaries.first_by(m, ["family", "round", "item"], [F.col("wall_time"), F.col("record_id"), F.col("signature")]).select("family", "round", "item", "signature", "wall_time")
 
 
 @query(CHECKED + "SELECT claim_key AS finding, count(*) AS quotes, count(*) FILTER (status = 'verified') AS verified, bool_and(status = 'verified') AS all_verified FROM checked GROUP BY claim_key", "citations")
