@@ -287,7 +287,7 @@ def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     blocked, blocks = with_blocks(docs.select("doc_id", "text").filter("text IS NOT NULL"))
     blocked = blocked.select("block", "text")
-    parts = max(8, blocks)
+    parts = max(8, -(-blocks // 2))
     asked = blocked.groupBy("block").applyInArrow(tidy_group(_ask(words, parts)), "block int, part int, keys binary, n binary")
     answers = asked.groupBy("part").applyInArrow(tidy_group(_answer), "block int, part int, n binary")
     for seed in range(16):
