@@ -49,7 +49,7 @@ VIEWS = {
         FROM events WHERE event_type <> 'view'""",
     "claims": f"""
         SELECT event_id AS claim_id, concat('agent-', CAST(user_id % 14 AS STRING)) AS agent, {{US(ts)}} AS ts_us, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value) AS INT) % 30 END AS passed
-        FROM events WHERE event_type = 'view' AND event_id % 5 < 2""",
+        FROM events WHERE event_type = 'view'""",
     "ratings": "SELECT doc_id, quality = 1 AS a, toxic = 1 OR doc_id % 9 < 7 AS b FROM labels",
     "links": "SELECT page_id, url, regexp_replace(url, '^https?://([^/]*).*$', '$1') AS host FROM pages",
 }
