@@ -67,3 +67,33 @@ def test_claim_tables_count_every_view(spark, audit):
     agents, n = Counter(a[0] for a in audit.values() if a[3] in JUDGED), Counter(a[0] for a in audit.values())
     assert {(r.agent, r.n, r.judged) for r in _rows(spark, "r4_saydo_by_agent")} == {(a, n[a], k) for a, k in agents.items() if k >= 10}
     assert {r.category: r.n for r in _rows(spark, "o11_stratified_sample")} == {k: min(v, {"contradicted": 5, "backed": 3}.get(k, v)) for k, v in found.items()}
+
+
+def test_every_message_is_a_centre(spark):
+    rooms = defaultdict(list)
+    for m in _table(spark, "conversations", "conv_id", "turn", "concat('chat:msg:', md5(concat(conv_id, '-', turn))) AS id"):
+        rooms[None if m.conv_id % 11 == 0 else m.conv_id % 7].append(((m.conv_id % 40) * HOURS + m.turn * 60_000_000 + m.conv_id * 1000, m.id))
+    want = Counter()
+    for x in rooms.values():
+        x.sort()
+        want.update((x[k][1], j - k, x[j][1]) for k in range(len(x)) for j in range(max(0, k - 2), min(len(x), k + 4)))
+    assert Counter(map(tuple, _rows(spark, "q6_context_windows"))) == want
+
+
+def test_every_order_receipt_and_verdict_counts(spark):
+    orders = sorted(map(tuple, _table(spark, "orders", "o_orderkey", "o_totalprice")))
+    fifths = {min(4, k * 5 // len(orders)) for k, (_, price) in enumerate(orders) if price > 300_000}
+    assert _rows(spark, "a28_quintile_coverage")[0].fifths == len(fifths)
+    events = _table(spark, "events", "event_id AS id", "value AS v")
+    read = defaultdict(set)
+    for e in events:
+        read[e.id % 500] |= {x for x in range(e.id % 40, e.id % 40 + e.id % 3 + 1) if x < 40}
+    assert {r.chunk: (r.lines, r.read, r.coverage) for r in _rows(spark, "g7_receipt_coverage")} == {c: (40, len(read[c]), round(len(read[c]) / 40, 4)) for c in range(500)}
+    verdicts = defaultdict(list)
+    for e in events:
+        verdicts[e.id % 700].append((("reconcile", "did", "support")[e.id % 3], "reject" if e.v > 30 else "accept" if e.v > 8 else "unsure"))
+    want = {}
+    for f, x in verdicts.items():
+        no, accepts = {lens for lens, v in x if v == "reject"}, sum(v == "accept" for _, v in x)
+        want[f] = (not no & {"reconcile", "did"} and f % 5 > 0 and f % 8 > 0, accepts >= 2 and not no & {"support", "did"})
+    assert {r.finding: (r.survives, r.strict) for r in _rows(spark, "r7_survival")} == want

@@ -116,10 +116,10 @@ def w14_transcript_chunks(spark, sf):
 
 
 @query("""@ placed AS (SELECT event_id, channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts_us, event_id) AS k FROM messages)
-    SELECT a.event_id AS centre, CAST(b.k - a.k AS INT) AS place, b.event_id FROM placed a JOIN messages m ON m.event_id = a.event_id JOIN placed b ON b.channel_id IS NOT DISTINCT FROM a.channel_id AND b.k BETWEEN a.k - 2 AND a.k + 3 WHERE m.conv_id % 10 = 3 AND m.turn = 0""", "messages")
+    SELECT a.event_id AS centre, CAST(b.k - a.k AS INT) AS place, b.event_id FROM placed a JOIN messages m ON m.event_id = a.event_id JOIN placed b ON b.channel_id IS NOT DISTINCT FROM a.channel_id AND b.k BETWEEN a.k - 2 AND a.k + 3""", "messages")
 def q6_context_windows(spark, sf):
     m = _messages(spark, sf)
-    return transcript.context_windows(m, m.filter("conv_id % 10 = 3 AND turn = 0"), 2, 3)
+    return transcript.context_windows(m, m, 2, 3)
 
 
 TRACE = f"""@ uses AS (SELECT DISTINCT ON (host, page_id) lower(regexp_replace(host, '^www\\.', '')) AS unit, page_id, {START} + page_id * {HOUR} AS ts_us, 'web:' || (page_id * 7 % 23) AS actor FROM links WHERE length(regexp_replace(host, '^www\\.', '')) >= 8),
@@ -344,17 +344,17 @@ def j23_compare_maps(spark, sf):
     return gates.compare(c.filter("k % 7 <> 0"), c.filter("k % 11 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("v"))), "k", "v")
 
 
-@query("WITH r AS (SELECT event_id % 500 AS chunk, event_id % 40 AS lo, event_id % 40 + event_id % 3 AS hi FROM events WHERE event_id % 4 = 0), l AS (SELECT c AS chunk, i AS line FROM range(500) t(c), range(40) u(i)) SELECT l.chunk, count(*) AS lines, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.chunk = l.chunk AND l.line BETWEEN r.lo AND r.hi)) AS read, round(count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.chunk = l.chunk AND l.line BETWEEN r.lo AND r.hi)) / count(*), 4) AS coverage FROM l GROUP BY l.chunk")
+@query("WITH r AS (SELECT event_id % 500 AS chunk, event_id % 40 AS lo, event_id % 40 + event_id % 3 AS hi FROM events), l AS (SELECT c AS chunk, i AS line FROM range(500) t(c), range(40) u(i)) SELECT l.chunk, count(*) AS lines, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.chunk = l.chunk AND l.line BETWEEN r.lo AND r.hi)) AS read, round(count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.chunk = l.chunk AND l.line BETWEEN r.lo AND r.hi)) / count(*), 4) AS coverage FROM l GROUP BY l.chunk")
 def g7_receipt_coverage(spark, sf):
-    r = table(spark, sf, "events").filter("event_id % 4 = 0").selectExpr("event_id % 500 AS chunk", "event_id % 40 AS lo", "event_id % 40 + event_id % 3 AS hi")
+    r = table(spark, sf, "events").selectExpr("event_id % 500 AS chunk", "event_id % 40 AS lo", "event_id % 40 + event_id % 3 AS hi")
     lines = spark.range(500).select(F.col("id").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("line"))
     return gates.receipt_coverage(lines, r)
 
 
-@query("WITH o AS (SELECT o_orderkey, least(4, (row_number() OVER (ORDER BY o_orderkey) - 1) * 5 // count(*) OVER ()) AS fifth, o_totalprice FROM orders) SELECT count(DISTINCT fifth) AS fifths FROM o WHERE o_totalprice > 300000 AND o_orderkey % 97 = 1")
+@query("WITH o AS (SELECT o_orderkey, least(4, (row_number() OVER (ORDER BY o_orderkey) - 1) * 5 // count(*) OVER ()) AS fifth, o_totalprice FROM orders) SELECT count(DISTINCT fifth) AS fifths FROM o WHERE o_totalprice > 300000")
 def a28_quintile_coverage(spark, sf):
     o = table(spark, sf, "orders")
-    return gates.quintile_coverage(o.filter("o_totalprice > 300000 AND o_orderkey % 97 = 1").select("o_orderkey"), ["o_orderkey"], o.select("o_orderkey"))
+    return gates.quintile_coverage(o.filter("o_totalprice > 300000").select("o_orderkey"), ["o_orderkey"], o.select("o_orderkey"))
 
 
 @query(CHECKED + "SELECT max(n) AS most FROM (SELECT ref, quote, count(*) AS n FROM checked GROUP BY ref, quote)", "citations")
@@ -418,11 +418,11 @@ def j24_reconciled(spark, sf):
     return summaries.reconciled(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), o, "c_custkey", ["c_mktsegment"])
 
 
-@query("""WITH v AS (SELECT event_id % 700 AS finding, CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens, CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict, event_id % 700 % 5 AS quotes, event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified FROM events WHERE user_id % 10 < 4),
+@query("""WITH v AS (SELECT event_id % 700 AS finding, CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens, CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict, event_id % 700 % 5 AS quotes, event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified FROM events),
     g AS (SELECT finding, bool_or(lens = 'reconcile' AND verdict = 'reject') AS r, bool_or(lens = 'did' AND verdict = 'reject') AS d, bool_or(lens = 'support' AND verdict = 'reject') AS s, count(*) FILTER (verdict = 'accept') AS a, max(quotes) AS q, max(verified) AS v FROM v GROUP BY finding)
     SELECT finding, NOT r AND NOT d AND q > 0 AND q = v AS survives, a >= 2 AND NOT s AND NOT d AS strict FROM g""")
 def r7_survival(spark, sf):
-    v = table(spark, sf, "events").filter("user_id % 10 < 4").selectExpr("event_id % 700 AS finding", "CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens", "CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict", "event_id % 700 % 5 AS quotes", "event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified")
+    v = table(spark, sf, "events").selectExpr("event_id % 700 AS finding", "CASE event_id % 3 WHEN 0 THEN 'reconcile' WHEN 1 THEN 'did' ELSE 'support' END AS lens", "CASE WHEN value > 30 THEN 'reject' WHEN value > 8 THEN 'accept' ELSE 'unsure' END AS verdict", "event_id % 700 % 5 AS quotes", "event_id % 700 % 5 - CASE WHEN event_id % 700 % 8 = 0 THEN 1 ELSE 0 END AS verified")
     return summaries.survival(v)
 
 
