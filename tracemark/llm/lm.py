@@ -1,22 +1,25 @@
 """Katz backoff scoring: Good-Turing discounted counts, exactly normalised backoff weights.
 
-A bigram seen r > 0 times has the probability d_r r / c(h); the mass that the discounts free goes to
-the unseen followers of h in proportion to their unigram probability, with the weight
-``alpha(h) = (1 - sum of seen) / (1 - sum of the unigram probabilities of the seen)``.  Unigrams are
+An n-gram seen r > 0 times has the probability d_r r / c(h) after its history h of n - 1 words; the mass that
+the discounts free goes to the unseen followers of h in proportion to their probability after h', which is h
+without its first word, with the weight ``alpha(h) = (1 - sum of seen) / (1 - sum of the seen after h')``.  Unigrams are
 discounted in the same way and leave their mass to the unknown word.  A history without low counts
-frees one count (its denominator grows by one), so nothing ever has probability 0.
+frees one count (its denominator grows by one), so nothing ever has probability 0.  A text starts with one
+start token, so its first words have the shorter histories that there are.
 
 The counts live in tables that are partitioned by key.  Documents are gathered in blocks (one row
 each, so a block never splits).  A block asks the parts for its distinct keys, in sorted order, and a
 part answers in that order: a key crosses the network once per block, however often it occurs.  Of the
-blocks that hold a bigram the first one owns it and adds it to the sums of its history, which are
-exchanged in a second round.  Every count comes from all training documents.
+blocks that hold an n-gram the first one owns it and adds it to the sums of its history, which are
+exchanged a round later.  Every count comes from all training documents.  An answer also says whether no other
+block asked: all that starts or ends with such an n-gram lies in this block too and is counted there, not asked.
 
-    round 1   words and bigrams -> training counts, ownership, counts of counts
-    round 2   histories -> followers by count, and by the count of the follower itself
-    scoring   per token: bigram, else alpha(h) x (unigram, else unknown)
+    round 1       words and bigrams -> training counts, ownership, counts of counts
+    round k > 1   (k + 1)-grams likewise; histories of k-grams -> followers by count, and by the count of the
+                  same follower after h'
+    scoring       per token: n-gram, else alpha(h) x (next shorter, ..., unigram, else unknown)
 
-The driver holds 16 counts of counts.  Keys are 64-bit hashes; messages are sorted, differenced, and
+The driver holds 8 figures an order.  Keys are 64-bit hashes; messages are sorted, differenced, and
 compressed.  Answers are read back by block from the shared folder.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as training text;
@@ -41,8 +44,10 @@ from pyspark.sql import functions as F
 from tracemark.llm._kernels import LOWER, MULT, U64, mix, text_buffer, tidy_group, tidy_stream, word_hashes, words
 from tracemark.plans.storage import fresh_path, stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 PART_BYTES = 16 << 20
+ORDER = 3  # of the registered query
+HISTORIES = 100  # kind of the histories of n-grams, less n
 LOW = 5  # counts up to this are discounted
 END, START = U64(0x1B873593CC9E2D51), U64(0xE6546B64A54FF53B)
 _BLOCK = "block long, doc_id array<long>, train array<boolean>, text array<string>"
@@ -88,21 +93,17 @@ class Unigrams:
         self.den = total if freed > 0 else total + 1
         self.unknown = (freed or 1.0) / self.den
 
-    def low(self) -> np.ndarray:
-        """Probabilities of words with the counts 1 .. LOW."""
-        return self.d[1:] * np.arange(1, LOW + 1) / self.den
-
     def __call__(self, c: np.ndarray) -> np.ndarray:
         d = np.where(c <= LOW, self.d[np.minimum(c, LOW)], 1.0)
         return np.where(c > 0, d * c / self.den, self.unknown)
 
 
-def backoff(ch: np.ndarray, low: np.ndarray, own_low: np.ndarray, own_high: np.ndarray, d: np.ndarray, uni: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """(denominator, alpha) of histories with ch tokens; low[:, j-1] followers seen j times,
-    own_low[:, j-1] followers whose own count is j, own_high the sum of the higher own counts."""
-    freed = (low * ((1 - d[1:]) * np.arange(1, LOW + 1))).sum(axis=1)
+def backoff(ch: np.ndarray, low: list[np.ndarray], own_low: list[np.ndarray], own_high: np.ndarray, d: np.ndarray, shorter: np.ndarray, den_shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(denominator, alpha) of histories with ch tokens; low[j - 1] followers seen j times, own_low[j - 1] followers
+    seen j times after the shorter history (discounts ``shorter``, denominator den_shorter), own_high the sum of the higher ones."""
+    freed = sum(f * ((1 - d[j]) * j) for j, f in enumerate(low, 1))
     den = np.where(freed > 0, ch, ch + 1).astype(float)
-    seen = own_low @ uni.low() + own_high / uni.den
+    seen = (sum(f * (shorter[j] * j) for j, f in enumerate(own_low, 1)) + own_high) / den_shorter
     alpha = np.where(freed > 0, freed, 1.0) / den / np.maximum(1 - seen, 1e-12)
     return den, np.where(ch > 0, alpha, 1.0)
 
@@ -134,8 +135,60 @@ def _to_blocks(limit: int):
     return go
 
 
+def _stable_order(x: np.ndarray) -> np.ndarray:
+    """np.argsort(x, kind="stable"): the leading bits with the place behind them are sorted as plain numbers, which is
+    several times as fast; values that agree in those bits are put right afterwards."""
+    if len(x) < 2:
+        return np.arange(len(x))
+    low, bits = x.min(), (len(x) - 1).bit_length()
+    lead = min(63, 64 - int(x.max() - low).bit_length())
+    y = ((x - low) << U64(lead)) >> U64(bits)
+    y = (y << U64(bits)) | np.arange(len(x), dtype=U64)
+    y.sort()
+    order = (y & U64((1 << bits) - 1)).astype(np.int64)
+    y >>= U64(bits)
+    ranked = x[order]
+    wrong = np.flatnonzero(ranked[1:] < ranked[:-1])
+    if len(wrong) > 1000:
+        return np.argsort(x, kind="stable")
+    for k in wrong.tolist():
+        a, e = np.searchsorted(y, y[k]), np.searchsorted(y, y[k], "right")
+        order[a:e] = order[a:e][np.argsort(x[order[a:e]], kind="stable")]
+    return order
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the first place of each, and for every place the number of its value."""
+    order = _stable_order(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inv = np.empty(len(x), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], inv
+
+
+class Grams:
+    """The distinct n-grams of a block: keys, a token of each, the number of every token's n-gram (-1: none), training
+    occurrences; whether their counts are asked for; then total, owned, sole (no other block has it)."""
+
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, learnt: np.ndarray, length: int):
+        self.keys, some, inv = _distinct(hashes)
+        self.some = tokens[some]
+        self.of = np.full(length, -1)
+        self.of[tokens] = inv
+        self.n = np.bincount(inv, learnt[tokens], len(self.keys)).astype(np.int64)
+        self.asked = np.ones(len(self.keys), bool)
+
+    def answered(self, answer: np.ndarray) -> None:
+        self.total, self.owned, self.sole = self.n.copy(), np.ones(len(self.n), bool), np.ones(len(self.n), bool)
+        self.total[self.asked] = (answer >> U64(2)).astype(np.int64)
+        self.owned[self.asked] = (answer & U64(1)).astype(bool)
+        self.sole[self.asked] = (answer & U64(2)).astype(bool)
+
+
 class Block:
-    """The tokens of a block: words (with the end of each text), histories, and their keys."""
+    """The tokens of a block: words (with the end of each text), and their n-grams as far as they are asked for."""
 
     def __init__(self, batch: pa.RecordBatch, k: int):
         self.block = batch.column(0)[k].as_py()
@@ -147,11 +200,51 @@ class Block:
         n = np.diff(at) + 1
         self.word = np.insert(word_hashes(data, starts, ends), at[1:], END)
         self.owner = np.repeat(np.arange(len(n)), n)
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[np.cumsum(n) - n] = START
+        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(n) - n, n)
         self.learnt = self.train[self.owner]
-        self.bigram = mix(self.history * MULT[30] + self.word * MULT[31])
+        self.hashes, self.grams = self.word, {1: Grams(self.word, np.arange(len(self.word)), self.learnt, len(self.word))}
+
+    def add(self, n: int) -> Grams:
+        """The n-grams, from the (n-1)-grams; those with an (n-1)-gram that no other block has aren't asked for."""
+        before = np.empty_like(self.hashes)
+        before[1:] = self.hashes[:-1]
+        if n == 2:
+            before[self.place == 0] = START
+        self.hashes = mix(before * MULT[30] + self.word * MULT[31] + U64(n - 2))
+        tokens = np.flatnonzero(self.place >= n - 2)
+        g = self.grams[n] = Grams(self.hashes[tokens], tokens, self.learnt, len(self.word))
+        if n > 2:
+            short = self.grams[n - 1]
+            g.asked = ~(short.sole[short.of[g.some]] | short.sole[short.of[g.some - 1]])
+        return g
+
+    def followers(self, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Histories of the n-grams, numbered as the (n-1)-grams and START behind: (keys, history of each n-gram, the
+        figures that this block's n-grams add, numbers of the histories to ask for in the order of their keys)."""
+        g, short = self.grams[n], self.grams[n - 1]
+        last = len(short.keys)
+        h = np.where(self.place[g.some] > 0, short.of[g.some - 1], last)
+        mine = g.owned & (g.total > 0)
+        r, own, to = g.total[mine], short.total[short.of[g.some[mine]]], h[mine]
+        figures = [np.bincount(to[x == j], minlength=last + 1).astype(np.uint32) for x in (r, own) for j in range(1, LOW + 1)]
+        high = np.zeros(last + 1, np.uint64)
+        np.add.at(high, to[own > LOW], own[own > LOW].astype(np.uint64))
+        keys = np.append(short.keys, START)
+        wanted = np.zeros(last + 1, bool)
+        wanted[h] = True
+        wanted[:last] &= ~short.sole
+        ask = np.flatnonzero(wanted)
+        return keys, h, [*figures, high], ask[np.argsort(keys[ask])]
+
+
+def _known(batch: pa.RecordBatch, k: int, uris: list[str], order: int) -> tuple[Block, list[dict]]:
+    """A block with what the rounds so far have answered."""
+    b = Block(batch, k)
+    rounds = [_answers(uri, b.block) for uri in uris]
+    for n in range(1, min(len(uris) + 1, order) + 1 if uris else 1):
+        g = b.grams[1] if n == 1 else b.add(n)
+        g.answered(_joined(rounds[max(n - 2, 0)].get(n, []), 0, "<u8"))
+    return b, rounds
 
 
 def _messages(block: int, kind: int, keys: np.ndarray, figures: list[np.ndarray], parts: int) -> list[tuple]:
@@ -169,32 +262,56 @@ def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "kind", "part", "keys", "figures"])
 
 
-def _ask_counts(parts: int):
+def _stats(total: np.ndarray) -> np.ndarray:
+    """Counts of the counts 1 .. LOW + 1, the sum, and how many there are."""
+    return np.concatenate([np.bincount(total[(total > 0) & (total <= LOW + 1)], minlength=LOW + 2)[1:], [total.sum(), (total > 0).sum()]]).astype(np.int64)
+
+
+def _ask(uris: list[str], order: int, parts: int):
+    """The messages of the round after those of ``uris``."""
+    at = len(uris) + 1
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                b = Block(batch, k)
-                for kind, x in ((1, b.word), (2, b.bigram)):
-                    keys, inv = np.unique(x, return_inverse=True)
-                    n = np.bincount(inv, b.learnt, len(keys)).astype(np.uint32)
-                    yield _message_batch(_messages(b.block, kind, keys, [n], parts))
+                b, _ = _known(batch, k, uris, order)
+                for n in [1, 2] if at == 1 else [at + 1] if at < order else []:
+                    g = b.grams[1] if n == 1 else b.add(n)
+                    rows = _messages(b.block, n, g.keys[g.asked], [g.n[g.asked].astype(np.uint32)], parts)
+                    if not g.asked.all():
+                        rows.append((-1, n, b.block % parts, _stats(g.n[~g.asked]).tobytes(), []))
+                    if rows:
+                        yield _message_batch(rows)
+                if at > 1:
+                    keys, _, figures, ask = b.followers(at)
+                    if len(ask):
+                        yield _message_batch(_messages(b.block, HISTORIES + at, keys[ask], [f[ask] for f in figures], parts))
 
     return go
 
 
+def _answer(table: pa.Table) -> pa.Table:
+    return (_answer_histories if table.column("kind")[0].as_py() >= HISTORIES else _answer_counts)(table)
+
+
 def _answer_counts(table: pa.Table) -> pa.Table:
-    """Totals and ownership for every block that asked, and the part's counts of counts (block -1)."""
-    table = table.sort_by("block")
-    asked = [_unpack(x, "<u8", True) for x in table.column("keys").to_pylist()]
-    n = np.concatenate([_unpack(x[0], "<u4") for x in table.column("figures").to_pylist()])
-    keys, first, inv = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    total = np.bincount(inv, n, len(keys)).astype(np.int64)
-    answer = (total[inv] << 1).astype(np.uint64)
-    answer[first] |= U64(1)
-    cuts = np.cumsum([len(a) for a in asked])[:-1]
-    stats = np.concatenate([np.bincount(total[(total > 0) & (total <= LOW + 1)], minlength=LOW + 2)[1:], [total.sum(), (total > 0).sum()]]).astype(np.int64)
+    """Totals, ownership and whether it alone asked for every block; the part's counts of counts (block -1)."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    rows = [(b, kind, part, b"", [_pack(x)]) for b, x in zip(table.column("block").to_pylist(), np.split(answer, cuts))]
+    table = table.sort_by("block")
+    blocks = table.column("block").to_pylist()
+    alone = blocks.count(-1)
+    stats = sum((np.frombuffer(x, np.int64) for x in table.column("keys")[:alone].to_pylist()), np.zeros(LOW + 3, np.int64))
+    table, rows = table.slice(alone), []
+    if table.num_rows:
+        asked = [_unpack(x, "<u8", True) for x in table.column("keys").to_pylist()]
+        n = np.concatenate([_unpack(x[0], "<u4") for x in table.column("figures").to_pylist()])
+        keys, first, inv = _distinct(np.concatenate(asked))
+        total = np.bincount(inv, n, len(keys)).astype(np.int64)
+        answer = ((total << 2) | ((np.bincount(inv) == 1) << 1))[inv].astype(np.uint64)
+        answer[first] |= U64(1)
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        rows = [(b, kind, part, b"", [_pack(x)]) for b, x in zip(blocks[alone:], np.split(answer, cuts))]
+        stats = stats + _stats(total)
     return pa.Table.from_batches([_message_batch([*rows, (-1, kind, part, stats.tobytes(), [])])])
 
 
@@ -215,33 +332,10 @@ def _joined(parts: list[list[bytes]], k: int, dtype) -> np.ndarray:
     return np.concatenate([_unpack(f[k], dtype) for f in parts]) if parts else np.zeros(0, dtype)
 
 
-def _ask_histories(uri: str, parts: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = Block(batch, k)
-                answers = _answers(uri, b.block)
-                vocabulary = np.unique(b.word)
-                count = _joined(answers[1], 0, "<u8") >> U64(1)
-                both = _joined(answers[2], 0, "<u8")
-                _, first = np.unique(b.bigram, return_index=True)
-                mine = first[(both & U64(1)).astype(bool) & (both > 1)]
-                r = (both[(both & U64(1)).astype(bool) & (both > 1)] >> U64(1)).astype(np.int64)
-                keys = np.unique(b.history)
-                h = np.searchsorted(keys, b.history[mine])
-                own = count[np.searchsorted(vocabulary, b.word[mine])].astype(np.int64)
-                figures = [np.bincount(h[x == j], minlength=len(keys)).astype(np.uint32) for x in (r, own) for j in range(1, LOW + 1)]
-                high = np.zeros(len(keys), np.uint64)
-                np.add.at(high, h[own > LOW], own[own > LOW].astype(np.uint64))
-                yield _message_batch(_messages(b.block, 3, keys, [*figures, high], parts))
-
-    return go
-
-
 def _answer_histories(table: pa.Table) -> pa.Table:
     asked = [_unpack(x, "<u8", True) for x in table.column("keys").to_pylist()]
     figures = table.column("figures").to_pylist()
-    keys, inv = np.unique(np.concatenate(asked), return_inverse=True)
+    keys, _, inv = _distinct(np.concatenate(asked))
     cuts = np.cumsum([len(a) for a in asked])[:-1]
     columns = []
     for k in range(2 * LOW + 1):
@@ -249,34 +343,35 @@ def _answer_histories(table: pa.Table) -> pa.Table:
         total = np.zeros(len(keys), np.uint64)
         np.add.at(total, inv, np.concatenate([_unpack(f[k], kind) for f in figures]).astype(np.uint64))
         columns.append([_pack(x) for x in np.split(total[inv].astype(kind), cuts)])
-    rows = [(b, 3, p, b"", list(f)) for b, p, f in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), zip(*columns))]
+    rows = [(b, k, p, b"", list(f)) for b, k, p, f in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "part")), zip(*columns))]
     return pa.Table.from_batches([_message_batch(rows)])
 
 
-def _score(counts_uri: str, histories_uri: str, stats: dict[int, np.ndarray], texts: int):
+def _score(uris: list[str], order: int, stats: dict[int, np.ndarray], texts: int):
     total, distinct = int(stats[1][LOW + 1]), int(stats[1][LOW + 2])
     uni = Unigrams(total, stats[1][: LOW + 1])
-    d = discounts(stats[2][: LOW + 1])
+    d = {n: discounts(x[: LOW + 1]) for n, x in stats.items()}
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                b = Block(batch, k)
-                answers = _answers(counts_uri, b.block)
-                vocabulary, w = np.unique(b.word, return_inverse=True)
-                count = (_joined(answers[1], 0, "<u8") >> U64(1)).astype(np.int64)
-                _, g = np.unique(b.bigram, return_inverse=True)
-                r = (_joined(answers[2], 0, "<u8") >> U64(1)).astype(np.int64)[g]
-                keys, h = np.unique(b.history, return_inverse=True)
-                sums = _answers(histories_uri, b.block)[3]
-                low = np.stack([_joined(sums, j, "<u4").astype(float) for j in range(LOW)], axis=1)
-                own = np.stack([_joined(sums, LOW + j, "<u4").astype(float) for j in range(LOW)], axis=1)
-                at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-                ch = np.where(keys == START, texts, np.where(vocabulary[at] == keys, count[at], 0))
-                den, alpha = backoff(ch, low, own, _joined(sums, 2 * LOW, "<u8").astype(float), d, uni)
-                seen = np.where(r <= LOW, d[np.minimum(r, LOW)], 1.0) * r / np.maximum(den[h], 1)
-                c = count[w]
-                p = np.where(r > 0, seen, alpha[h] * uni(c))
+                b, rounds = _known(batch, k, uris, order)
+                c = b.grams[1].total[b.grams[1].of]
+                p, den = uni(c), np.full(len(c), float(uni.den))
+                for n in range(2, order + 1):
+                    g = b.grams[n]
+                    _, h, figures, ask = b.followers(n)
+                    for j, f in enumerate(figures):
+                        f[ask] = _joined(rounds[n - 1].get(HISTORIES + n, []), j, f.dtype)
+                    some = np.zeros(len(figures[0]), np.int64)
+                    some[h] = g.some
+                    ch = np.append(b.grams[n - 1].total, texts)
+                    den_h, alpha = backoff(ch, figures[:LOW], figures[LOW:-1], figures[-1], d[n], d[n - 1], den[some])
+                    at = np.flatnonzero(g.of >= 0)
+                    r, to = g.total[g.of[at]], h[g.of[at]]
+                    seen = np.where(r <= LOW, d[n][np.minimum(r, LOW)], 1.0) * r / den_h[to]
+                    p[at] = np.where(r > 0, seen, alpha[to] * p[at])
+                    den[at] = den_h[to]
                 n = len(b.ids)
                 base = np.log10((c + 1) / (total + distinct + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -299,8 +394,13 @@ def _by_block(answers: DataFrame, tag: str) -> str:
     return uri
 
 
-def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``order`` is the longest n-gram, 2 at least; each one more is a round more.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = fresh_path(spark, "lm-blocks")
@@ -309,12 +409,11 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     size = blocks.select(F.explode(F.arrays_zip("train", "text")).alias("d")).agg(F.sum(F.octet_length("d.text")), F.count_if("d.train")).first()
     parts, texts = max(8, math.ceil((size[0] or 0) / PART_BYTES)), size[1]
     message = "block long, kind int, part int, keys binary, figures array<binary>"
-    asked = blocks.mapInArrow(tidy_stream(_ask_counts(parts)), message)
-    counts = _by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer_counts), message), "lm-counts")
-    stats = {k: np.zeros(LOW + 3, np.int64) for k in (1, 2)}
-    back = spark.read.schema(message).parquet(counts).filter("block = -1")
-    for r in back.select("kind", "keys").toLocalIterator():  # LOW + 3 numbers a part
-        stats[r.kind] += np.frombuffer(r.keys, np.int64)
-    asked = blocks.mapInArrow(tidy_stream(_ask_histories(counts, parts)), message)
-    histories = _by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer_histories), message), "lm-histories")
-    return blocks.mapInArrow(tidy_stream(_score(counts, histories, stats, texts)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    stats, uris = {n: np.zeros(LOW + 3, np.int64) for n in range(1, order + 1)}, []
+    for k in range(1, order + 1):
+        asked = blocks.mapInArrow(tidy_stream(_ask(list(uris), order, parts)), message)
+        uris.append(_by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer), message), f"lm-round-{k}"))
+        back = spark.read.schema(message).parquet(uris[-1]).filter("block = -1")
+        for r in back.select("kind", "keys").toLocalIterator():  # LOW + 3 numbers a part
+            stats[r.kind] += np.frombuffer(r.keys, np.int64)
+    return blocks.mapInArrow(tidy_stream(_score(uris, order, stats, texts)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

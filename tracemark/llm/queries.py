@@ -54,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_texts(_table(spark, sf_dir, "documents"))
+    return lm.score_texts(_table(spark, sf_dir, "documents"), order=lm.ORDER)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
