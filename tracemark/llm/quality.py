@@ -18,6 +18,7 @@ an empty result; labels, lang, source and doc_id are no inputs of a score.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,15 +187,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     rows = rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(max_rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
     found = found.withColumn("o", F.xxhash64("doc_id", F.lit(5))).withColumn("size", F.octet_length("text"))
-    total, last = 0, None
-    for o, size in sorted((r.o, r.size) for r in found.select("o", "size").toLocalIterator()):
-        total += size
-        if total > max_bytes:
-            break
-        last = o
-    if last is None:
+    total, chosen = 0, []
+    # a text that doesn't fit is left out, those behind it aren't; rows that agree in id and size go together
+    for (o, size), n in sorted(Counter((r.o, r.size) for r in found.select("o", "size").toLocalIterator()).items()):
+        if total + n * size <= max_bytes:
+            total += n * size
+            chosen.append((o, size))
+    if not chosen:
         return [], np.zeros(0)
-    found = found.filter(F.col("o") <= F.lit(last).cast("long"))
+    pick = docs.sparkSession.createDataFrame(chosen, "o long, size int")
+    found = found.join(F.broadcast(pick), ["o", "size"])
     got = sorted((r.o, r.doc_id, r.text, r.quality) for r in found.select("o", "doc_id", "text", "quality").toLocalIterator())
     return [g[2] for g in got], np.array([g[3] for g in got], float)
 
