@@ -4,7 +4,7 @@ Fixed cut-offs suit one language and one source at most.  Here each (lang, sourc
 itself: KLL quantile sketches of a few text statistics are built per group (partial sketches merge
 before and after the shuffle, so a hot group costs no more than any other), small groups borrow the
 merged sketch of their language or of everything, and a document is rejected when a statistic lies
-beyond a fence of quartile distance.  The thresholds are joined back to the documents.
+beyond a fence that the group's own quantiles set.  The thresholds are joined back to the documents.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source is a group of
 its own; repeated rows count as often as they occur; an empty table gives an empty result; only
@@ -22,14 +22,17 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: statistic: (lower fence wanted, upper fence wanted, least quartile distance that counts)
+#: statistic: (lower fence wanted, upper quantile, share of the fence above it, least distance).  A rate is 0 in most
+#: documents, so its fence starts at an upper quantile of the group and stands off by that quantile's distance from the
+#: median; the least distance only counts where a group has no tail of its own.
 STATISTICS = {
-    "mean_word": (True, True, 1.0),
-    "symbol_rate": (False, True, 0.05),
-    "dup_line_rate": (False, True, 0.1),
-    "repeat_rate": (False, True, 0.08),
-    "stutter_rate": (False, True, 0.05),
+    "mean_word": (True, 0.75, 1.0, 0.1),
+    "symbol_rate": (False, 0.9, 1.0, 0.05),
+    "dup_line_rate": (False, 0.99, 0.25, 0.05),
+    "repeat_rate": (False, 0.99, 0.25, 0.05),
+    "stutter_rate": (False, 0.99, 0.5, 0.02),
 }
+SKETCH_K = 2048  # ranks to about 0.1 %, so that an upper quantile is one
 FENCE = 4.0
 LEAST_ROWS = 200
 
@@ -85,10 +88,14 @@ def _rates(counts: DataFrame) -> DataFrame:
 
 
 def fences(rates: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, lo_<statistic>, hi_<statistic>): from the group's own sketches, else wider ones."""
-    sketch = {s: F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS}
-    own = rates.groupBy("lang", "source").agg(F.count("mean_word").alias("n"), *sketch.values())
-    merged = [F.kll_merge_agg_double(F.col(s)).alias(s) for s in STATISTICS]
+    """(lang, source, lo_<statistic>, hi_<statistic>): from the group's own sketches, else wider ones.
+
+    The sketches hold the documents that pass the base rule: those that fail it go anyway and would stretch the tails.
+    """
+    of = {s: F.when(~F.col("base_failed"), F.col(s)) for s in STATISTICS}
+    sketch = {s: F.kll_sketch_agg_double(of[s], F.lit(SKETCH_K)).alias(s) for s in STATISTICS}
+    own = rates.groupBy("lang", "source").agg(F.count(of["mean_word"]).alias("n"), *sketch.values())
+    merged = [F.kll_merge_agg_double(F.col(s), F.lit(SKETCH_K)).alias(s) for s in STATISTICS]
     by_lang = own.filter("n > 0").groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     whole = own.filter("n > 0").groupBy().agg(F.sum("n").alias("n"), *merged)
 
@@ -99,11 +106,11 @@ def fences(rates: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS)
     pick = lambda s: F.when(F.col("o_n") >= least_rows, F.col(f"o_{s}")).when(F.col("l_n") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"w_{s}"))
     j = j.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), *[pick(s).alias(s) for s in STATISTICS])
     out = [F.col("lang"), F.col("source")]
-    for s, (low, high, floor) in STATISTICS.items():
+    for s, (low, upper, share, least) in STATISTICS.items():
         q = lambda at, s=s: F.kll_sketch_get_quantile_double(F.col(s), F.lit(at))
-        spread = F.greatest(q(0.75) - q(0.25), F.lit(floor))
-        out.append((q(0.25) - fence * spread if low else F.lit(None).cast("double")).alias(f"lo_{s}"))
-        out.append((q(0.75) + fence * spread if high else F.lit(None).cast("double")).alias(f"hi_{s}"))
+        off = F.greatest(fence * share * (q(upper) - q(0.25 if low else 0.5)), F.lit(least))
+        out.append((q(0.25) - off if low else F.lit(None).cast("double")).alias(f"lo_{s}"))
+        out.append((q(upper) + off).alias(f"hi_{s}"))
     return j.select(*out)
 
 
@@ -111,10 +118,11 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, least_rows: int = LEAST
     """One row per document: the counts, base_failed, reasons (fences crossed) and kept."""
     counts = stored(docs.sparkSession, text_statistics(docs), "rules-counts")
     rates = _rates(counts)
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rates = rates.withColumn("base_failed", base)
     limits = fences(rates, fence, least_rows)
     limits = limits.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     j = rates.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     crossed = [F.when((F.col(s) < F.col(f"lo_{s}")) | (F.col(s) > F.col(f"hi_{s}")), F.lit(s)) for s in STATISTICS]
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    j = j.withColumn("base_failed", base).withColumn("reasons", F.filter(F.array(*crossed), lambda x: x.isNotNull()))
+    j = j.withColumn("reasons", F.filter(F.array(*crossed), lambda x: x.isNotNull()))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"))
