@@ -22,9 +22,15 @@ def write_transcript(lines: DataFrame, path: str) -> None:
     ordered.select("line").write.mode("overwrite").text(path)
 
 
-def document(df: DataFrame) -> str:
-    """A small result as one JSON document with sorted keys (for headline tables only)."""
-    rows = [json.loads(x) for x in df.toJSON().take(10_000)]
+def _whole(rows: list, limit: int) -> list:
+    if len(rows) > limit:
+        raise ValueError(f"the result has more than {limit} rows")
+    return rows
+
+
+def document(df: DataFrame, limit: int = 10_000) -> str:
+    """A small result as one JSON document with sorted keys (for headline tables only); a larger one is an error."""
+    rows = [json.loads(x) for x in _whole(df.toJSON().take(limit + 1), limit)]
     return json.dumps(rows, indent=2, ensure_ascii=False, sort_keys=True)
 
 
@@ -35,7 +41,7 @@ def html(df: DataFrame, column: str, title: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown."""
-    rows = df.limit(limit).collect()
+    """A small table as Markdown; a larger one is an error."""
+    rows = _whole(df.take(limit + 1), limit)
     bar = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
     return "\n".join([bar(df.columns), bar(["-"] * len(df.columns)), *map(bar, rows)])
