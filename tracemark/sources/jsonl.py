@@ -31,10 +31,11 @@ def read_lines(spark: SparkSession, path: str, contains: str | None = None) -> D
     return out.filter(F.col("value").contains(contains)) if contains else out
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, contains: str | None = None) -> DataFrame:
-    """Parsed rows with raw_ref = file:line; only the named fields are read."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, contains: str | None = None, whole_line: bool = False) -> DataFrame:
+    """Parsed rows with raw_ref = file:line (and line_text if wanted); only the named fields are read."""
     rows = read_lines(spark, path, contains)
-    return rows.select(F.concat_ws(":", "file", "line_no").alias("raw_ref"), F.from_json("value", schema).alias("r")).select("raw_ref", "r.*")
+    more = [F.col("value").alias("line_text")] if whole_line else []
+    return rows.select(F.concat_ws(":", "file", "line_no").alias("raw_ref"), *more, F.from_json("value", schema).alias("r")).select("raw_ref", *(["line_text"] if whole_line else []), "r.*")
 
 
 def read_documents(spark: SparkSession, glob: str, schema: str) -> DataFrame:

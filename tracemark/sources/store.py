@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
-from tracemark.sources.adapters import action_type
+from tracemark.sources.adapters import Adapter, action_type, line_of
 
 KEYS = {"events": "event_id", "actors": "actor_id", "channels": "channel_id"}
 
@@ -18,13 +18,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str = "ingest_seq")
     return old.unionByName(new, allowMissingColumns=True).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def ingest(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Replace the sources of ``rows`` in a table partitioned by source; returns the audit (emitted, stored, lost)."""
-    kept = rows.dropDuplicates([key])
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+def last_rows(rows: DataFrame, key: str, order: str | Column) -> DataFrame:
+    """The last row of each key by ``order`` (partially aggregated, so a repeated key is no hot spot)."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def ingest(spark: SparkSession, rows: DataFrame, path: str, key: str, order: str | Column | None = None) -> DataFrame:
+    """Replace the sources of ``rows`` in a table partitioned by source; returns the audit (emitted, stored, lost).
+
+    Of rows that share a key the last by ``order`` stays (the line of raw_ref, where there is one).
+    """
+    order = order if order is not None else line_of(F.col("raw_ref")) if "raw_ref" in rows.columns else F.to_json(F.struct(*rows.columns))
+    last_rows(rows, key, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
     return ingest_audit(rows, key)
 
 
+def ingest_source(spark: SparkSession, adapter: Adapter, path: str, include_turns: bool = False) -> DataFrame:
+    """From a raw folder to the three tables in one step: (table, emitted, stored, lost).
+
+    What the tables hold of this source is replaced, by nothing if the folder has nothing.
+    """
+    audits = []
+    for name, rows, order in (("channels", adapter.channels(True), F.col("line")), ("actors", adapter.actors(True), F.col("line")), ("events", adapter.events(include_turns), line_of(F.col("raw_ref")))):
+        one = last_rows(rows, KEYS[name], order).drop("line", "source")
+        one.write.mode("overwrite").parquet(f"{path}/{name}/source={adapter.source}")
+        audits.append(ingest_audit(rows, KEYS[name]).select(F.lit(name).alias("table"), "*"))
+    return audits[0].unionByName(audits[1]).unionByName(audits[2])
+
+
 def ingest_audit(rows: DataFrame, key: str) -> DataFrame:
     n, distinct = F.count(F.lit(1)), F.countDistinct(key)
     return rows.agg(n.alias("emitted"), distinct.alias("stored"), (n - distinct).alias("lost"))
