@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -11,6 +16,11 @@ def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def timed(events: DataFrame, metric: str = "without_time") -> DataFrame:
+    """The events that have a time; how many have none is an observed metric of each micro-batch (and of a batch query)."""
+    return events.observe(metric, F.count_if(F.col("ts").isNull()).alias("dropped"), F.count(F.lit(1)).alias("seen")).filter("ts IS NOT NULL")
+
+
 def claims_with_runs(claims: DataFrame, runs: DataFrame, hours: int = 2) -> DataFrame:
     """Stream-stream interval join: each claim with its agent's runs of the hours before it."""
     c = claims.withWatermark("ts", "10 minutes").alias("c")
@@ -20,9 +30,59 @@ def claims_with_runs(claims: DataFrame, runs: DataFrame, hours: int = 2) -> Data
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Idempotent ingest: every micro-batch replaces the partitions of its sources."""
+    """Idempotent ingest: each micro-batch is a partition of its own, so one that is run again replaces itself.
+
+    Nothing that an earlier batch wrote is lost or rewritten; ``current`` merges by key where the table is read.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def current(spark: SparkSession, path: str, key: str = "event_id", order: str | None = None) -> DataFrame:
+    """The latest row of each key: of the last batch that has it, there the last by ``order`` (else by its JSON)."""
+    rows = spark.read.parquet(path)
+    last = F.struct(F.col("batch"), F.col(order) if order else F.to_json(F.struct(*rows.columns)))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), last).alias("r")).select("r.*")
+
+
+_STATE = "origin LONG, origin_actor STRING, uses LONG, actors STRING, done BOOLEAN"
+_CASCADE = "kind STRING, unit STRING, origin_ts TIMESTAMP, origin_actor STRING, n_adopters INT, uses_in_horizon LONG"
+
+
+def cascade_states(uses: DataFrame, horizon_days: float = 7.0, delay: str = "10 minutes") -> DataFrame:
+    """Each unit once its horizon has passed: who used it first, and how many others took it up by then.
+
+    ``uses`` has kind, unit, ts and actor_id.  The state of a unit is its first use and the first use of each
+    actor; a timer at the end of the horizon emits the row.  Then only the fact stays that the unit is known.
+    A use that comes late, but within ``delay``, may move the origin; uses behind the horizon don't count.
+    """
+    horizon = int(horizon_days * 86_400_000)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        origin, first_actor, n, actors, done = state.get if state.exists else (None, None, 0, "{}", False)
+        if state.hasTimedOut:
+            known = json.loads(actors)
+            others = sum(a != first_actor and t - origin <= horizon for a, t in known.items())
+            state.update((origin, first_actor, n, "{}", True))
+            yield pd.DataFrame({"kind": [key[0]], "unit": [key[1]], "origin_ts": [pd.Timestamp(origin, unit="ms")], "origin_actor": [first_actor], "n_adopters": [others], "uses_in_horizon": [n]})
+            return
+        known = json.loads(actors)
+        for rows in batches:
+            if done:
+                continue
+            at = rows["ts"].astype("datetime64[ms]").astype("int64")
+            for t, actor in sorted(zip(at.tolist(), rows["actor_id"])):
+                if origin is None or (t, actor) < (origin, first_actor):
+                    origin, first_actor = t, actor
+                if t - origin <= horizon:
+                    n += 1
+                    known[actor] = min(t, known.get(actor, t))
+        if not done:
+            state.update((origin, first_actor, n, json.dumps(known), False))
+            state.setTimeoutTimestamp(max(origin + horizon + 1, state.getCurrentWatermarkMs() + 1))
+
+    keyed = uses.select("kind", "unit", "ts", "actor_id").filter("ts IS NOT NULL AND actor_id IS NOT NULL").withWatermark("ts", delay)
+    return keyed.groupBy("kind", "unit").applyInPandasWithState(advance, _CASCADE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
