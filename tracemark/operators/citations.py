@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
+from tracemark.operators.transcript import context_windows
 
 
 def resolve(refs: DataFrame, events: DataFrame) -> DataFrame:
@@ -56,21 +57,25 @@ def verify_citations(citations: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def verify_turn_quotes(citations: DataFrame, turns: DataFrame) -> DataFrame:
-    """The same for executed turns: any of action, output, its tail or error may hold the quote."""
+    """The same for executed turns: any of action, output, its tail or error may hold the quote.
+
+    Equal citations share their answer, so it is joined back by (ref, quote).
+    """
     key = F.substring(F.replace(F.lower(F.trim("ref")), F.lit("-"), F.lit("")), 1, 10)
-    c = citations.withColumn("_key", F.when(F.length(key) == 10, key)).withColumn("_id", F.monotonically_increasing_id())
+    asked = citations.select(F.col("ref").alias("_ref"), F.col("quote").alias("_quote"), F.when(F.length(key) == 10, key).alias("_key")).distinct()
+    asked = asked.withColumn("_needle", T.normalize(F.coalesce("_quote", F.lit(""))))
     parts = turns.select(F.col("ref").alias("_key"), "turn_id", F.explode(F.array("action_text", "out_text", "out_tail", "err_text")).alias("_part"))
-    c = c.withColumn("_needle", T.normalize(F.coalesce("quote", F.lit(""))))
-    hits = c.join(parts, "_key").withColumn("_at", T.find_quote(T.normalize("_part"), F.col("_needle")))
-    hits = hits.groupBy("_id").agg(F.countDistinct("turn_id").alias("_n"), F.max(F.coalesce("_at", F.lit(-1))).alias("_at"))
-    c = c.join(hits, "_id", "left")
+    hits = asked.join(parts, "_key").withColumn("_at", T.find_quote(T.normalize("_part"), F.col("_needle")))
+    hits = hits.groupBy(F.col("_ref").alias("_r"), F.col("_quote").alias("_q")).agg(F.countDistinct("turn_id").alias("_n"), F.max(F.coalesce("_at", F.lit(-1))).alias("_at"))
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & F.col(c).eqNullSafe(F.col(d))
     status = (
         F.when(F.col("_n").isNull(), "event_missing")
         .when(F.col("_n") > 1, "ambiguous_ref")
         .when(F.col("_needle") == "", "empty_quote")
-        .otherwise(quote_status(F.col("quote"), F.col("_at"), F.col("_needle")))
+        .otherwise(quote_status(F.col("_quote"), F.col("_at"), F.col("_needle")))
     )
-    return c.withColumn("status", status).drop("_key", "_id", "_needle", "_n", "_at")
+    answers = asked.join(hits, same("_ref", "_r", "_quote", "_q"), "left").select("_ref", "_quote", status.alias("status"))
+    return citations.drop("status").join(answers, same("ref", "_ref", "quote", "_quote"), "left").drop("_ref", "_quote")
 
 
 def get_turn(turns: DataFrame, refs: DataFrame) -> DataFrame:
@@ -79,14 +84,27 @@ def get_turn(turns: DataFrame, refs: DataFrame) -> DataFrame:
     return turns.join(refs.select("ref").distinct(), "ref", "left_semi").join(once, "ref", "left_semi")
 
 
+def seeded(seed: int, key: list[str]) -> Column:
+    """A draw for a row that depends on its key alone: the md5 of seed and key."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+
+
 def audit_sample(claims: DataFrame, key: list[str], n: int, offset: int = 0, seed: int = 1) -> DataFrame:
     """A reproducible sample: order by a seeded hash of the key."""
-    order = F.xxhash64(F.lit(seed), *key)
-    return claims.orderBy(order, *key).offset(offset).limit(n)
+    return claims.orderBy(seeded(seed, key), *key).offset(offset).limit(n)
+
+
+def with_context(sample: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
+    """A sample of checked citations with the events around each cited one: context is an array of (place, event_id)."""
+    around = context_windows(events, sample.select("event_id").filter("event_id IS NOT NULL").distinct(), before, after)
+    listed = around.groupBy(F.col("centre").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct("place", F.col("event_id").alias("id")))).alias("context"))
+    return sample.join(listed, "event_id", "left")
 
 
 def stratified_sample(cases: DataFrame, category: str, sizes: dict[str, int], key: list[str], seed: int = 1) -> DataFrame:
     """At most sizes[c] cases of category c; a category that isn't named comes whole."""
-    w = Window.partitionBy(category).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    whole = cases.filter(~F.coalesce(F.col(category).isin(*sizes), F.lit(False)))
+    w = Window.partitionBy(category).orderBy(seeded(seed, key), *key)
     size = F.create_map(*[F.lit(x) for p in sizes.items() for x in p])
-    return cases.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.coalesce(F.try_element_at(size, F.col(category)), F.lit(1 << 30))).drop("_k")
+    few = cases.filter(F.col(category).isin(*sizes)).withColumn("_k", F.row_number().over(w))
+    return whole.unionByName(few.filter(F.col("_k") <= F.try_element_at(size, F.col(category))).drop("_k"))

@@ -29,9 +29,11 @@ def _base(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def prepared(statements: DataFrame) -> DataFrame:
-    """Statements with a usable time; item and value in normal form."""
+    """Statements with a usable time; item and value in normal form (an item's is worked out once, not in every row)."""
     s = statements.withColumn("wall_time", T.norm_time(F.col("wall_time"))).filter("wall_time <> ''")
-    return s.withColumn("item", T.norm_item(F.col("item"))).withColumn("value", F.nullif(T.digits(F.col("value")), F.lit("")))
+    items = statements.select(F.col("item").alias("_item")).distinct().withColumn("_norm", T.norm_item(F.col("_item")))
+    s = s.join(items, F.col("item").eqNullSafe(F.col("_item")), "left").withColumn("item", F.col("_norm")).drop("_item", "_norm")
+    return s.withColumn("value", F.nullif(T.digits(F.col("value")), F.lit("")))
 
 
 def _signed(s: DataFrame) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
+from tracemark.operators.places import numbered
 
 TALK = ("AGENT_TALK", "USER_TALK", "ANNOUNCEMENT")
 
@@ -41,43 +47,88 @@ def export_window(events: DataFrame, actors: DataFrame, channels: DataFrame, sou
 def context_windows(events: DataFrame, centres: DataFrame, before: int, after: int) -> DataFrame:
     """The events around each centre (event_id) in its channel: (centre, place, event_id), place 0 the centre.
 
-    Places are numbered once per channel; a centre then joins its neighbours by explicit numbers,
-    an equi-join that doesn't depend on the channel's size.
+    Places are numbered once per channel, without a window over a whole channel; a centre then joins its
+    neighbours by explicit numbers, an equi-join that doesn't depend on the channel's size.
     """
-    order = Window.partitionBy("channel_id").orderBy(F.col("ts").asc_nulls_last(), "event_id")
-    placed = events.select("event_id", "channel_id", "ts").withColumn("at", F.row_number().over(order))
+    placed = numbered(events.select("event_id", "channel_id", "ts"), ["channel_id"], ["ts", "event_id"], "at")
     c = centres.select(F.col("event_id").alias("centre")).join(placed, F.col("centre") == F.col("event_id")).select("centre", F.col("channel_id").alias("c"), F.col("at").alias("mid"))
     c = c.withColumn("want", F.explode(F.sequence(F.col("mid") - before, F.col("mid") + after)))
     hit = c.join(placed, F.col("c").eqNullSafe(F.col("channel_id")) & (F.col("want") == F.col("at")))
     return hit.select("centre", (F.col("at") - F.col("mid")).cast("int").alias("place"), "event_id")
 
 
-def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str, max_size: int, max_items: int | None = None, extra: int = 0) -> DataFrame:
-    """``items`` with bin (from 0): filled in order, a new one when the next item wouldn't fit.
+def fill_bins(sizes: np.ndarray, used: int, count: int, max_size: int, max_items: int | None) -> np.ndarray:
+    """The bin of each item, from 0, of which the first holds ``count`` items of ``used`` in all before.
 
-    The state resets at data-dependent places, which no window frame expresses: the sizes of a group
-    are folded in order by a higher-order function inside one row.
+    One step a bin: as many items as fit by the running total, one at least in a new bin.
     """
-    entry = F.struct(*order, F.col(size).cast("long").alias("_size"))
-    folded = items.groupBy(*group).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
-    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("bins"))
-
-    def step(acc, x):
-        need = x["_size"] + extra
-        fits = (acc["bin"] >= 0) & (acc["used"] + need <= max_size)
-        fits = fits & (acc["n"] < max_items) if max_items else fits
-        bin_ = F.when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
-        return F.struct(bin_.alias("bin"), F.when(fits, acc["used"] + need).otherwise(need).alias("used"), F.when(fits, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.concat(acc["bins"], F.array(bin_)).alias("bins"))
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    bins, at, number = np.zeros(len(sizes), np.int64), 0, 0
+    while at < len(sizes):
+        end = int(np.searchsorted(total, total[at] + max_size - used, "right")) - 1
+        if max_items:
+            end = min(end, at + max_items - count)
+        end = max(end, at if count else at + 1)
+        bins[at:end] = number
+        at, number, used, count = end, number + 1, 0, 0
+    return bins
 
-    bins = F.aggregate("_all", start, step, lambda acc: acc["bins"])
-    both = folded.select(*group, F.explode(F.arrays_zip(F.col("_all").alias("item"), bins.alias("bin"))).alias("z"))
-    return both.select(*group, *[F.col(f"z.item.{c}").alias(c) for c in order], F.col("z.item._size").alias(size), F.col("z.bin").alias("bin"))
 
+def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str, max_size: int, max_items: int | None = None, extra: int = 0) -> DataFrame:
+    """``items`` (group, order, size) with bin (from 0): filled in order, a new one when the next item wouldn't fit.
 
-def overlapping(periods: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Periods (start, end; an open end is far away) that overlap episodes (lo, hi), both kept."""
+    The state resets at data-dependent places, which no window frame expresses.  The rows come sorted, and a
+    task walks through them batch by batch; what it keeps of a group is its open bin.
+    """
+    columns = [*group, *order, size]
+    rows = items.select(*columns)
+    schema = T_.StructType([*rows.schema.fields, T_.StructField("bin", T_.IntegerType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, used, count = None, 0, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = list(zip(*(batch[g].where(batch[g].notna(), None) for g in group)))
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            sizes, out = batch[size].to_numpy(np.int64) + extra, np.zeros(len(batch), np.int64)
+            for a, e in zip(starts[:-1], starts[1:]):
+                if keys[a] != key:
+                    key, number, used, count = keys[a], 0, 0, 0
+                bins = fill_bins(sizes[a:e], used, count, max_size, max_items)
+                last = bins == bins[-1]
+                more = (used, count) if bins[-1] == 0 else (0, 0)
+                used, count = more[0] + int(sizes[a:e][last].sum()), more[1] + int(last.sum())
+                out[a:e] = bins + number
+                number += int(bins[-1])
+            yield batch.assign(bin=out.astype(np.int32))
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)
+
+
+BROADCAST_EPISODES = 10_000
+_BUCKETS = 4096
+
+
+def overlapping(periods: DataFrame, episodes: DataFrame, most: int = BROADCAST_EPISODES) -> DataFrame:
+    """Periods (start, end; an open end is far away) that overlap episodes (lo, hi), both kept.
+
+    Up to ``most`` episodes are broadcast.  More of them meet the periods in _BUCKETS buckets of time: each pair
+    is taken in the bucket in which the later of the two begins, so it is found once.
+    """
     end = F.coalesce(F.col("end"), F.lit("2100-01-01").cast("timestamp"))
-    return periods.join(episodes, (F.col("start") < F.col("hi")) & (end >= F.col("lo")))
+    meets = (F.col("start") < F.col("hi")) & (end >= F.col("lo"))
+    if episodes.limit(most + 1).count() <= most:
+        return periods.join(F.broadcast(episodes), meets)
+    us = F.unix_micros
+    first, last = episodes.agg(F.min(us("lo")), F.max(us("hi"))).first()
+    width = max(1, -(-(last - first + 1) // _BUCKETS))
+    bucket = lambda t: F.least(F.greatest(F.floor((us(t) - first) / width), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
+    cut = lambda df, a, b: df.filter(bucket(a) <= bucket(b)).withColumn("_b", F.explode(F.sequence(bucket(a), bucket(b))))
+    p = cut(periods.filter((us("start") <= last) & (us(end) >= first)), F.col("start"), end)
+    q = cut(episodes, F.col("lo"), F.col("hi"))
+    later = F.greatest(bucket(F.col("start")), bucket(F.col("lo")))
+    return p.join(q, "_b").filter(meets & (F.col("_b") == later)).drop("_b")
 
 
 def latest_day(events: DataFrame, days: DataFrame, shift_hours: int = 17) -> DataFrame:
