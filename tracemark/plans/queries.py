@@ -394,11 +394,6 @@ def f14_normal_forms(spark, sf):
     return p.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.min("wall_time").alias("first_time"))
 
 
-@query()
-def o10_audit_sample(spark, sf):
-    return citations.audit_sample(view(spark, sf, "citations"), ["claim_key", "n"], 30)
-
-
 @query()
 def q12_evidence_items(spark, sf):
     c = _checked(spark, sf).filter("status = 'verified'").join(_messages(spark, sf).select("event_id", "text"), "event_id")
@@ -583,3 +578,122 @@ def m17_case_links(spark, sf):
     p = view(spark, sf, "links").filter("page_id % 4 <> 0").select((F.col("page_id") % 60).cast("string").alias("record_id"), F.lit("1780272000").alias("wall_time"), F.concat(F.lit("w/"), F.col("host")).alias("source_id"), F.col("page_id").alias("post_id"))
     c = spark.range(60).select(F.col("id").cast("string").alias("record_id"), t.alias("wall_time"))
     return cases.with_links(c, p, "b/").select("record_id", "url")
+
+
+# -- turns, reports, gates: the rest ------------------------------------------------------------
+FULL_TURNS = """@ turns AS (SELECT CAST(ref AS VARCHAR) AS turn_id, substr(md5(CAST(ref // 2 AS VARCHAR)), 1, 10) AS ref, agent, ts_us, 'run the checks of step ' || ref AS action_text, CASE WHEN ref % 5 = 0 THEN NULL ELSE passed || ' passed and ' || failed || ' failed' END AS out_text FROM runs) """
+
+
+def _full_turns(spark, sf):
+    ref = F.substring(F.md5(F.floor(F.col("ref") / 2).cast("string")), 1, 10)
+    said = F.concat(F.col("passed").cast("string"), F.lit(" passed and "), F.col("failed").cast("string"), F.lit(" failed"))
+    return view(spark, sf, "runs").select(
+        F.col("ref").cast("string").alias("turn_id"), ref.alias("ref"), "agent", F.timestamp_micros("ts_us").alias("ts"), F.concat(F.lit("run the checks of step "), F.col("ref").cast("string")).alias("action_text"),
+        F.when(F.col("ref") % 5 != 0, said).alias("out_text"), F.lit(None).cast("string").alias("out_tail"), F.lit(None).cast("string").alias("err_text"),
+    )
+
+
+@query(FULL_TURNS + """, n AS (SELECT ref, count(*) AS n FROM turns GROUP BY ref),
+    q AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ffffffffff' ELSE substr(md5(CAST(event_id // 2 AS VARCHAR)), 1, 10) END AS ref, CASE event_id % 3 WHEN 0 THEN 'Checks  of step ' || event_id WHEN 1 THEN 'passed and' ELSE 'nobody said so' END AS quote FROM events)
+    SELECT event_id, CASE WHEN n.n IS NULL THEN 'event_missing' WHEN n.n > 1 THEN 'ambiguous_ref'
+        WHEN EXISTS (SELECT 1 FROM turns t WHERE t.ref = q.ref AND ((q.event_id % 3 = 0 AND t.turn_id = CAST(q.event_id AS VARCHAR)) OR (q.event_id % 3 = 1 AND t.out_text IS NOT NULL))) THEN 'verified' ELSE 'quote_not_found' END AS status
+    FROM q LEFT JOIN n USING (ref)""", "runs")
+def q13_verify_turn_quotes(spark, sf):
+    e = table(spark, sf, "events")
+    ref = F.when(F.col("event_id") % 4 == 0, "ffffffffff").otherwise(F.substring(F.md5(F.floor(F.col("event_id") / 2).cast("string")), 1, 10))
+    quote = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Checks  of step "), F.col("event_id").cast("string"))).when(F.col("event_id") % 3 == 1, "passed and").otherwise("nobody said so")
+    return citations.verify_turn_quotes(e.select("event_id", ref.alias("ref"), quote.alias("quote")), _full_turns(spark, sf)).select("event_id", "status")
+
+
+@query(FULL_TURNS + "SELECT turn_id, ref FROM turns WHERE ref IN (SELECT ref FROM turns GROUP BY ref HAVING count(*) = 1) AND ref < '8'", "runs")
+def q14_unique_turns(spark, sf):
+    t = _full_turns(spark, sf)
+    return citations.get_turn(t, t.filter("ref < '8'")).select("turn_id", "ref")
+
+
+MEMORIES = "@ memories AS (SELECT CAST(event_id AS VARCHAR) AS id, 'A' || user_id % 9 AS agent_id, ts, repeat('note ' || event_id || ' ', CAST(1 + event_id % 1400 AS INT)) AS content FROM events) "
+
+
+def _memories(spark, sf):
+    e = table(spark, sf, "events")
+    m = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("A"), (F.col("user_id") % 9).cast("string")).alias("agent_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), F.expr("repeat(concat('note ', CAST(event_id AS STRING), ' '), CAST(1 + event_id % 1400 AS INT))").alias("content"))
+    agents = spark.range(8).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("Agent "), F.col("id").cast("string")).alias("name"))
+    return store.slim_memories(m, agents)
+
+
+@query(MEMORIES + "SELECT id AS memory_id, left(id, 10) AS ref, CASE WHEN agent_id <> 'A8' THEN 'Agent ' || substr(agent_id, 2) END AS agent, length(left(content, 8000)) AS n, length(content) AS full_chars FROM memories", "runs")
+def j4_slim_memories(spark, sf):
+    return _memories(spark, sf).select("memory_id", "ref", "agent", F.length("text").cast("long").alias("n"), "full_chars")
+
+
+@query(MEMORIES + "SELECT id AS memory_id, epoch_us(ts) AS ts_us FROM memories WHERE agent_id = 'A3' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' AND contains(content, 'note 1') ORDER BY ts, left(id, 10) LIMIT 50", "runs")
+def q17_memories_of(spark, sf):
+    return store.memories_of(_memories(spark, sf), "AGENT 3", "2024-01-02", "2024-01-20", "Note 1").select("memory_id", F.unix_micros("ts").alias("ts_us"))
+
+
+@query(CHECKED + "SELECT claim_key, n, ref FROM checked ORDER BY md5('1|' || claim_key || '|' || n), claim_key, n LIMIT 30", "citations")
+def o10_audit_sample(spark, sf):
+    return citations.audit_sample(view(spark, sf, "citations"), ["claim_key", "n"], 30).select("claim_key", F.col("n").cast("long").alias("n"), "ref")
+
+
+@query(CHECKED + """, few AS (SELECT * FROM checked ORDER BY md5('1|' || claim_key || '|' || n), claim_key, n LIMIT 30),
+    placed AS (SELECT event_id, channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts_us, event_id) AS k FROM messages)
+    SELECT f.claim_key, f.n, CAST(count(b.event_id) AS BIGINT) AS events, min(b.event_id) AS least FROM (SELECT claim_key, n, CASE WHEN status NOT IN ('event_missing', 'ambiguous_ref') THEN eid END AS eid FROM few) f LEFT JOIN placed a ON a.event_id = f.eid LEFT JOIN placed b ON a.event_id IS NOT NULL AND b.channel_id IS NOT DISTINCT FROM a.channel_id AND b.k BETWEEN a.k - 2 AND a.k + 2 GROUP BY f.claim_key, f.n""", "citations")
+def q10_sample_in_context(spark, sf):
+    s = citations.audit_sample(_checked(spark, sf), ["claim_key", "n"], 30)
+    c = citations.with_context(s, _messages(spark, sf), 2, 2)
+    return c.select("claim_key", F.col("n").cast("long").alias("n"), F.coalesce(F.size("context"), F.lit(0)).cast("long").alias("events"), F.array_min(F.transform("context", lambda x: x["id"])).alias("least"))
+
+
+@query(f"""@ e(episode, lo, hi) AS (SELECT i, {START} + i * {40 * 24 * HOUR}, {START} + (i + 1) * {40 * 24 * HOUR} FROM range(12) t(i)),
+    c AS (SELECT host AS unit, count(*) AS n_adopters, min(page_id) AS p, {START} + min(page_id) * {HOUR} AS origin_us FROM links GROUP BY host)
+    SELECT e.episode, c.unit, row_number() OVER (PARTITION BY e.episode ORDER BY c.n_adopters DESC, c.p % 5, c.unit) AS place FROM c JOIN e ON c.origin_us >= e.lo AND c.origin_us < e.hi QUALIFY place <= 5""", "links")
+def q23_leads_by_episode(spark, sf):
+    ts = lambda us: F.timestamp_micros(us)
+    c = view(spark, sf, "links").groupBy(F.col("host").alias("unit")).agg(F.count(F.lit(1)).alias("n_adopters"), F.min("page_id").alias("p"))
+    c = c.select("unit", "n_adopters", (F.col("p") % 5).alias("median_lag_hours"), ts(F.lit(START) + F.col("p") * HOUR).alias("origin_ts"))
+    e = spark.range(12).select(F.col("id").alias("episode"), ts(F.lit(START) + F.col("id") * (40 * 24 * HOUR)).alias("lo"), ts(F.lit(START) + (F.col("id") + 1) * (40 * 24 * HOUR)).alias("hi"))
+    return summaries.leads_by_episode(c, e, 5).select("episode", "unit", F.col("place").cast("long").alias("place"))
+
+
+@query(LINES + """, numbered AS (SELECT channel_id, ts_us, length(line) AS size, row_number() OVER (PARTITION BY channel_id ORDER BY ts_us, event_id) AS k FROM lines),
+    packed(channel_id, k, bin, used) AS (SELECT channel_id, k, 0, size + 1 FROM numbered WHERE k = 1 UNION ALL
+        SELECT n.channel_id, n.k, CASE WHEN p.used + n.size + 1 <= 2000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + n.size + 1 <= 2000 THEN p.used + n.size + 1 ELSE n.size + 1 END FROM packed p JOIN numbered n ON n.k = p.k + 1 AND n.channel_id IS NOT DISTINCT FROM p.channel_id)
+    SELECT p.channel_id AS episode, p.bin, count(*) AS events, max(p.used) AS chars, min(n.ts_us) AS from_us, max(n.ts_us) AS to_us FROM packed p JOIN numbered n ON n.k = p.k AND n.channel_id IS NOT DISTINCT FROM p.channel_id GROUP BY p.channel_id, p.bin""", "messages", "actors", "channels")
+def q21_window_manifest(spark, sf):
+    lines = _lines(spark, sf).join(_messages(spark, sf).select("event_id", F.col("channel_id").alias("episode")), "event_id").withColumn("size", F.length("line"))
+    b = transcript.greedy_bins(lines, ["episode"], ["ts", "event_id"], "size", 2000, extra=1)
+    return summaries.window_manifest(b).select("episode", "bin", "events", "chars", F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"))
+
+
+@query("@ u AS (SELECT host AS unit, page_id * 7 % 23 AS actor, page_id FROM links) SELECT unit, actor, min(page_id) AS page_id FROM u GROUP BY unit, actor", "links")
+def w3_first_uses(spark, sf):
+    u = view(spark, sf, "links").select(F.lit("url").alias("kind"), F.col("host").alias("unit"), (F.col("page_id") * 7 % 23).alias("actor_id"), F.col("page_id").alias("ts"), F.col("page_id").cast("string").alias("event_id"), F.lit(0).alias("place"))
+    return propagation.first_uses(u).select("unit", F.col("actor_id").alias("actor"), F.col("ts").alias("page_id"))
+
+
+@query("@ s AS (SELECT page_id, 'First said -- Ann-One then ' || host || ' again -- ' || CASE WHEN page_id % 2 = 0 THEN 'Bob-Two' ELSE 'Cy-Three' END || ' and see http://10.1.2.3:80/x/' || page_id || ' -- Dee-Four' AS text, host FROM links) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Dee-Four' WHEN page_id % 2 = 0 THEN 'Bob-Two' ELSE 'Cy-Three' END AS signature, replace(text, 'http://10.1.2.3:80/x/' || page_id, '[internal-url]') AS redacted FROM s", "links")
+def f12_signatures_redacted(spark, sf):
+    v = view(spark, sf, "links")
+    text = F.concat(F.lit("First said -- Ann-One then "), F.col("host"), F.lit(" again -- "), F.when(F.col("page_id") % 2 == 0, "Bob-Two").otherwise("Cy-Three"), F.lit(" and see http://10.1.2.3:80/x/"), F.col("page_id").cast("string"), F.lit(" -- Dee-Four"))
+    quote = F.when(F.col("page_id") % 3 == 0, "never said anywhere").otherwise(F.col("host"))
+    return v.select("page_id", T.signature_after(text, quote).alias("signature"), cases.redact(text).alias("redacted"))
+
+
+@query("SELECT count(*) AS statements, count(*) FILTER (round IS NULL) AS rejected, round(count(*) FILTER (round IS NULL) / count(*), 4) AS reject_share, round(count(*) FILTER (round IS NULL) / count(*), 4) <= 0.05 AS reject_gate, true AS empty_gate FROM statements", "statements")
+def g3_thresholds(spark, sf):
+    s = view(spark, sf, "statements").withColumn("reason", F.when(F.col("round").isNull(), "round"))
+    return gates.threshold_report(s, 100, 80)
+
+
+@query("@ f AS (SELECT family, count(*) AS n, count(*) FILTER (round IS NULL) AS unsupported FROM statements GROUP BY family) SELECT family, n, unsupported, round(unsupported / n, 4) AS share, round(unsupported / n, 4) <= 0.1 AS gate FROM f", "statements")
+def g3_families(spark, sf):
+    return gates.family_report(view(spark, sf, "statements").withColumn("reason", F.when(F.col("round").isNull(), "round")), ["round"])
+
+
+@query("SELECT event_id AS claim_id, CASE WHEN event_id % 3 = 0 THEN 'cc dd ee ff gg hh ii jj kk ll all 41 tests pass now aa bb cc' ELSE 'all 41 tests pass now, mail' END AS quote FROM events")
+def d4_claim_quotes(spark, sf):
+    many = F.lit("aa bb cc dd ee ff gg hh ii jj kk ll all 41 tests\n pass now aa  bb cc")
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, many).otherwise("all 41 tests pass now, mail a@b.c then").alias("text")).withColumn("c", saydo.parse_claim("text", F.array().cast("array<string>")))
+    q = e.select("event_id", "text", "c.lo", "c.hi")
+    return q.select(F.col("event_id").alias("claim_id"), saydo.claim_quote("text", "lo", "hi").alias("quote"))
