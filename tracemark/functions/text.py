@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -150,29 +151,41 @@ def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body mentions it (inside a lambda, too)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm_item(item: Column) -> Column:
     """One spelling for an item: a state's code, else lower case without county and aliases."""
-    s = F.lower(F.btrim(squeeze(F.coalesce(item, F.lit(""))), F.lit(EDGE)))
-    codes = [F.lit(c) for c in STATES.values()]
-    is_code = (F.length(s) == 2) & F.array_contains(F.array(*codes), F.upper(s))
-    state = F.try_element_at(_lookup(STATES), s)
-    t = F.replace(s, F.lit(" & "), F.lit(" and "))
+    codes = F.array(*[F.lit(c) for c in STATES.values()])
     place = r"^(.+?)(?: county)?,? ([a-z]{2})$"
-    in_state = F.array_contains(F.array(*codes), F.upper(F.regexp_extract(t, place, 2)))
-    t = F.when(in_state, F.regexp_extract(t, place, 1)).otherwise(t)
-    t = F.regexp_replace(t, " county$", "")
-    return F.when(is_code, F.upper(s)).otherwise(F.coalesce(state, F.try_element_at(_lookup(ALIASES), t), t))
+
+    def spelled(s: Column) -> Column:
+        def local(t: Column) -> Column:
+            in_state = F.array_contains(codes, F.upper(F.regexp_extract(t, place, 2)))
+            name = F.regexp_replace(F.when(in_state, F.regexp_extract(t, place, 1)).otherwise(t), " county$", "")
+            return bind(name, lambda n: F.coalesce(F.try_element_at(_lookup(ALIASES), n), n))
+
+        is_code = (F.length(s) == 2) & F.array_contains(codes, F.upper(s))
+        return F.when(is_code, F.upper(s)).otherwise(F.coalesce(F.try_element_at(_lookup(STATES), s), bind(F.replace(s, F.lit(" & "), F.lit(" and ")), local)))
+
+    return bind(F.lower(F.btrim(squeeze(F.coalesce(item, F.lit(""))), F.lit(EDGE))), spelled)
 
 
 def item_in_quote(item: Column, quote: Column) -> Column:
     """The item's words stand in the quote, or its state does by name or code."""
-    q = F.lower(quote)
-    it = F.btrim(F.lower(squeeze(item)), F.lit(EDGE))
-    code = norm_item(item)
-    names = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c in STATES.items()])
-    named = F.exists(names, lambda s: (s["c"] == code) & q.contains(s["n"]))
-    coded = code.isin(list(STATES.values())) & F.regexp_like(q, F.concat(F.lit(r"(?U)\b"), F.lower(code), F.lit(r"\b")))
-    return F.when(it == "", False).otherwise(q.contains(it) | named | coded)
+    names: dict[str, list[str]] = {}
+    for name, code in STATES.items():
+        names.setdefault(code, []).append(name)
+    of_code = F.create_map(*[x for c, n in names.items() for x in (F.lit(c), F.array(*map(F.lit, n)))])
+
+    def stands(f: Column) -> Column:
+        named = F.exists(F.coalesce(F.try_element_at(of_code, f["code"]), F.array().cast("array<string>")), lambda n: f["q"].contains(n))
+        coded = f["code"].isin(list(STATES.values())) & F.regexp_like(f["q"], F.concat(F.lit(r"(?U)\b"), F.lower(f["code"]), F.lit(r"\b")))
+        return F.when(f["it"] == "", False).otherwise(f["q"].contains(f["it"]) | named | coded)
+
+    return bind(F.struct(norm_item(item).alias("code"), F.lower(quote).alias("q"), F.btrim(F.lower(squeeze(item)), F.lit(EDGE)).alias("it")), stands)
 
 
 def signature(text: Column) -> Column:
