@@ -14,30 +14,36 @@ share so stay out of the index unless a set has little else.  Frequencies are co
 documents by an exchange between document blocks; they steer cost only, never the result.
 
 Verification.  Sets that share a signature form candidate components; each is gathered in one task
-(large ones as pairs of bounded chunks) and verified exactly on the whole sets, walking from set to
-set and comparing each with what is not yet reached.  A group of near copies so costs one comparison
-a set, not one a pair, and no pair is emitted as a row.
+(large ones as pairs of bounded chunks) and verified exactly on the whole sets: each set is compared with all
+of its chunk at once, its links are counted, and a spanning forest of them is passed on.  No pair is emitted as a row.
 
-Sets are compared by 64-bit shingle hashes.  Identical sets are one class from the start.
+Sets are compared by 64-bit shingle hashes.  Identical sets are one class from the start, and a class counts
+as often as it has rows.
+
+Messages.  A block asks for the frequency of each of its distinct shingles once, so the exchange is linear in the
+distinct shingles of the blocks; keys for the same part travel together.  Blocks of more bytes (``block_bytes``) make
+fewer and longer messages; the default suits executors of 3 GB.
 
 Defined cases: a null text or one without words has an empty set and links with nothing; a text of
 fewer words than a shingle is one shingle; repeated rows are equal sets; rows with a null id take part,
-but name no component; an empty table gives an empty result; only doc_id and text are read.
+but name no component; a text may be as long as a column holds, it is one set; an empty table gives an empty
+result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemark.llm._blocks import planes, unplanes, with_blocks
+from tracemark.llm._blocks import BLOCK_BYTES, planes, unplanes, with_blocks
 from tracemark.llm._components import components, roots
 from tracemark.llm._kernels import MULT, U64, mix, release_memory, shingle_sets, slices, tidy_group, tidy_stream
-from tracemark.llm._sieve import may_match
+from tracemark.llm._sieve import may_match, no_match
 from tracemark.llm._stream import complete_groups
 from tracemark.plans.storage import stored
 
@@ -46,6 +52,7 @@ PERCENT = 75
 RARE = 4
 CHUNK_SETS = 2048
 CHUNK_SHINGLES = 2_000_000
+SALTS = 16
 
 
 def most_different(n, percent: int = PERCENT):
@@ -125,7 +132,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def signatures(tokens: np.ndarray, off: np.ndarray, freq: np.ndarray, band: int, seed: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, set, sets that fall short) of at most 2047 sets in the scheme of one band."""
     n = np.diff(off)
-    bits = max(16, 3 + 2 * band)
+    bits = min(max(16, 3 + 2 * band) + seed, 40)  # a set that fell short gets more segments
     owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
     segment = (mix(tokens ^ mix(np.array([band + 1, seed + 1], U64) * MULT[20:22]).sum()) >> U64(64 - bits)).astype(np.int64)
     run = owner << bits | segment
@@ -226,8 +233,9 @@ def _class_task(words: int):
     return go
 
 
-def walk_links(keys: np.ndarray, tokens: np.ndarray, off: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the similarity links among sets (with ``side``: between the sides only)."""
+def walk_links(keys: np.ndarray, tokens: np.ndarray, off: np.ndarray, rows: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, links): a spanning forest of the similarity links among sets (with ``side``: between the sides only), and
+    for each set how many rows its similar sets have."""
     n = np.diff(off)
     owner = np.repeat(np.arange(len(n)), n)
     _, inv, times = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -236,6 +244,7 @@ def walk_links(keys: np.ndarray, tokens: np.ndarray, off: np.ndarray, side: np.n
     start = np.searchsorted(owner, np.arange(len(n) + 1))
     mine = np.zeros(len(times), bool)
     left = np.ones(len(n), bool)
+    links = np.zeros(len(n), np.int64)
     a, b = [], []
     for root in range(len(n)):
         if not left[root]:
@@ -250,73 +259,89 @@ def walk_links(keys: np.ndarray, tokens: np.ndarray, off: np.ndarray, side: np.n
             mine[own] = True
             both = np.bincount(owner[mine[inv]], minlength=len(n))
             mine[own] = False
-            near = left & (100 * both >= percent * (n + n[x] - both))
+            near = 100 * both >= percent * (n + n[x] - both)
+            near[x] = False
             if side is not None:
                 near &= side != side[x]
-            found = np.flatnonzero(near)
+            links[x] = rows[near].sum()
+            found = np.flatnonzero(near & left)
             left[found] = False
             todo += found.tolist()
             a.append(np.full(len(found), x))
             b.append(found)
     a = np.concatenate(a).astype(np.int64) if a else np.zeros(0, np.int64)
     b = np.concatenate(b).astype(np.int64) if b else np.zeros(0, np.int64)
-    return keys[a], keys[b]
+    return keys[a], keys[b], links
 
 
 def _verify_task(words: int, percent: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in complete_groups(batches, 3, 256):
-            i, j, chunk, keys = (table.column(k).to_numpy() for k in (1, 2, 3, 4))
+            i, j, chunk, keys, rows = (table.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
             tokens, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             for t, off in block_sets(table.column("text"), words):
                 tokens.append(t)
                 sizes.append(np.diff(off))
             tokens, off = np.concatenate(tokens), np.append(0, np.cumsum(np.concatenate(sizes)))
-            found = []
             for a, e in zip(bounds[:-1], bounds[1:]):
                 side = (chunk[a:e] == i[a]) if i[a] != j[a] else None
-                found.append(walk_links(keys[a:e], tokens[off[a] : off[e]], off[a : e + 1] - off[a], side, percent))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                x, y, links = walk_links(keys[a:e], tokens[off[a] : off[e]], off[a : e + 1] - off[a], rows[a:e], side, percent)
+                some = np.flatnonzero(links)
+                found = ((x, y, np.zeros(len(x), np.int64)), (keys[a:e][some], keys[a:e][some], links[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "n_links"])
 
     return go
 
 
-def candidate_links(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def candidate_links(docs: DataFrame, words: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(a, b) between set keys: connected at least wherever the sets are similar."""
     spark = docs.sparkSession
-    blocked, blocks = with_blocks(docs.select("doc_id", "text").filter("text IS NOT NULL"))
+    blocked, blocks = with_blocks(docs.select("doc_id", "text").filter("text IS NOT NULL"), block_bytes)
     blocked = blocked.select("block", "text")
     parts = max(8, -(-blocks // 2))
     asked = blocked.groupBy("block").applyInArrow(tidy_group(_ask(words, parts)), "block int, part int, keys binary, n binary")
     answers = asked.groupBy("part").applyInArrow(tidy_group(_answer), "block int, part int, n binary")
-    for seed in range(16):
+    for seed in count():
         index = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_index(words, percent, parts, seed), "part int, sigs binary, ids binary, times binary")
         links = stored(spark, index.groupBy("part").applyInArrow(tidy_group(_meet), "a long, b long"), "candidates")
-        if not links.filter("a = b").limit(1).count():  # else a set's segments don't carry the guarantee: draw others
+        if not links.filter("a = b").limit(1).count():
             return links
-    raise RuntimeError("no partition of the universe gave every set enough segments")
+        # a set's segments don't carry the guarantee (all its shingles in one or two of them): draw others, and more
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, row, n_shingles, component_id."""
+    """One row per document: doc_id, row, n_shingles, component_id, n_links (other rows that it is similar to)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     row = F.xxhash64("doc_id", "text")
-    classes = stored(spark, rows.select(row.alias("row"), "doc_id", "text").mapInArrow(tidy_stream(_class_task(words)), "row long, doc_id long, n long, key long"), "sets")
+    found = stored(spark, rows.select(row.alias("row"), "doc_id", "text").mapInArrow(tidy_stream(_class_task(words)), "row long, doc_id long, n long, key long"), "sets")
+    classes = found.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"))
     near = components(candidate_links(rows, words, percent)).withColumnRenamed("node", "key")
-    first = classes.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    member = stored(spark, near.join(first, "key"), "candidate-sets")
+    member = stored(spark, near.join(classes, "key"), "candidate-sets")
     size = member.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     meets = F.expr("transform(sequence(0, chunks - 1), k -> struct(least(k, chunk) AS i, greatest(k, chunk) AS j))")
     placed = member.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    placed = placed.withColumn("m", F.explode(meets)).select("row", "component", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "chunk", "key")
+    placed = placed.withColumn("m", F.explode(meets)).select("row", "component", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "chunk", "key", "rows")
     texts = may_match(rows.filter("text IS NOT NULL").select(row.alias("row"), "text"), member.select("row"), "row").dropDuplicates(["row"])
-    sets = texts.join(placed, "row").select("component", "i", "j", "chunk", "key", "text")
+    sets = texts.join(placed, "row").select("component", "i", "j", "chunk", "key", "rows", "text")
     sets = sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = sets.mapInArrow(tidy_stream(_verify_task(words, percent)), "a long, b long")
-    final = components(links).withColumnRenamed("node", "key")
-    named = classes.join(final, "key", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    least = named.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "group", "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    links = stored(spark, sets.mapInArrow(tidy_stream(_verify_task(words, percent)), "a long, b long, n_links long"), "links")
+    linked = stored(spark, components(links.filter("a <> b").select("a", "b")).withColumnRenamed("node", "key"), "components")
+    # the least id of a component, from its classes; a component's classes are spread over SALTS parts of their key
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
+    own = linked.join(member.select("key", "least", "rows"), "key")
+    lowest = own.groupBy("component").agg(F.min("least").alias("lowest"))
+    named = stored(spark, lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "lowest")
+    together = own.select("key", "component", salt).join(named, ["component", "salt"]).select("key", "lowest")
+    counted = links.filter("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n_links").alias("n_links"))
+    several = classes.filter("rows > 1").select("key", F.col("least").alias("lowest"), (F.col("rows") - 1).alias("copies"))
+    labels = together.join(counted, "key", "left").join(several.withColumnRenamed("lowest", "_of_class"), "key", "full")
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")) + F.coalesce("copies", F.lit(0).cast("long"))
+    labels = stored(spark, labels.select("key", F.coalesce("lowest", "_of_class").alias("lowest"), n_links.alias("n_links")), "labels")
+    # rows that are alone need no join; a class of many rows is one key, which is split as the skew of a plain join
+    out = may_match(found, labels.select("key"), "key").join(labels, "key", "left")
+    alone = no_match(found, labels.select("key"), "key").withColumns({"lowest": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
+    out = out.unionByName(alone)
+    some = F.col("n") > 0
+    component = F.when(F.col("doc_id").isNotNull(), F.when(some, F.coalesce("lowest", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(some, F.coalesce("n_links", F.lit(0).cast("long"))).otherwise(0).alias("n_links"))
