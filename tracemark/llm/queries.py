@@ -24,7 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.similar_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeats(docs, carry_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,32 @@ grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, min(a.n) AS na, min(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT a, b FROM pairs WHERE 100 * k >= 75 * (na + nb - k)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = s.doc_id), s.doc_id)) AS component_id FROM sets s
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT count(*) FROM links l WHERE l.a = s.doc_id) AS n_links, least(s.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = s.doc_id), s.doc_id)) AS component_id FROM sets s
+"""
+
+
+COSINE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = v.vec_id), v.vec_id)) AS component_id FROM v)
+SELECT vec_id, n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM named
+"""
+
+REPEATS = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM t),
+windows AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS x FROM places),
+twice AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+hits AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM windows WHERE x IN (SELECT x FROM twice)),
+numbered AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS after FROM runs),
+cut AS (SELECT t.doc_id, any_value(t.n) AS n_bytes, coalesce(sum(hi - lo), 0) AS n_removed, count(lo) AS n_spans,
+               coalesce(string_agg(substr(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (lo - after) AS BIGINT)), '' ORDER BY lo), '') || substr(any_value(h), CAST(2 * coalesce(max(hi), 0) + 1 AS BIGINT)) AS kept
+        FROM t LEFT JOIN gaps g ON g.doc_id = t.doc_id GROUP BY t.doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM cut
 """
 
 
@@ -91,5 +116,7 @@ def oracle() -> dict[str, str]:
     slot = f"(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT % {sharding.TABLE_SIZE})"
     return {
         "op2_ngram_jaccard": JACCARD,
+        "op4_embedding_near_dup": COSINE,
+        "op7_suffix_dedup": REPEATS,
         "op3_sharding": f"SELECT doc_id, CAST({slot} AS INTEGER) AS slot, CAST(split('{owners}', ',')[{slot} + 1] AS INTEGER) AS shard FROM documents",
     }
