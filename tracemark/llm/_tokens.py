@@ -4,7 +4,8 @@ Both public vocabularies first split a text by a published pattern and then merg
 part, so the ids of a text are the ids of its parts in turn.  Here the split is done first, known
 parts come from a table of bounded size, and the library encodes the new ones together, divided by a
 control character that no merge contains.  The split is used only where it is certain to be the
-library's own (Latin letters, ASCII digits, common punctuation); all other texts are encoded whole.
+library's own (Latin letters, ASCII digits, common punctuation); all other texts are encoded whole, and so
+are those that hold the spelling of an added token (as <|endoftext|>), which the library makes one id of.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("(?i:" + "|".join(map(re.escape, added)) + ")").search if added else None
+        self.mark = re.match("[^A-Za-z]*", os.path.commonprefix(added))[0]  # stands in every spelling of one; quick to look for
         self.keeps_blanks = keeps_blanks
         self.cache_pieces = cache_pieces or CACHE_PIECES
         self.pieces = re.compile(_KEEPING if keeps_blanks else _DROPPING).findall
@@ -46,6 +49,9 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _unsure(self, text: str) -> bool:
+        return _UNSURE.search(text) is not None or (self.added is not None and self.mark in text and self.added(text) is not None)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
@@ -74,7 +80,7 @@ class PieceEncoder:
         if len(have) > self.cache_pieces:
             self.older, self.cache = have, {}
             have = self.cache
-        odd = [i for i, t in enumerate(texts) if _UNSURE.search(t)]
+        odd = [i for i, t in enumerate(texts) if self._unsure(t)]
         whole = dict(zip(odd, self._whole([texts[i] for i in odd]))) if odd else {}
         cut = [[] if i in whole else self.pieces(t if self.keeps_blanks else t.lower()) for i, t in enumerate(texts)]
         known = set().union(*cut)
