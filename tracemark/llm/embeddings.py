@@ -166,8 +166,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         pairs = pairs.unionByName(more)
     counts = pairs.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("links")).withColumnRenamed("a", "rep")
     comps = components(pairs.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    named = classes.join(counts, "rep", "left").join(comps, "rep", "left")
-    named = named.select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = v.join(named, "embedding", "left")
+    named = classes.join(counts, "rep", "left").join(comps, "rep", "left").filter("n > 1 OR links IS NOT NULL OR component IS NOT NULL")
+    # vectors meet their class by 128 bits of a hash, and only those whose class has another vector or a link
+    key = lambda c: [F.xxhash64(c).alias("k1"), F.xxhash64(F.lit(1), c).alias("k2")]
+    named = stored(spark, named.select(*key(F.col("embedding")), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-classes")
+    rows = v.select("vec_id", F.col("embedding").isNotNull().alias("sound"), *key(F.col("embedding")))
+    out = rows.join(named, F.col("sound") & (rows.k1 == named.k1) & (rows.k2 == named.k2), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
