@@ -25,8 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tracemark.operators.places import numbered
 from tracemark.plans.storage import stored
 
 WEIGHTS = (5, 2, 1)
@@ -43,23 +43,21 @@ def word_count(text: str | Column) -> Column:
 def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row a source.
 
-    Water filling in closed form: with the sources sorted by cap / weight, a source is at its cap
-    iff the level that the rest could reach lies above its own; the others get weight x level.
+    Sources are ranked by a distributed numbering.  The level of a weight of 1 starts as if no source had a
+    cap; a source whose weight x level passes its cap is held there, and the rest is shared anew, until
+    no further source is above.  Each turn is one sum over the sources.
     """
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1)
-    t = totals.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    t = t.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-    by_level = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    t = t.withColumn("level", (F.col("total") - before) / rest)
-    t = t.withColumn("full", F.col("level") >= F.col("most") / F.col("w"))
-    first = F.first(F.when(~F.col("full"), F.col("level")), ignorenulls=True)
-    t = t.withColumn("water", first.over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.when(F.col("full") | F.col("water").isNull(), F.col("most")).otherwise(F.col("w") * F.col("water"))
-    return t.select("source", "source_size", target.alias("target"))
+    ranked = numbered(totals, [], ["source"], "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    t = stored(totals.sparkSession, ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-weights")
+    level, full = 0.0, -1
+    while True:
+        over = F.col("w") * F.lit(level) > F.col("most")
+        r = t.agg(F.sum("source_size").alias("size"), F.count_if(over).alias("full"), F.sum(F.when(over, F.col("most"))).alias("held"), F.sum(F.when(~over, F.col("w"))).alias("rest")).first()
+        if r.full == full or not r.rest:
+            break
+        full, level = r.full, ((r.size or 0) * share - (r.held or 0.0)) / r.rest
+    return t.select("source", "source_size", F.when(over, F.col("most")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
 def pivotal(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
