@@ -42,3 +42,61 @@ def test_the_documents_of_a_group_are_kept(found):
         if i < 5000:
             kept[i < 1000].append(r.kept)
     assert min(sum(k) / len(k) for k in kept.values()) > 0.98
+
+
+def _plain_verdicts(rows, least_rows):
+    """kept by sorted lists instead of sketches."""
+    import math
+    import re
+
+    facts = []
+    for i, text, lang, source in rows:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        hit = {j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(k, k + 8)}
+        rate = lambda a, b: a / b if b else None
+        n = len(w)
+        stat = {
+            "mean_word": rate(sum(map(len, w)), n), "symbol_rate": rate(sum(c in "#*$%&|<>" for c in t), n), "dup_line_rate": rate(len(lines) - len(set(lines)), len(lines)),
+            "repeat_rate": rate(len(hit), n), "stutter_rate": rate(sum(a == b for a, b in zip(w, w[1:])), n),
+        }
+        facts.append((i, lang, source, n < 20 or 100 * len(hit) > 30 * n, stat))
+    passing = [f for f in facts if not f[3]]
+    out = {}
+    for i, lang, source, failed, stat in facts:
+        pools = ([f for f in passing if f[1:3] == (lang, source)], [f for f in passing if f[1] == lang], passing)
+        pool = next((p for p in pools[:2] if len(p) >= least_rows), pools[2])
+        crossed = []
+        for name, (low, upper, share, least) in rules.STATISTICS.items():
+            x = sorted(f[4][name] for f in pool)
+            q = lambda at, x=x: x[max(0, math.ceil(at * len(x)) - 1)]
+            off = max(rules.FENCE * share * (q(upper) - q(0.25 if low else 0.5)), least) if x else 0
+            if x and stat[name] is not None and (stat[name] > q(upper) + off or (low and stat[name] < q(0.25) - off)):
+                crossed.append(name)
+        out[i] = (failed, sorted(crossed), not failed and not crossed)
+    return out
+
+
+@pytest.mark.parametrize("least_rows", [1, 30, 500])
+def test_verdicts_against_sorted_lists(spark, least_rows):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        lang, source = rng.choice(["en", "fr", None]), rng.choice(["a", "b", None])
+        kind = rng.random()
+        text = _text(rng, rng.randrange(25, 160), rng.choice((0, 0, 0, 1)), rng.choice((4, 6)))
+        if kind < 0.1:
+            text = text.replace(" ", " # ", rng.randrange(1, 12))
+        elif kind < 0.2:
+            text = text.replace(" ", "\nsame line\n", rng.randrange(1, 6))
+        elif kind < 0.25:
+            text = rng.choice(["", None, "few words", "a " * 40])
+        rows.append((i, text, lang, source))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = _plain_verdicts(rows, least_rows)
+    for n in (1, 7):  # the layout of the input doesn't matter
+        got = {r.doc_id: (r.base_failed, sorted(r.reasons), r.kept) for r in rules.quality_rules(d.repartition(n), least_rows=least_rows).collect()}
+        assert got == want
+    assert any(v[1] for v in want.values()) and not all(v[1] for v in want.values())

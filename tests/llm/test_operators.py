@@ -1,5 +1,6 @@
 """Small versions of every operator against brute force, with nulls, ties, repeats and empty tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def _documents():
         for _ in range(3):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         out.append(" ".join(w))
-    out += ["spam " * 300, "spam " * 301, "xy" * 900, "<|endoftext|> 's it\x01 !", text(3000)]
+    out += ["spam " * 300, "spam " * 301, "xy" * 900, "<|endoftext|> 's it\x01 !", "so <|endoftext|><|ENDOFTEXT|> ends <|startoftext|>it", text(3000)]
     out += [text(rng.randrange(1, 150)) for _ in range(30)]
     rows = [(i, t, None if i % 9 == 0 else "en", None if i % 7 == 0 else f"s{i % 4}") for i, t in enumerate(out)]
     rows.append(rows[20])  # a row twice
@@ -87,7 +89,6 @@ def test_null_ids(spark):
 
 def test_packing(docs, rows):
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), capacity=256).collect()
     want = Counter()
     total = 0
@@ -123,9 +124,10 @@ def _sets(rows):
     return out
 
 
-def test_jaccard(docs, rows):
+def _linked(rows):
+    """(doc_id, n_shingles, component_id, n_links) by comparing all pairs."""
     sets = _sets(rows)
-    parent = list(range(len(sets)))
+    parent, links = list(range(len(sets))), Counter()
 
     def root(x):
         while parent[x] != x:
@@ -136,11 +138,18 @@ def test_jaccard(docs, rows):
         x, y = sets[a][1], sets[b][1]
         if x and y and 100 * len(x & y) >= 75 * len(x | y):
             parent[root(a)] = root(b)
+            links.update((a, b))
     least = defaultdict(lambda: 1 << 60)
     for k, (i, _) in enumerate(sets):
         least[root(k)] = min(least[root(k)], i)
-    want = Counter((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect()) == want
+    return Counter((i, len(s), least[root(k)], links[k]) for k, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_jaccard(docs, rows, chunk, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    got = jaccard.similar_components(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == _linked(rows)
 
 
 def test_jaccard_signatures_always_meet():
@@ -160,13 +169,6 @@ def test_jaccard_signatures_always_meet():
         assert sx & sy
 
 
-def test_large_components_are_cut_in_chunks(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK_SETS", 2)
-    want = Counter((r.doc_id, r.component_id) for r in jaccard.similar_components(docs).collect())
-    monkeypatch.setattr(jaccard, "CHUNK_SETS", 2048)
-    assert want == Counter((r.doc_id, r.component_id) for r in jaccard.similar_components(docs).collect())
-
-
 def test_sharding(docs, spark):
     names = [f"n{i}" for i in range(7)]
     table = sharding.lookup_table(names, 503)
@@ -236,7 +238,6 @@ def test_token_blocks():
 
 def test_token_files(docs, rows, monkeypatch):
     t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.token_files(docs, P.path("word_bpe_49k.json")).collect())
     want, at = [], 0
     for i, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0], r[1] or "")):
@@ -246,7 +247,7 @@ def test_token_files(docs, rows, monkeypatch):
     assert got == want
 
 
-def _cover(rows, length):
+def _cover(rows, length, words=0):
     seen = defaultdict(set)
     raw = [(t or "").encode() for _, t, *_ in rows]
     for k, b in enumerate(raw):
@@ -258,24 +259,85 @@ def _cover(rows, length):
         for p in range(len(b) - length + 1):
             if len(seen[b[p : p + length]]) > 1:
                 hit[p : p + length] = True
-        out.append((rows[k][0], len(b), int(hit.sum()), int((np.diff(hit.astype(int)) == 1).sum() + hit[0])))
+        runs = np.flatnonzero(np.diff(np.append(0, hit).astype(int))).reshape(-1, 2).tolist()
+        if words:
+            at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+            runs = [(a, e) for a, e in runs if e - a >= 400 or sum(a <= x and y <= e for x, y in at) >= words]
+        kept = b"".join(b[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(a for a, _ in runs), len(b)]))
+        out.append((rows[k][0], len(b), sum(e - a for a, e in runs), len(runs), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffixes(docs, rows, hot):
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(docs, hot=hot).collect())
-    assert got == Counter(_cover(rows, 400))
+def _removed(found):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect())
+
+
+@pytest.mark.parametrize(("hot", "sieve_keys"), [(20_000, 1 << 22), (1, 0), (3, 1 << 22)])
+def test_suffixes(docs, rows, hot, sieve_keys, monkeypatch):
+    monkeypatch.setattr(suffixes._intervals, "__defaults__", (sieve_keys,))
+    assert _removed(suffixes.remove_repeats(docs, hot=hot)) == Counter(_cover(rows, 400))
+
+
+@pytest.mark.parametrize("words", [0, 40])
+def test_shorter_repeats_by_words(docs, rows, words):
+    assert _removed(suffixes.remove_repeats(docs, length=200, words=words)) == Counter(_cover(rows, 200, words))
 
 
-def test_suffixes_of_repetitive_texts(spark):
+@pytest.mark.parametrize(("hot", "piece"), [(20_000, 1 << 20), (20_000, 64), (5, 1 << 20)])
+def test_suffixes_of_repetitive_texts(spark, hot, piece, monkeypatch):
     rng = random.Random(11)
     line = lambda: "".join(rng.choice("ab") for _ in range(150)) + "\n"
     lines = [line() for _ in range(8)]
     rows = [(i, "".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(d).collect())
-    assert got == Counter(_cover(rows, 400))
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    assert _removed(suffixes.remove_repeats(d, hot=hot)) == Counter(_cover(rows, 400))
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 50])
+def test_undecided_suffixes(piece, monkeypatch):
+    """Many records of one anchor, of which no neighbour settles the cover."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    length = 64
+    gram = rng.integers(97, 99, 32).astype(np.uint8)
+    tails, heads = (rng.integers(97, 123, (6, 32)).astype(np.uint8) for _ in range(2))
+    rights, lefts = [], []
+    for _ in range(300):
+        r = np.concatenate([gram, tails[rng.integers(6)]])
+        x = heads[rng.integers(6)].copy()
+        x[int(rng.integers(4, 33)) :] = rng.integers(97, 123, 1)
+        r[32 + int(rng.integers(4, 33)) :] = rng.integers(97, 123, 1)
+        rights.append(r.tobytes()), lefts.append(x.tobytes())
+    back, ahead = suffixes.shard_cover(np.zeros(300, np.int64), pa.array(rights), pa.array(lefts), length, batch=37)
+    whole = [x[::-1] + r for x, r in zip(lefts, rights)]
+    times = [Counter(w[32 - b : 32 - b + length] for w in whole) for b in range(33)]
+    for i, w in enumerate(whole):
+        hit = [b for b in range(33) if times[b][w[32 - b : 32 - b + length]] > 1]
+        assert (back[i], ahead[i]) == ((max(hit), length - min(hit)) if hit else (0, 0))
+
+
+def test_texts_over_a_block(spark):
+    """Texts of several blocks of windows, with repeats across the blocks' ends."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    a, passage = draw((2 << 20) + 4321), draw(1500)
+    seam = suffixes.BLOCK
+    b = draw(seam - 700) + passage + draw(seam) + a[5000:5400] + draw(900)
+    rows = [(0, a.decode()), (1, b.decode()), (2, (draw(50) + passage).decode()), (3, a[seam - 300 : seam + 300].decode())]
+    marks = {0: [(5000, 5400), (seam - 300, seam + 300)], 1: [(seam - 700, seam + 800), (seam - 700 + 1500 + seam, seam - 700 + 1500 + seam + 400)], 2: [(50, 1550)], 3: [(0, 600)]}
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        raw, runs = rows[r.doc_id][1].encode(), marks[r.doc_id]
+        kept = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)]))
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), len(raw) - len(kept), len(runs)) and r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_clashing_columns_of_repeats(spark):
+    d = spark.createDataFrame([(1, "x " * 300, 7, 8, "s", 9, "a"), (2, "x " * 300, 7, 8, "s", 9, "b"), (3, None, 7, 8, "s", 9, "c")], "doc_id long, text string, row int, copies int, spans string, part int, `a.b` string")
+    got = suffixes.remove_repeats(d)
+    assert got.columns == [*d.columns, *suffixes.RESULTS]
+    assert sorted((r.doc_id, r.row, r.copies, r.spans, r["a.b"], r.n_removed) for r in got.collect()) == [(1, 7, 8, "s", "a", 600), (2, 7, 8, "s", "b", 600), (3, 7, 8, "s", "c", 0)]
 
 
 def _repeat_words(w):
@@ -342,18 +404,11 @@ def test_good_turing_or_half_a_count():
     assert all(0 < x < 1 for x in d[1:]) and (lm.discounts([1, 0, 0, 0, 0, 0])[1:] == (np.arange(1, 6) - 0.5) / np.arange(1, 6)).all()
 
 
-@pytest.mark.parametrize("bucket", [5, 20_000])
-def test_mixing(spark, docs, rows, bucket):
-    got = mixing.mix_sources(docs, bucket_rows=bucket)
-    first = sorted((r.doc_id, r.source or "", r.size, r.source_size, r.target, r.taken) for r in got.collect())
-    again = mixing.mix_sources(docs.repartition(5), bucket_rows=bucket)
-    assert first == sorted((r.doc_id, r.source or "", r.size, r.source_size, r.target, r.taken) for r in again.collect())
-    size = Counter()
-    for _, t, _, s in rows:
-        size[s] += len(_words(t))
-    names = sorted(x for x in size if x) + [None]
+def _targets(size):
+    """Targets of the sources by sharing the excess anew until none is above its cap."""
+    names = sorted(x for x in size if x is not None) + [None] * (None in size)
     target, left, open_ = {}, 1.5 * sum(size.values()), {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
-    while True:
+    while open_:
         level = left / sum(open_.values())
         full = [n for n, w in open_.items() if w * level > 2 * size[n]]
         if not full:
@@ -362,7 +417,19 @@ def test_mixing(spark, docs, rows, bucket):
             target[n] = 2.0 * size[n]
             left -= target[n]
             del open_[n]
-    target |= {n: w * level for n, w in open_.items()}
+    return target | {n: w * level for n, w in open_.items()}
+
+
+@pytest.mark.parametrize("bucket", [5, 20_000])
+def test_mixing(spark, docs, rows, bucket):
+    got = mixing.mix_sources(docs, bucket_rows=bucket)
+    first = sorted((r.doc_id, r.source or "", r.size, r.source_size, r.target, r.taken) for r in got.collect())
+    again = mixing.mix_sources(docs.repartition(5), bucket_rows=bucket)
+    assert first == sorted((r.doc_id, r.source or "", r.size, r.source_size, r.target, r.taken) for r in again.collect())
+    size = Counter()
+    for _, t, _, s in rows:
+        size[s] += len(_words(t))
+    target = _targets(size)
     taken, biggest = Counter(), Counter()
     for _, s, n, total, goal, k in first:
         s = s or None

@@ -1,0 +1,195 @@
+"""Reports, packets, scouts, evidence runs and the writers, on small fixtures."""
+
+import datetime as dt
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracemark.operators import cases, claims, consensus, gates, propagation, report, saydo, summaries
+from tracemark.operators.transcript import overlapping
+from tracemark.sources import jsonl, sinks
+
+AT = lambda h, m=0: dt.datetime(2026, 6, 1, h, m)
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    rows = [(f"s:msg:{k:08d}-0000-4000-8000-000000000000", AT(8 + k // 60, k % 60), f"s:agent:{k % 3}", "s:room:1", "AGENT_TALK", f"this is message number {k} of the long log, said by agent {k % 3}") for k in range(120)]
+    return spark.createDataFrame(rows, "event_id string, ts timestamp, actor_id string, channel_id string, subtype string, text string").withColumn("source", F.lit("s")).cache()
+
+
+@pytest.fixture(scope="module")
+def actors(spark):
+    return spark.createDataFrame([(f"s:agent:{k}", f"Agent {k}") for k in range(3)], "actor_id string, display_name string")
+
+
+@pytest.fixture(scope="module")
+def channels(spark):
+    return spark.createDataFrame([("s:room:1", "chat_room", "rest")], "channel_id string, kind string, name string")
+
+
+def _ref(k):
+    return f"{k:08d}00"
+
+
+def _quote(k):
+    return f"message number {k} of the long log"
+
+
+BATCH = "model string, claims array<struct<id:string,question:string,claim:string,actors:array<string>,count:int,evidence:array<struct<ref:string,quote:string>>,importance:int>>"
+
+
+def test_report(spark, events, actors, channels):
+    claim = lambda i, *e: (i, "Q1", f"claim {i}", ["Agent 0"], None, list(e), 4)
+    b = spark.createDataFrame([("m1", [claim("a", (_ref(3), _quote(3)), (_ref(4), "never said at all")), claim("b", (_ref(6), _quote(6)))])], BATCH)
+    f = spark.createDataFrame([("f1", "evidence", 0, _ref(3), _quote(3)), ("f1", "did", 1, "turn000001", "12 passed"), ("f2", "counter_evidence", 0, _ref(9), "nothing like it")], "finding string, role string, n int, ref string, quote string")
+    t = spark.createDataFrame([("turn000001", "turn000001", "Agent 0", AT(9), "bash", "pytest", "12 passed\nin all", None, None)], "turn_id string, ref string, agent string, ts timestamp, action_type string, action_text string, out_text string, out_tail string, err_text string")
+    h = spark.createDataFrame([("u", n, f"s:msg:{n:08d}-0000-4000-8000-000000000000", _quote(n)) for n in range(60)], "unit string, n int, ref string, quote string")
+    days = spark.createDataFrame([(436, dt.date(2026, 5, 31))], "day int, date date")
+    r = report.build_report(b, events, actors, channels, findings=f, turns=t, hops=h, first_pass=b, days=days, base="u")
+    c = {x.claim_key: x for x in r["claims"].collect()}
+    assert {k: x.status for k, x in c.items()} == {"m1/a/0": "partial", "m1/b/1": "verified"}
+    good, bad = c["m1/a/0"].evidence
+    assert (good.status, good.actor, good.room, good.context[good.span[0] : good.span[1]]) == ("verified", "Agent 0", "rest", _quote(3)) and good.deeplink.startswith("u?day=436&time=")
+    assert (bad.status, bad.context, bad.deeplink) == ("quote_not_found", None, None)
+    assert tuple(r["metrics"].first()) == (3, 2, 0.3333) and tuple(r["first_pass_by_model"].first()) == ("m1", 3, 2, 0.3333)
+    found = {x.finding: x for x in r["findings"].collect()}
+    assert found["f1"].all_verified and [e.role for e in found["f1"].evidence] == ["evidence", "did"] and not found["f2"].all_verified
+    did = found["f1"].evidence[1]
+    assert did.context == "bash: pytest\n\n[output]\n12 passed\nin all" and did.context[did.span[0] : did.span[1]] == "12 passed" and did.room == "computer-use"
+    assert r["hops"].count() == 41 and r["hops"].filter("status = 'verified'").count() == 41
+    lines = claims.digest_lines(r["claims"].withColumns({"importance": F.lit(4), "question": F.lit("Q1"), "claim": F.lit("a  b"), "actors": F.array(F.lit("X"))})).collect()
+    assert [(x.place, x.line) for x in lines] == [(1, "(4) Q1 a b [X]")]
+
+
+CLAIMS = "packet string, lens string, version string, claim_id string, count int, actors array<string>, evidence array<struct<ref:string,quote:string>>"
+REPORTED = "packet string, lens string, version string, claim_id string, status string, quotes array<string>"
+
+
+def _packet(spark, events, actors, forge=None):
+    """A sound packet of 8 claims over 90 events, or one that is spoiled in one way."""
+    rows = [("p", "x", v, f"c{k}", None, ["Agent 0"], [(_ref(12 * k - k % 3 + j * 3), _quote(12 * k - k % 3 + j * 3)) for j in range(3)]) for v in ("v1", "v2") for k in range(1, 8)]
+    rows = [(*r[:5], [f"Agent {(12 * int(r[3][1:]) - int(r[3][1:]) % 3) % 3}"], r[6]) for r in rows]
+    changes = [("p", "x", "c1", "quote_repair")]
+    if forge == "deleted":
+        rows = [r for r in rows if r[2] == "v1" or r[3] != "c3"]
+    if forge == "short":
+        rows = [(*r[:6], [(a, "message number") for a, _ in r[6]]) for r in rows]
+    if forge == "depth":
+        rows = [(*r[:5], ["Agent 0"], [(_ref(3 + 3 * j), _quote(3 + 3 * j)) for j in range(3)]) for r in rows]
+    if forge == "unknown":
+        changes.append(("p", "x", "c2", "tidied"))
+    if forge == "actors":
+        rows = [(*r[:5], ["Somebody Else"], r[6]) for r in rows]
+    given = [(*r[:4], "verified", ["verified"] * len(r[6])) for r in rows]
+    if forge == "misquote":
+        rows = [(*r[:6], [(r[6][0][0], "a thing that nobody wrote"), *r[6][1:]]) if r[3] == "c2" else r for r in rows]
+    lines = [("p", _ref(k), k + 1) for k in range(90)]
+    d = spark.createDataFrame
+    return cases.packet_facts(d(rows, CLAIMS), d(given, REPORTED), d(changes, "packet string, lens string, claim_id string, kind string"), d(lines, "packet string, ref string, line int"), events, actors)
+
+
+@pytest.mark.parametrize(
+    ("forge", "fails"),
+    [(None, []), ("misquote", ["forged", "unverified", "quotes"]), ("deleted", ["unlogged"]), ("short", ["short_quotes"]), ("depth", ["depth", "few_events"]), ("unknown", ["changes"]), ("actors", ["actors"])],
+)
+def test_forged_packets(spark, events, actors, forge, fails):
+    (r,) = cases.packet_verdicts(_packet(spark, events, actors, forge)).collect()
+    assert r.fails == fails and r.verdict == ("REVISE" if fails else "ACCEPT")
+
+
+def test_tripwire_and_receipts(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / n).write_text(n)
+    kept = gates.file_hashes(spark, str(tmp_path / "*")).collect()
+    assert {r.sha256 for r in kept} == {hashlib.sha256(n.encode()).hexdigest() for n in "ab"}
+    kept = spark.createDataFrame([tuple(r) for r in kept], "path string, sha256 string")
+    (tmp_path / "b").write_text("other")
+    (tmp_path / "c").write_text("c")
+    changed = {r.path.rsplit("/", 1)[-1]: r.change for r in cases.changed_files(kept, gates.file_hashes(spark, str(tmp_path / "*"))).collect()}
+    assert changed == {"b": "changed", "c": "added"}
+    p = spark.createDataFrame([("p", 100, 10, 10, 0, 0, 10, 10, 0, 5, 20, 1, True)], "packet string, n_events int, claims int, claims_before int, deleted int, flagged int, quotes int, long_quotes int, quotes_unverified int, fifths int, cited int, most_reused int, tripped boolean")
+    assert cases.packet_verdicts(p).first().verdict == "REJECT"
+    lines = spark.createDataFrame([("p", f"r{k}", k) for k in range(10)], "packet string, ref string, line int")
+    receipts = spark.createDataFrame([("p", 1, 0, 4, ["r1", "r3"]), ("p", 2, 5, 9, ["r1", "r6"]), ("p", 3, 0, 9, ["r1", "r1"]), ("p", 4, 0, 9, [])], "packet string, receipt int, lo int, hi int, refs array<string>")
+    assert tuple(cases.false_receipts(receipts, lines).first()) == ("p", 4, 3)
+
+
+def test_statement_fields_and_numbers(spark):
+    names = F.array(*[F.lit(x) for x in gates.FIELDS])
+    s = spark.createDataFrame([("r", "answered", "f", 1, "GA", v, None, None, False, None, q) for v, q in (("12", "saw GA 12 there"), ("12", "saw GA 12.4 there"), ("10", "GA at 10:25 sharp"), ("25", "GA at 10:25 sharp"), ("NA", "GA was NA, so"), ("N", "GA was NA, so"), ("1,200", "GA 1200 of them"))], "record_id string, kind string, family string, round int, item string, value string, task_clock string, cohort_tier string, used_cache boolean, corrects_value string, quote string")
+    posts = spark.createDataFrame([("r", "saw GA 12 there saw GA 12.4 there GA at 10:25 sharp GA was NA, so GA 1200 of them")], "record_id string, text string")
+    got = [(r.value, r.reason) for r in gates.check_statements(s, posts, ["f"], names).collect()]
+    assert sorted(got, key=str) == sorted([("12", None), ("12", "value_not_whole_number_in_quote"), ("10", "value_not_whole_number_in_quote"), ("25", "value_not_whole_number_in_quote"), ("NA", None), ("N", "value_not_whole_number_in_quote"), ("1,200", None)], key=str)
+    assert {r.reason for r in gates.check_statements(s, posts, ["f"], F.array(F.lit("kind"))).collect()} == {"fields"}
+
+
+def test_scouts(spark):
+    labels = spark.createDataFrame([("1", "S1", "I ran  ahead", True, False, True, False), ("2", "S2", "not there", True, False, False, False), ("3", "S3", "asked you", False, True, False, False), ("4", "S4", "x", False, False, False, False), ("9", "S5", "x", True, False, False, False)], "scout_id string, signer string, quote string, self_accelerates boolean, asks_others boolean, for_relay boolean, accepts_cost boolean")
+    records = spark.createDataFrame([(k, t, "2026-06-01T00:00:00Z", "f") for k, t in (("1", "so I ran ahead then"), ("2", "nothing"), ("3", "I asked you"))], "scout_id string, text string, wall_time string, page_family string")
+    checked = consensus.checked_labels(labels, records)
+    assert {r.scout_id: r.stands for r in checked.collect()} == {"1": True, "2": False, "3": True, "9": False}
+    group = consensus.scouts(checked)
+    assert [r.signature for r in group.collect()] == ["S1"]
+    at = lambda m: f"2026-06-01T00:{m:02d}:00Z"
+    rows = [("a", at(1), "S1", "answered", "5"), ("b", at(2), "S2", "answered", "5"), ("c", at(3), "S6", "predicted", "5"), ("d", at(4), "S6", "answered", "5")]
+    s = spark.createDataFrame([(i, t, g, "f", 1, "ohio", v, k, False) for i, t, g, k, v in rows], "record_id string, wall_time string, signature string, family string, round int, item string, value string, kind string, used_cache boolean")
+    got = {r.what: (r.n, r.by_group) for r in consensus.scout_shares(consensus.prepared(s), group).collect()}
+    assert got == {"statements": (4, 1), "answer_reveals": (1, 1), "first_mentions": (1, 1), "foreknowledge_sources": (1, 1)}
+
+
+def test_evidence_runs(spark):
+    turns = [
+        ("Red", AT(11, 40), "r1", "pytest", "2 failed, 39 passed in 3.0s"), ("Red", AT(11, 20), "r0", "pytest", "41 passed in 3.0s"), ("Green", AT(11, 10), "g1", "pytest", "41 passed in 2.0s"), ("Green", AT(11, 50), "g2", "pytest", "1 failed, 40 passed in 1.0s"),
+        ("Quiet", AT(11, 30), "q1", "pytest", "hm"), ("Late", AT(11, 30), "l1", "pytest", "7 passed in 1.0s"),
+    ]
+    t = spark.createDataFrame([(*x[:4], x[4]) for x in turns], "agent string, ts timestamp, ref string, action_text string, out_text string").withColumn("action_type", F.lit("bash")).withColumn("out_tail", F.lit(None).cast("string"))
+    c = spark.createDataFrame([("a", "Red", AT(12), 12), ("b", "Green", AT(12), 41), ("c", "Quiet", AT(12), 7), ("d", "Late", AT(15), 7)], "claim_id string, agent string, ts timestamp, passed int").withColumn("total", F.lit(None).cast("int")).withColumn("relayed", F.lit(False))
+    agents = spark.createDataFrame([(a, "m") for a in ("Red", "Green", "Quiet", "Late")], "name string, model_string string")
+    runs = saydo.test_runs(t)
+    got = {r.claim_id: (r.category, r.later_red, r.evidence_run) for r in saydo.evidence_run(saydo.audit(c, runs, agents), runs).collect()}
+    assert got["a"][0] == "contradicted" and (got["a"][2].ref, got["a"][2].failed, got["a"][2].lag_min) == ("r1", 2, 20.0)
+    assert got["b"][:2] == ("backed", True) and (got["b"][2].ref, got["b"][2].passed, got["b"][2].quote) == ("g1", 41, "41 passed in 2.0s")
+    assert got["c"][0] == "backed_by_other_agent" and (got["c"][2].ref, got["c"][2].agent) == ("l1", "Late") and got["d"][0] == "no_run_observed" and got["d"][2] is None
+    w = {r.window_hours: r.judged for r in saydo.sensitivity(c, runs, agents, (0.25, 2.0, 6.0)).collect()}
+    assert w == {0.25: 1, 2.0: 3, 6.0: 4}
+
+
+def test_overlaps_in_buckets(spark):
+    p = spark.range(300).selectExpr("id", "timestamp_seconds(id * 37 % 1000) AS start", "CASE WHEN id % 11 = 0 THEN NULL ELSE timestamp_seconds(id * 37 % 1000 + id % 60) END AS end")
+    q = spark.range(40).selectExpr("id AS episode", "timestamp_seconds(id * 23) AS lo", "timestamp_seconds(id * 23 + id % 9 * 7) AS hi")
+    pairs = lambda d: sorted((r.id, r.episode) for r in d.collect())
+    assert pairs(overlapping(p, q, most=5)) == pairs(overlapping(p, q)) and len(pairs(overlapping(p, q))) > 500
+
+
+def test_writers_and_documents(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a\nb"), (2, None)], "id int, text string")
+    sinks.write_jsonl(d, str(tmp_path / "j"))
+    assert sorted(json.loads(x).get("id") for p in (tmp_path / "j").glob("part-*") for x in p.read_text().splitlines()) == [1, 2]
+    lines = spark.createDataFrame([(AT(9), "e2", "second"), (AT(8), "e1", "first")], "ts timestamp, event_id string, line string")
+    sinks.write_transcript(lines, str(tmp_path / "t"))
+    assert [x for p in sorted((tmp_path / "t").glob("part-*")) for x in p.read_text().splitlines()] == ["first", "second"]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.json").write_text(json.dumps({"a": 1, "b": [1, 2]}, indent=1))
+    (r,) = jsonl.read_documents(spark, str(tmp_path / "d" / "*.json"), "a int, b array<int>").collect()
+    assert (r.a, r.b, r.file) == (1, [1, 2], "x.json")
+
+
+def test_small_tables(spark):
+    c = spark.createDataFrame([("u", [("x",)] * 50)], "unit string, adopters array<struct<a:string>>")
+    assert len(report.capped_adopters(c).first().adopters) == 40
+    e = spark.createDataFrame([("k", 1, "r1", "q", "verified"), ("k", 0, "r0", "p", "verified")], "claim_key string, n int, ref string, quote string, status string")
+    assert [x.n for x in report.nested(spark.createDataFrame([("k",), ("z",)], "claim_key string"), e).filter("claim_key = 'k'").first().evidence] == [0, 1]
+    x = spark.createDataFrame([(True, True, "A"), (True, False, "B"), (False, True, "C"), (True, False, "A")], "confirmed boolean, last_run_red boolean, agent string")
+    assert {(r.finding, r.n, tuple(r.agents)) for r in cases.confirmed(x).collect()} == {("last run red", 1, ("A",)), ("no green run", 2, ("A", "B"))}
+    f = spark.createDataFrame([("f1", "e1", True), ("f2", "e1", False), ("f3", "e2", True)], "finding string, episode string, survives boolean")
+    k = spark.createDataFrame([("f1", "ok"), ("f1", "wrong"), ("f3", "ok")], "finding string, status string")
+    assert {(r.what, r.key): r.n for r in cases.finding_numbers(f, k).collect()} == {("reviewed", None): 3, ("survive", None): 2, ("survive", "e1"): 1, ("survive", "e2"): 1, ("check", "ok"): 2, ("check", "wrong"): 1}
+    u = spark.createDataFrame([("k", "u", 2, "e2", "a", 0), ("k", "u", 1, "e1", "a", 0), ("k", "u", 3, "e3", "b", 0)], "kind string, unit string, ts int, event_id string, actor_id string, place int")
+    assert {(r.actor_id, r.event_id) for r in propagation.first_uses(u).collect()} == {("a", "e1"), ("b", "e3")}
+    assert summaries.window_manifest(spark.createDataFrame([("e", 0, 5, AT(1)), ("e", 0, 6, AT(2))], "episode string, bin int, size int, ts timestamp")).first().chars == 13
+    g = lambda *rows: spark.createDataFrame(list(rows), "unit string, n int, value string")
+    differ = gates.against_gold(g(("a", 1, "x"), ("b", 2, None), ("c", 3, "z")), g(("a", 1, "x"), ("b", 3, None), ("d", 4, "w")), ["unit"], ["n", "value"])
+    assert {(r.unit, r.field, r.computed, r.gold) for r in differ.collect()} == {("b", "n", "2", "3"), ("c", "n", "3", None), ("c", "value", "z", None), ("d", "n", None, "4"), ("d", "value", None, "w")}

@@ -8,7 +8,8 @@ frees one count (its denominator grows by one), so nothing ever has probability
 start token, so its first words have the shorter histories that there are.
 
 The counts live in tables that are partitioned by key.  Documents are gathered in blocks (one row
-each, so a block never splits).  A block asks the parts for its distinct keys, in sorted order, and a
+each, so a block never splits) as word numbers with the hashes of the words, the frequent ones first: no
+round has to read the texts again.  A block asks the parts for its distinct keys, in sorted order, and a
 part answers in that order: a key crosses the network once per block, however often it occurs.  Of the
 blocks that hold an n-gram the first one owns it and adds it to the sums of its history, which are
 exchanged a round later.  Every count comes from all training documents.  An answer also says whether no other
@@ -24,7 +25,8 @@ compressed.  Answers are read back by block from the shared folder.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as training text;
 repeated rows count as often as they occur; without training text every word is unknown; an empty
-table gives an empty result; only doc_id and text are read.
+table gives an empty result; a text may be as long as a column holds (it is a block of its own, and a task holds
+one block in memory); only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -41,16 +43,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemark.llm._kernels import LOWER, MULT, U64, mix, text_buffer, tidy_group, tidy_stream, word_hashes, words
+from tracemark.llm._kernels import LOWER, MULT, U64, mix, text_buffer, release_memory, tidy_group, tidy_stream, word_hashes, words
 from tracemark.plans.storage import fresh_path, stored
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 PART_BYTES = 16 << 20
 ORDER = 3  # of the registered query
 HISTORIES = 100  # kind of the histories of n-grams, less n
 LOW = 5  # counts up to this are discounted
 END, START = U64(0x1B873593CC9E2D51), U64(0xE6546B64A54FF53B)
-_BLOCK = "block long, doc_id array<long>, train array<boolean>, text array<string>"
+_BLOCK = "block long, doc_id array<long>, train array<boolean>, n_tokens array<int>, size long, words binary, tokens binary"
 
 
 def _pack(x: np.ndarray, sorted_: bool = False) -> bytes:
@@ -114,8 +116,17 @@ def _to_blocks(limit: int):
 
         def row() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            one = lambda c, kind: pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks().cast(kind))
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), one(0, pa.int64()), one(1, pa.bool_()), one(2, pa.string())], ["block", "doc_id", "train", "text"])
+            data, off = text_buffer(t.column(2).combine_chunks())
+            data = LOWER[data]
+            starts, ends, at = words(data, off)
+            keys, _, inv = _distinct(np.insert(word_hashes(data, starts, ends), at[1:], END))
+            order = np.argsort(-np.bincount(inv, minlength=len(keys)), kind="stable")
+            number = np.empty(len(keys), np.uint32)
+            number[order] = np.arange(len(keys), dtype=np.uint32)
+            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), pa.array(values, kind))
+            lists = [one(t.column(0).combine_chunks(), pa.int64()), one(t.column(1).combine_chunks(), pa.bool_()), one((np.diff(at) + 1).astype(np.int32), pa.int32())]
+            binaries = [pa.array([_pack(x)], pa.binary()) for x in (keys[order], number[inv])]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), *lists, pa.array([len(data)], pa.int64()), *binaries], ["block", "doc_id", "train", "n_tokens", "size", "words", "tokens"])
 
         for batch in batches:
             _, off = text_buffer(batch.column(2))
@@ -172,16 +183,18 @@ class Grams:
     """The distinct n-grams of a block: keys, a token of each, the number of every token's n-gram (-1: none), training
     occurrences; whether their counts are asked for; then total, owned, sole (no other block has it)."""
 
-    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, learnt: np.ndarray, length: int):
-        self.keys, some, inv = _distinct(hashes)
-        self.some = tokens[some]
-        self.of = np.full(length, -1)
-        self.of[tokens] = inv
-        self.n = np.bincount(inv, learnt[tokens], len(self.keys)).astype(np.int64)
-        self.asked = np.ones(len(self.keys), bool)
+    def __init__(self, keys: np.ndarray, some: np.ndarray, inv: np.ndarray, tokens: np.ndarray, learnt: np.ndarray):
+        self.keys, self.some = keys, tokens[some]
+        if len(tokens) == len(learnt):
+            self.of = inv
+        else:
+            self.of = np.full(len(learnt), -1)
+            self.of[tokens] = inv
+        self.n = np.bincount(inv[learnt[tokens]], minlength=len(keys))
+        self.asked = np.ones(len(keys), bool)
 
     def answered(self, answer: np.ndarray) -> None:
-        self.total, self.owned, self.sole = self.n.copy(), np.ones(len(self.n), bool), np.ones(len(self.n), bool)
+        self.total, self.owned, self.sole = self.n, np.ones(len(self.n), bool), np.ones(len(self.n), bool)
         self.total[self.asked] = (answer >> U64(2)).astype(np.int64)
         self.owned[self.asked] = (answer & U64(1)).astype(bool)
         self.sole[self.asked] = (answer & U64(2)).astype(bool)
@@ -194,15 +207,19 @@ class Block:
         self.block = batch.column(0)[k].as_py()
         self.ids = batch.column(1)[k].values
         self.train = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
-        data, off = text_buffer(batch.column(3)[k].values)
-        data = LOWER[data]
-        starts, ends, at = words(data, off)
-        n = np.diff(at) + 1
-        self.word = np.insert(word_hashes(data, starts, ends), at[1:], END)
+        n = batch.column(3)[k].values.to_numpy().astype(np.int64)
+        known, tokens = _unpack(batch.column(5)[k].as_py(), "<u8"), _unpack(batch.column(6)[k].as_py(), "<u4")
+        self.word = known[tokens]
         self.owner = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(n) - n, n)
         self.learnt = self.train[self.owner]
-        self.hashes, self.grams = self.word, {1: Grams(self.word, np.arange(len(self.word)), self.learnt, len(self.word))}
+        order = np.argsort(known)
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        every, inv = np.arange(len(tokens)), rank[tokens]
+        some = np.empty(len(known), np.int64)
+        some[inv[::-1]] = every[::-1]  # the first place of each word
+        self.hashes, self.grams = self.word, {1: Grams(known[order], some, inv, every, self.learnt)}
 
     def add(self, n: int) -> Grams:
         """The n-grams, from the (n-1)-grams; those with an (n-1)-gram that no other block has aren't asked for."""
@@ -212,7 +229,7 @@ class Block:
             before[self.place == 0] = START
         self.hashes = mix(before * MULT[30] + self.word * MULT[31] + U64(n - 2))
         tokens = np.flatnonzero(self.place >= n - 2)
-        g = self.grams[n] = Grams(self.hashes[tokens], tokens, self.learnt, len(self.word))
+        g = self.grams[n] = Grams(*_distinct(self.hashes[tokens]), tokens, self.learnt)
         if n > 2:
             short = self.grams[n - 1]
             g.asked = ~(short.sole[short.of[g.some]] | short.sole[short.of[g.some - 1]])
@@ -243,7 +260,7 @@ def _known(batch: pa.RecordBatch, k: int, uris: list[str], order: int) -> tuple[
     rounds = [_answers(uri, b.block) for uri in uris]
     for n in range(1, min(len(uris) + 1, order) + 1 if uris else 1):
         g = b.grams[1] if n == 1 else b.add(n)
-        g.answered(_joined(rounds[max(n - 2, 0)].get(n, []), 0, "<u8"))
+        g.answered(_joined(rounds[max(n - 2, 0)].pop(n, []), 0, "<u8"))
     return b, rounds
 
 
@@ -352,32 +369,42 @@ def _score(uris: list[str], order: int, stats: dict[int, np.ndarray], texts: int
     uni = Unigrams(total, stats[1][: LOW + 1])
     d = {n: discounts(x[: LOW + 1]) for n, x in stats.items()}
 
+    def step(b: Block, n: int, answers: list[list[bytes]], p: np.ndarray, den: np.ndarray) -> None:
+        """Probabilities and denominators of all tokens from those of order n - 1 to those of order n."""
+        g = b.grams[n]
+        _, h, figures, ask = b.followers(n)
+        for j, f in enumerate(figures):
+            f[ask] = _joined(answers, j, f.dtype)
+        some = np.zeros(len(figures[0]), np.int64)
+        some[h] = g.some
+        ch = np.append(b.grams[n - 1].total, texts)
+        den_h, alpha = backoff(ch, figures[:LOW], figures[LOW:-1], figures[-1], d[n], d[n - 1], den[some])
+        del figures, some, ch
+        at = np.flatnonzero(g.of >= 0)
+        own = g.of[at]
+        r, to = g.total[own], h[own]
+        seen = np.where(r <= LOW, d[n][np.minimum(r, LOW)], 1.0) * r / den_h[to]
+        p[at] = np.where(r > 0, seen, alpha[to] * p[at])
+        den[at] = den_h[to]
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b, rounds = _known(batch, k, uris, order)
+                b.word = b.hashes = None  # scoring needs the numbers of the n-grams alone
                 c = b.grams[1].total[b.grams[1].of]
                 p, den = uni(c), np.full(len(c), float(uni.den))
                 for n in range(2, order + 1):
-                    g = b.grams[n]
-                    _, h, figures, ask = b.followers(n)
-                    for j, f in enumerate(figures):
-                        f[ask] = _joined(rounds[n - 1].get(HISTORIES + n, []), j, f.dtype)
-                    some = np.zeros(len(figures[0]), np.int64)
-                    some[h] = g.some
-                    ch = np.append(b.grams[n - 1].total, texts)
-                    den_h, alpha = backoff(ch, figures[:LOW], figures[LOW:-1], figures[-1], d[n], d[n - 1], den[some])
-                    at = np.flatnonzero(g.of >= 0)
-                    r, to = g.total[g.of[at]], h[g.of[at]]
-                    seen = np.where(r <= LOW, d[n][np.minimum(r, LOW)], 1.0) * r / den_h[to]
-                    p[at] = np.where(r > 0, seen, alpha[to] * p[at])
-                    den[at] = den_h[to]
+                    step(b, n, rounds[n - 1].pop(HISTORIES + n, []), p, den)
+                    b.grams[n - 1] = None
                 n = len(b.ids)
                 base = np.log10((c + 1) / (total + distinct + 1))
                 yield pa.RecordBatch.from_arrays(
                     [b.ids, pa.array(~b.train), pa.array(np.bincount(b.owner, minlength=n)), pa.array(np.bincount(b.owner, c > 0, n).astype(np.int64)), pa.array(np.full(n, total)), pa.array(np.bincount(b.owner, base, n)), pa.array(np.bincount(b.owner, np.log10(p), n))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del b, rounds, c, p, den, base
+                release_memory()
 
     return go
 
@@ -394,6 +421,18 @@ def _by_block(answers: DataFrame, tag: str) -> str:
     return uri
 
 
+def _summed(stats: DataFrame) -> DataFrame:
+    """(kind, place, n): the figures of all parts, added up."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            kinds = np.repeat(batch.column(0).to_numpy(), LOW + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.tile(np.arange(LOW + 3, dtype=np.int32), len(numbers))), pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int64))], ["kind", "place", "n"])
+
+    return stats.select("kind", "keys").mapInArrow(go, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+
+
 def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -404,16 +443,16 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, order: int = 2)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out()).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = fresh_path(spark, "lm-blocks")
-    rows.mapInArrow(_to_blocks(block_bytes), _BLOCK).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tidy_stream(_to_blocks(block_bytes)), _BLOCK).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(_BLOCK).parquet(path)
-    size = blocks.select(F.explode(F.arrays_zip("train", "text")).alias("d")).agg(F.sum(F.octet_length("d.text")), F.count_if("d.train")).first()
-    parts, texts = max(8, math.ceil((size[0] or 0) / PART_BYTES)), size[1]
+    size = blocks.agg(F.sum("size"), F.sum(F.size(F.filter("train", lambda t: t)))).first()
+    parts, texts = max(8, math.ceil((size[0] or 0) / PART_BYTES)), size[1] or 0
     message = "block long, kind int, part int, keys binary, figures array<binary>"
     stats, uris = {n: np.zeros(LOW + 3, np.int64) for n in range(1, order + 1)}, []
     for k in range(1, order + 1):
         asked = blocks.mapInArrow(tidy_stream(_ask(list(uris), order, parts)), message)
         uris.append(_by_block(asked.groupBy("kind", "part").applyInArrow(tidy_group(_answer), message), f"lm-round-{k}"))
         back = spark.read.schema(message).parquet(uris[-1]).filter("block = -1")
-        for r in back.select("kind", "keys").toLocalIterator():  # LOW + 3 numbers a part
-            stats[r.kind] += np.frombuffer(r.keys, np.int64)
+        for r in _summed(back).collect():  # LOW + 3 numbers an order
+            stats[r.kind][r.place] += r.n
     return blocks.mapInArrow(tidy_stream(_score(uris, order, stats, texts)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

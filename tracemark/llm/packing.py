@@ -9,7 +9,8 @@ others (as places for them); the rest are final.  A tree node so holds at most F
 items whatever the data.  Every round is written to the shared folder.
 
 Defined cases: a null or empty text is the end id alone; null ids are carried along; repeated rows
-give repeated pieces; an empty table gives an empty result; only doc_id and text are read.
+give repeated pieces; a text may be as long as a column holds (it is encoded as one, in one task); an empty
+table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations

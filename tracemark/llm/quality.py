@@ -13,7 +13,8 @@ broadcast model has a fixed size (about 6 MB).
 Defined cases: a null text counts as empty, and an empty text gets the score of a document without
 words; rows without a usable label are not learnt from; without any labelled row, or with one class
 only, the score is the smoothed share of label 1; repeated rows get equal scores; an empty table gives
-an empty result; labels, lang, source and doc_id are no inputs of a score.
+an empty result; a text may be as long as a column holds, and is scored whole; labels, lang, source and doc_id are
+no inputs of a score; further columns are carried along by ``score_documents``, one named quality_score is replaced.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ merged sketch of their language or of everything, and a document is rejected whe
 beyond a fence that the group's own quantiles set.  The thresholds are joined back to the documents.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source is a group of
-its own; repeated rows count as often as they occur; an empty table gives an empty result; only
-doc_id, text, lang and source are read.
+its own; repeated rows count as often as they occur; a text may be as long as a column holds; an empty table gives
+an empty result; only doc_id, text, lang and source are read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ file under a temporary name in the shared folder and rename it when it is comple
 speculative task leaves one whole file.  Files are opened by their URI with pyarrow's file systems.
 
 Defined cases: a null text is the end id alone; null ids come first; documents that share an id are
-ordered by their text; an empty table writes no file and gives an empty result.
+ordered by their text; a text may be as long as a column holds (it is encoded as one, in one task); an empty table
+writes no file and gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -17,14 +17,15 @@ FIRST_HAND = ("observed_prompt", "answered")
 AHEAD = ("predicted", "relayed")
 UNIT = ["family", "round", "item"]
 _ORDER = ["wall_time", "record_id"]
+_READ = ("record_id", "wall_time", "signature", "family", "round", "item", "value", "kind", "used_cache")
 
 
 def _base(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(units, statements with rounds, those of them that have one), kept as tables: all metrics below
-    read them several times, and the normal forms and the units are worked out once."""
-    s = stored(s.sparkSession, s, "statements")
+    """(units, statements with rounds, those of them that have one): all metrics below read them several times, so the
+    normal forms and the units are worked out once and kept as tables."""
+    s = stored(s.sparkSession, s.select(*[c for c in _READ if c in s.columns]), "statements")
     u = stored(s.sparkSession, units(s), "units")
-    every = stored(s.sparkSession, with_rounds(s, u), "rounds")
+    every = with_rounds(s, u)
     return u, every, every.filter("round IS NOT NULL")
 
 
@@ -139,12 +140,14 @@ def foreknowledge(s: DataFrame) -> DataFrame:
     a = ahead.groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("ahead_time"), F.max(F.coalesce(F.col("value") == F.col("consensus_value"), F.lit(False))).alias("value_ahead"))
     starts = _signed(rows).join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("t"))
     two = starts.withColumn("k", F.row_number().over(Window.partitionBy(*UNIT).orderBy("t", "signature"))).filter("k <= 2")
-    two = two.groupBy(*UNIT).agg(F.max(F.when(F.col("k") == 1, F.col("signature"))).alias("s1"), F.min("t").alias("t1"), F.max(F.when(F.col("k") == 2, F.col("t"))).alias("t2"))
+    two = two.groupBy(*UNIT).agg(F.max(F.when(F.col("k") == 1, F.col("signature"))).alias("s1"), F.min("t").alias("t1"), F.max(F.when(F.col("k") == 2, F.col("t"))).alias("t2"), F.max(F.when(F.col("k") == 2, F.col("signature"))).alias("s2"))
     family = _signed(s).groupBy("family", "signature").agg(F.min("wall_time").alias("family_time"))
     j = fh.join(a, [*UNIT, "signature"], "left").join(two, UNIT, "left").join(family, ["family", "signature"], "left")
     other = F.when(F.col("s1") == F.col("signature"), F.col("t2")).otherwise(F.col("t1"))
     no = lambda x: F.coalesce(x, F.lit(False))
-    return j.select(*UNIT, "signature", F.col("ahead_time").isNotNull().alias("item_ahead"), no(F.col("value_ahead")).alias("value_ahead"), no(other < F.col("ahead_time")).alias("item_ahead_after_other"), no(F.col("family_time") < F.col("fh_time")).alias("posted_ahead"))
+    after = no(other < F.col("ahead_time"))
+    who = F.when(after, F.when(F.col("s1") == F.col("signature"), F.col("s2")).otherwise(F.col("s1")))
+    return j.select(*UNIT, "signature", F.col("ahead_time").isNotNull().alias("item_ahead"), no(F.col("value_ahead")).alias("value_ahead"), after.alias("item_ahead_after_other"), no(F.col("family_time") < F.col("fh_time")).alias("posted_ahead"), who.alias("earlier_other"))
 
 
 def flip(sided: DataFrame, flip_time: str, after: str) -> DataFrame:
@@ -165,3 +168,32 @@ def share_of(rows: DataFrame, group: DataFrame, key: str = "signature") -> DataF
     marked = rows.join(group.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
     out = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("_in").alias("by_group"))
     return out.withColumn("share", F.when(F.col("n") > 0, F.round(F.col("by_group") / F.col("n"), 4)))
+
+
+SCOUT_FLAGS = ("self_accelerates", "asks_others", "for_relay", "accepts_cost")  # fixed values
+
+
+def checked_labels(labels: DataFrame, records: DataFrame) -> DataFrame:
+    """Labels with at least one flag, and whether their quote stands in the record (scout_id) that they are about."""
+    flagged = labels.filter(F.greatest(*[F.coalesce(F.col(f), F.lit(False)) for f in SCOUT_FLAGS]))
+    j = flagged.join(records.select("scout_id", "text", "wall_time", "page_family"), "scout_id", "left")
+    stands = (F.coalesce(F.col("quote"), F.lit("")) != "") & T.squeeze(F.col("text")).contains(T.squeeze(F.col("quote")))
+    return j.withColumn("stands", F.coalesce(stands, F.lit(False))).withColumn("wall_time", T.norm_time(F.col("wall_time"))).drop("text")
+
+
+def scouts(checked: DataFrame) -> DataFrame:
+    """(signature): signers of a standing label that says they ran ahead of their own clock."""
+    return _signed(checked.filter("stands AND self_accelerates").select(F.col("signer").alias("signature"))).distinct()
+
+
+def scout_shares(s: DataFrame, group: DataFrame) -> DataFrame:
+    """(what, n, by_group, share): the group's part in statements of the units' families, first reveals, first mentions of a
+    unit, and in what others said before a case of foreknowledge."""
+    u, _, rows = _base(s)
+    r = reveals(rows, consensus(rows, u))
+    said = _signed(s).join(u.select("family").distinct(), "family", "left_semi")
+    first = _signed(s).filter("round IS NOT NULL").join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT).agg(F.min(F.struct(*_ORDER, "signature")).alias("f"))
+    sources = foreknowledge(s).filter("earlier_other IS NOT NULL").select(F.col("earlier_other").alias("signature"))
+    sets = {"statements": said, "answer_reveals": _signed(r.select(F.col("revealer").alias("signature"))), "first_mentions": first.select("f.signature"), "foreknowledge_sources": sources}
+    parts = [share_of(rows_.select("signature"), group).select(F.lit(what).alias("what"), "*") for what, rows_ in sets.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

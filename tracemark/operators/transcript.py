@@ -125,7 +125,7 @@ def overlapping(periods: DataFrame, episodes: DataFrame, most: int = BROADCAST_E
     width = max(1, -(-(last - first + 1) // _BUCKETS))
     bucket = lambda t: F.least(F.greatest(F.floor((us(t) - first) / width), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
     cut = lambda df, a, b: df.filter(bucket(a) <= bucket(b)).withColumn("_b", F.explode(F.sequence(bucket(a), bucket(b))))
-    p = cut(periods.filter((us("start") <= last) & (us(end) >= first)), F.col("start"), end)
+    p = cut(periods.filter((us("start") <= last) & (us(end) >= first)), F.col("start"), F.greatest(F.col("start"), end))
     q = cut(episodes, F.col("lo"), F.col("hi"))
     later = F.greatest(bucket(F.col("start")), bucket(F.col("lo")))
     return p.join(q, "_b").filter(meets & (F.col("_b") == later)).drop("_b")

@@ -489,13 +489,16 @@ def m2_candidate_batches(spark, sf):
     return b.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("record_id").alias("first_record"))
 
 
-@query("""@ r AS (SELECT page_id, 'Round ' || page_id % 12 || ' value ' || page_id * 31 || ' -- Sig-' || chr(CAST(65 + page_id % 5 AS INT)) || 'x -- 12' AS text, host FROM links)
-    SELECT CAST(page_id AS VARCHAR) || '#0' AS post_id, CASE WHEN host LIKE '%.com' THEN host ELSE 'unmapped' END AS page_family, 'Sig-' || chr(CAST(65 + page_id % 5 AS INT)) || 'x' AS signature, true AS candidate FROM r""", "links")
+@query("""SELECT CAST(page_id AS VARCHAR) || '#0' AS post_id, fam AS page_family, 'Sig-' || chr(CAST(65 + page_id % 5 AS INT)) || 'x' AS signature,
+    page_id % 4 <> 0 AND page_id % 9 <> 0 AND fam <> 'unknown' AND (page_id % 12 >= 10 OR (page_id % 5 <> 0 AND page_id >= 1)) AS candidate
+    FROM (SELECT page_id, CASE WHEN host NOT LIKE '%.com' THEN 'unmapped' WHEN host LIKE '%a%' THEN 'unknown' ELSE host END AS fam FROM links)""", "links")
 def m1_posts(spark, sf):
-    v = view(spark, sf, "links")
-    text = F.concat(F.lit("Round "), (F.col("page_id") % 12).cast("string"), F.lit(" value "), (F.col("page_id") * 31).cast("string"), F.lit(" -- Sig-"), F.chr((65 + F.col("page_id") % 5).cast("int")), F.lit("x -- 12"))
-    records = v.select(F.col("page_id").cast("string").alias("id"), text.alias("text"), F.array(F.struct(F.concat(F.lit("w/"), F.col("host")).alias("source_id"), F.lit("t").alias("source_date_literal"))).alias("origins"))
-    pages = v.filter("host LIKE '%.com'").select(F.concat(F.lit("w~"), F.col("host")).alias("page_key"), F.col("host").alias("page_family")).distinct()
+    v, k = view(spark, sf, "links"), F.col("page_id")
+    number = F.when(k % 5 == 0, "7").otherwise((k * 31).cast("string"))
+    text = F.concat(F.when(k % 4 == 0, "Note ").otherwise("Round "), (k % 12).cast("string"), F.lit(" value "), number, F.when(k % 9 == 0, " Ã").otherwise(""), F.lit(" -- Sig-"), F.chr((65 + k % 5).cast("int")), F.lit("x -- 1"))
+    records = v.select(k.cast("string").alias("id"), text.alias("text"), F.array(F.struct(F.concat(F.lit("w/"), F.col("host")).alias("source_id"), F.lit("t").alias("source_date_literal"))).alias("origins"))
+    family = F.when(F.col("host").like("%a%"), "unknown").otherwise(F.col("host"))
+    pages = v.filter("host LIKE '%.com'").select(F.concat(F.lit("w~"), F.col("host")).alias("page_key"), family.alias("page_family")).distinct()
     return posts.build_posts(records, pages).select("post_id", "page_family", "signature", "candidate")
 
 
@@ -525,7 +528,7 @@ def o11_stratified_sample(spark, sf):
 
 
 PACKETS = """@ k AS (SELECT o_orderkey AS packet, 'f' || o_orderkey % 4 AS folder, o_custkey % 90 AS chunk, 'e' || o_custkey % 90 % 5 AS episode, 50 + o_orderkey % 500 AS n_events, 4 + o_orderkey % 30 AS claims, 5 + o_orderkey % 20 AS claims_before, o_orderkey % 8 AS deleted, o_orderkey % 3 AS flagged,
-    40 AS quotes, 28 + o_orderkey % 13 AS long_quotes, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS quotes_unverified, 3 + o_orderkey % 3 AS fifths, 10 + o_orderkey % 70 AS cited, o_orderkey % 9 AS most_reused, (o_orderkey % 17) / 100.0 AS reject_rate FROM orders) """
+    30 + o_orderkey % 20 AS quotes, 30 + o_orderkey % 20 - o_orderkey % 13 AS long_quotes, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS quotes_unverified, 3 + o_orderkey % 3 AS fifths, 10 + o_orderkey % 70 AS cited, o_orderkey % 9 AS most_reused, (o_orderkey % 17) / 100.0 AS reject_rate FROM orders) """
 
 
 def _packets(spark, sf):
@@ -533,11 +536,11 @@ def _packets(spark, sf):
     chunk = F.col("o_custkey") % 90
     return table(spark, sf, "orders").select(
         k.alias("packet"), F.concat(F.lit("f"), (k % 4).cast("string")).alias("folder"), chunk.alias("chunk"), F.concat(F.lit("e"), (chunk % 5).cast("string")).alias("episode"), (50 + k % 500).alias("n_events"), (4 + k % 30).alias("claims"), (5 + k % 20).alias("claims_before"), (k % 8).alias("deleted"), (k % 3).alias("flagged"),
-        F.lit(40).alias("quotes"), (28 + k % 13).alias("long_quotes"), F.when(k % 11 == 0, 1).otherwise(0).alias("quotes_unverified"), (3 + k % 3).alias("fifths"), (10 + k % 70).alias("cited"), (k % 9).alias("most_reused"), ((k % 17) / 100).alias("reject_rate"),
+        (30 + k % 20).alias("quotes"), (30 + k % 20 - k % 13).alias("long_quotes"), F.when(k % 11 == 0, 1).otherwise(0).alias("quotes_unverified"), (3 + k % 3).alias("fifths"), (10 + k % 70).alias("cited"), (k % 9).alias("most_reused"), ((k % 17) / 100).alias("reject_rate"),
     )
 
 
-VERDICT = """v AS (SELECT *, CASE WHEN quotes_unverified > 0 OR long_quotes / 40.0 < 0.8 OR deleted / CAST(claims_before AS DOUBLE) > 0.25 OR flagged / CAST(claims AS DOUBLE) > 0.1 OR fifths < 4 OR claims < greatest(6, least(20, n_events // 15)) OR cited < greatest(15, least(60, n_events // 9)) THEN 'REVISE' ELSE 'ACCEPT' END AS verdict FROM k) """
+VERDICT = """v AS (SELECT *, CASE WHEN quotes_unverified > 0 OR long_quotes / CAST(quotes AS DOUBLE) < 0.8 OR deleted / CAST(claims_before AS DOUBLE) > 0.25 OR flagged / CAST(claims AS DOUBLE) > 0.1 OR fifths < 4 OR claims < greatest(6, least(20, n_events // 15)) OR cited < greatest(15, least(60, n_events // 9)) THEN 'REVISE' ELSE 'ACCEPT' END AS verdict FROM k) """
 
 
 @query(PACKETS + ", " + VERDICT + "SELECT packet, verdict, most_reused > 6 AS reused FROM v", "links")
@@ -563,10 +566,10 @@ def r2_audit_statistics(spark, sf):
     return cases.audit_statistics(r, "a0", "a1")
 
 
-@query("""@ t AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'from the tooltip I also captured ' ELSE 'plain ' END || page_id AS own, CASE WHEN page_id % 2 = 0 THEN 'Other words here -- Nam-One ' ELSE '' END AS prev FROM links)
-    SELECT page_id, own || ' -- Sig-Two' AS segment, page_id % 3 = 0 AS cites_evidence, page_id % 3 = 0 AS says_reproduced FROM t""", "links")
+@query("""@ t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'from the tooltip I also captured ' WHEN 1 THEN 'replicated ' ELSE 'plain ' END || page_id AS own, CASE WHEN page_id % 2 = 0 THEN 'Other words here -- Nam-One ' ELSE '' END AS prev FROM links)
+    SELECT page_id, own || ' -- Sig-Two' AS segment, page_id % 3 = 0 AS cites_evidence, page_id % 3 <> 2 AS says_reproduced FROM t""", "links")
 def m13_evidence_flags(spark, sf):
-    own = F.concat(F.when(F.col("page_id") % 3 == 0, "from the tooltip I also captured ").otherwise("plain "), F.col("page_id").cast("string"))
+    own = F.concat(F.when(F.col("page_id") % 3 == 0, "from the tooltip I also captured ").when(F.col("page_id") % 3 == 1, "replicated ").otherwise("plain "), F.col("page_id").cast("string"))
     prev = F.when(F.col("page_id") % 2 == 0, "Other words here -- Nam-One ").otherwise("")
     v = view(spark, sf, "links").select("page_id", own.alias("quote"), F.concat(prev, own, F.lit(" -- Sig-Two and dashboards -- Sig-Three")).alias("text"))
     return cases.evidence_flags(v, "text", "quote").select("page_id", F.trim("segment").alias("segment"), "cites_evidence", "says_reproduced")

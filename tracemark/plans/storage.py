@@ -1,11 +1,13 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that setting is
-absent (unit tests, a laptop) a private temporary folder takes its place.
+absent and everything runs in one process (unit tests, a laptop) a private temporary folder takes its place; with
+executors elsewhere that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tracemark-")
