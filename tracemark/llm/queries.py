@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import embeddings, jaccard, lm, mixing, packing, quality, rules, sharding, suffixes, tokenfile
+from tracemark.llm import embeddings, infilling, jaccard, lm, mixing, packing, quality, rules, sharding, suffixes, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_katz_lm": op9_katz_lm,
     "op10_mixing": op10_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 
@@ -110,6 +115,16 @@ cut AS (SELECT t.doc_id, any_value(t.n) AS n_bytes, coalesce(sum(hi - lo), 0) AS
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM cut
 """
 
+INFILLING = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform(range(4), lambda i: CAST('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS d FROM t),
+cuts AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b FROM units),
+parts AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS s,
+                 CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM parts
+"""
+
 
 def oracle() -> dict[str, str]:
     owners = ",".join(map(str, sharding.lookup_table(SHARDS)))
@@ -118,5 +133,6 @@ def oracle() -> dict[str, str]:
         "op2_ngram_jaccard": JACCARD,
         "op4_embedding_near_dup": COSINE,
         "op7_suffix_dedup": REPEATS,
+        "op12_fill_in_middle": INFILLING,
         "op3_sharding": f"SELECT doc_id, CAST({slot} AS INTEGER) AS slot, CAST(split('{owners}', ',')[{slot} + 1] AS INTEGER) AS shard FROM documents",
     }
