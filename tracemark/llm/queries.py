@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemark.llm import embeddings, infilling, jaccard, langid, lm, mixing, packing, quality, rules, sharding, suffixes, tokenfile
+from tracemark.llm import alignment, embeddings, infilling, jaccard, langid, lm, mixing, packing, quality, rules, sharding, suffixes, tokenfile
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_katz_lm": op9_katz_lm,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_language_id": op13_language_id,
 }
