@@ -459,9 +459,8 @@ def r4_saydo_by_agent(spark, sf):
 
 @query(AUDIT + "SELECT c.claim_id, min(r.agent) AS other, count(*) AS n FROM claims c JOIN runs r ON r.passed = c.passed AND r.failed = 0 AND r.passed > 0 AND r.agent <> c.agent AND r.ts_us BETWEEN c.ts_us - 7200000000 AND c.ts_us GROUP BY c.claim_id", "claims", "runs")
 def j8_other_agents_results(spark, sf):
-    c, r = view(spark, sf, "claims"), view(spark, sf, "runs").filter("failed = 0 AND passed > 0").select(F.col("agent").alias("other"), F.col("ts_us").alias("run_us"), "passed")
-    j = c.join(r, "passed").filter((F.col("other") != F.col("agent")) & F.col("run_us").between(F.col("ts_us") - 2 * HOUR, F.col("ts_us")))
-    return j.groupBy("claim_id").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("n"))
+    c, r = view(spark, sf, "claims"), view(spark, sf, "runs").filter("failed = 0 AND passed > 0")
+    return saydo.other_agents_results(c.withColumn("at", F.col("ts_us")), r.select("agent", F.col("ts_us").alias("at"), F.col("passed")), "passed", "at", 2 * HOUR).select("claim_id", "other", "n")
 
 
 _FAMILIES = [f"family-{x}{i}" for x in "ANR" for i in range(40) if i % 9]
