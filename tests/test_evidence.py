@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import citations, claims, report, transcript
+from tracemark.operators import bins, citations, claims, report, transcript
 from tracemark.sources import schema
 
 U1, U2, U3 = "s:msg:aaaaaaaa-1111-4111-8111-111111111111", "s:msg:aaaaaaaa-2222-4222-8222-222222222222", "s:evt:bbbbbbbb-3333-4333-8333-333333333333"
@@ -86,7 +86,7 @@ def test_village_day(spark):
 def test_greedy_bins(spark):
     def sizes(items, **kw):
         df = spark.createDataFrame([("f", i, n) for i, n in enumerate(items)], "g string, i int, size long")
-        return [r["n"] for r in transcript.greedy_bins(df, ["g"], ["i"], "size", 15000, 30).groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()]
+        return [r["n"] for r in bins.greedy_bins(df, ["g"], ["i"], "size", 15000, 30).groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()]
 
     assert sizes([10] * 35) == [30, 5] and sizes([8000, 8000]) == [1, 1] and sizes([100, 20000, 100]) == [1, 1, 1]
 

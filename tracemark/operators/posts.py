@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
-from tracemark.operators.transcript import greedy_bins
+from tracemark.operators.bins import greedy_bins
 
 # What makes a post a candidate.
 WORDS = r"(?i)(\bR\d{1,2}\b|\bG\d{1,2}\b|#\d{1,2}\b|\bround|\bsequence|->|\bSTATE\d|\bconfirmed|\banswered|\barrived|\bprompt)"

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
@@ -57,55 +52,6 @@ def context_windows(events: DataFrame, centres: DataFrame, before: int, after: i
     return hit.select("centre", (F.col("at") - F.col("mid")).cast("int").alias("place"), "event_id")
 
 
-def fill_bins(sizes: np.ndarray, used: int, count: int, max_size: int, max_items: int | None) -> np.ndarray:
-    """The bin of each item, from 0, of which the first holds ``count`` items of ``used`` in all before.
-
-    One step a bin: as many items as fit by the running total, one at least in a new bin.
-    """
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    bins, at, number = np.zeros(len(sizes), np.int64), 0, 0
-    while at < len(sizes):
-        end = int(np.searchsorted(total, total[at] + max_size - used, "right")) - 1
-        if max_items:
-            end = min(end, at + max_items - count)
-        end = max(end, at if count else at + 1)
-        bins[at:end] = number
-        at, number, used, count = end, number + 1, 0, 0
-    return bins
-
-
-def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str, max_size: int, max_items: int | None = None, extra: int = 0) -> DataFrame:
-    """``items`` (group, order, size) with bin (from 0): filled in order, a new one when the next item wouldn't fit.
-
-    The state resets at data-dependent places, which no window frame expresses.  The rows come sorted, and a
-    task walks through them batch by batch; what it keeps of a group is its open bin.
-    """
-    columns = [*group, *order, size]
-    rows = items.select(*columns)
-    schema = T_.StructType([*rows.schema.fields, T_.StructField("bin", T_.IntegerType())])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, number, used, count = None, 0, 0, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = list(zip(*(batch[g].where(batch[g].notna(), None) for g in group)))
-            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            sizes, out = batch[size].to_numpy(np.int64) + extra, np.zeros(len(batch), np.int64)
-            for a, e in zip(starts[:-1], starts[1:]):
-                if keys[a] != key:
-                    key, number, used, count = keys[a], 0, 0, 0
-                bins = fill_bins(sizes[a:e], used, count, max_size, max_items)
-                last = bins == bins[-1]
-                more = (used, count) if bins[-1] == 0 else (0, 0)
-                used, count = more[0] + int(sizes[a:e][last].sum()), more[1] + int(last.sum())
-                out[a:e] = bins + number
-                number += int(bins[-1])
-            yield batch.assign(bin=out.astype(np.int32))
-
-    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)
-
-
 BROADCAST_EPISODES = 10_000
 _BUCKETS = 4096
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import agreement, cases, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
+from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -107,11 +107,11 @@ def q5_export_window(spark, sf):
 
 @query(LINES + """, numbered AS (SELECT length(line) AS size, row_number() OVER (ORDER BY ts_us, event_id) AS k FROM lines),
     packed(k, bin, used) AS (SELECT k, 0, size + 1 FROM numbered WHERE k = 1 UNION ALL
-        SELECT n.k, CASE WHEN p.used + n.size + 1 <= 4000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + n.size + 1 <= 4000 THEN p.used + n.size + 1 ELSE n.size + 1 END FROM packed p JOIN numbered n ON n.k = p.k + 1)
+        SELECT n.k, CASE WHEN p.used + n.size <= 4000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + n.size <= 4000 THEN p.used + n.size + 1 ELSE n.size + 1 END FROM packed p JOIN numbered n ON n.k = p.k + 1)
     SELECT bin, count(*) AS n_lines, max(used) AS chars FROM packed GROUP BY bin""", "messages", "actors", "channels")
 def w14_transcript_chunks(spark, sf):
     lines = _lines(spark, sf).withColumn("size", F.length("line")).withColumn("all", F.lit(1))
-    b = transcript.greedy_bins(lines, ["all"], ["ts", "event_id"], "size", 4000, extra=1)
+    b = bins.greedy_bins(lines, ["all"], ["ts", "event_id"], "size", 4000, extra=1)
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("size") + 1).alias("chars"))
 
 
@@ -484,7 +484,7 @@ BATCHES = """@ p AS (SELECT CAST(page_id AS VARCHAR) AS record_id, host AS fam,
 @query(BATCHES + "SELECT p.g, b.bin, count(*) AS n, sum(p.chars) AS chars, min(p.record_id) AS first_record FROM b JOIN p ON p.g = b.g AND p.k = b.k GROUP BY ALL", "links")
 def m2_candidate_batches(spark, sf):
     p = view(spark, sf, "links").select(F.col("page_id").cast("string").alias("record_id"), (F.col("page_id") % 3).alias("g"), (F.col("page_id") % 10).alias("t"), (100 + F.col("page_id") * 37 % 900).alias("chars"))
-    b = transcript.greedy_bins(p, ["g"], ["t", "record_id"], "chars", 9000, 12)
+    b = bins.greedy_bins(p, ["g"], ["t", "record_id"], "chars", 9000, 12)
     return b.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("record_id").alias("first_record"))
 
 
@@ -660,11 +660,11 @@ def q23_leads_by_episode(spark, sf):
 
 @query(LINES + """, numbered AS (SELECT channel_id, ts_us, length(line) AS size, row_number() OVER (PARTITION BY channel_id ORDER BY ts_us, event_id) AS k FROM lines),
     packed(channel_id, k, bin, used) AS (SELECT channel_id, k, 0, size + 1 FROM numbered WHERE k = 1 UNION ALL
-        SELECT n.channel_id, n.k, CASE WHEN p.used + n.size + 1 <= 2000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + n.size + 1 <= 2000 THEN p.used + n.size + 1 ELSE n.size + 1 END FROM packed p JOIN numbered n ON n.k = p.k + 1 AND n.channel_id IS NOT DISTINCT FROM p.channel_id)
+        SELECT n.channel_id, n.k, CASE WHEN p.used + n.size <= 2000 THEN p.bin ELSE p.bin + 1 END, CASE WHEN p.used + n.size <= 2000 THEN p.used + n.size + 1 ELSE n.size + 1 END FROM packed p JOIN numbered n ON n.k = p.k + 1 AND n.channel_id IS NOT DISTINCT FROM p.channel_id)
     SELECT p.channel_id AS episode, p.bin, count(*) AS events, max(p.used) AS chars, min(n.ts_us) AS from_us, max(n.ts_us) AS to_us FROM packed p JOIN numbered n ON n.k = p.k AND n.channel_id IS NOT DISTINCT FROM p.channel_id GROUP BY p.channel_id, p.bin""", "messages", "actors", "channels")
 def q21_window_manifest(spark, sf):
     lines = _lines(spark, sf).join(_messages(spark, sf).select("event_id", F.col("channel_id").alias("episode")), "event_id").withColumn("size", F.length("line"))
-    b = transcript.greedy_bins(lines, ["episode"], ["ts", "event_id"], "size", 2000, extra=1)
+    b = bins.greedy_bins(lines, ["episode"], ["ts", "event_id"], "size", 2000, extra=1)
     return summaries.window_manifest(b).select("episode", "bin", "events", "chars", F.unix_micros("from_ts").alias("from_us"), F.unix_micros("to_ts").alias("to_us"))
 
 
