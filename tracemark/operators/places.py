@@ -37,12 +37,17 @@ def earlier(keys: list[str], *order: Column | str):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], place: str) -> DataFrame:
-    """``rows`` with ``place``: from 1 in the order of ``order`` (nulls last) within each group of ``keys`` (null is a group).
+def ranked(rows: DataFrame, keys: list[str], order: list[str], place: str, total: str) -> DataFrame:
+    """``rows`` with ``place``, from 1 in the order of ``order`` (nulls last) within each group of ``keys`` (null is a group), and ``total``, the group's rows.
 
-    How many rows of a group the parts before hold is a small table.
+    How many rows of a group each part holds is a small table.
     """
     table = sorted_parts(rows, keys, order)
     parts = table.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier(keys, "_part")), F.lit(0)))
-    return with_part_figures(table, parts, keys).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_low") + 1).alias(place))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier(keys, "_part")), F.lit(0))).withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
+    return with_part_figures(table, parts, keys).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_low") + 1).alias(place), total)
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], place: str) -> DataFrame:
+    """``rows`` with ``place`` alone."""
+    return ranked(rows, keys, order, place, "_total").drop("_total")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tracemark.operators.places import ranked
+from tracemark.plans.storage import stored
+
 # What counts as a unit.
 URL = r"https?://[^\s<>\"'`)\]}]+"
 FILE = r"\b[\w-]+(?:\.[\w-]+)*\.(?:py|mjs|js|tsx|ts|html|css|json|md|sh|ya?ml|csv|txt|svg|png)\b"
@@ -19,6 +22,8 @@ CAMEL = r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"
 SCREAM = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
 TRAIL = ".,;:!?)]}\"'"
 LEAST = 8
+#: Adopters that a cascade lists; it counts all.
+MOST_HOPS = 40
 _PATTERNS = [(k, re.compile(p)) for k, p in (("url", URL), ("file", FILE), ("code", CODE), ("snake", SNAKE), ("camel", CAMEL), ("scream", SCREAM))]
 
 
@@ -54,37 +59,49 @@ def extract_units(text: pd.Series) -> pd.Series:
     return text.map(units_of)
 
 
-def trace(events: DataFrame, actors: DataFrame, source: str, *, start=None, end=None, subtypes=None, kinds=None, horizon_days: float = 7.0, min_adopters: int = 3, min_burst: float = 0.5, top: int = 50) -> DataFrame:
-    """Cascades, largest first: unit, kind, origin, adopters, uses, burst and upper median lag.
+def trace(events: DataFrame, actors: DataFrame, source: str, *, start=None, end=None, subtypes=None, kinds=None, horizon_days: float = 7.0, min_adopters: int = 3, min_burst: float = 0.5, top: int | None = 50, most_hops: int = MOST_HOPS) -> DataFrame:
+    """Cascades: unit, kind, origin, number of adopters, the first ``most_hops`` of them, uses, burst and upper median lag.
 
-    Novelty looks at the whole history; [start, end) restricts the origins only.  Uses are reduced to
-    one row per unit and actor (partial aggregation) before anything is collected per unit.
+    Novelty looks at the whole history; [start, end) restricts the origins only.  The ``top`` largest come in
+    order; with ``top`` None all of them, in none.
     """
     e = events.filter((F.col("source") == source) & F.col("text").isNotNull() & F.col("actor_id").isNotNull() & F.col("ts").isNotNull())
     e = e.filter(F.col("subtype").isin(*subtypes)) if subtypes else e
     uses = e.select("ts", "event_id", "actor_id", F.explode(extract_units("text")).alias("u")).select("ts", "event_id", "actor_id", "u.*")
-    return cascades(uses.filter(F.col("kind").isin(*kinds)) if kinds else uses, actors, start=start, end=end, horizon_days=horizon_days, min_adopters=min_adopters, min_burst=min_burst, top=top)
+    return cascades(uses.filter(F.col("kind").isin(*kinds)) if kinds else uses, actors, start=start, end=end, horizon_days=horizon_days, min_adopters=min_adopters, min_burst=min_burst, top=top, most_hops=most_hops)
+
 
+def cascades(uses: DataFrame, actors: DataFrame, *, start=None, end=None, horizon_days: float = 7.0, min_adopters: int = 3, min_burst: float = 0.5, top: int | None = 50, most_hops: int = MOST_HOPS) -> DataFrame:
+    """The same from uses (kind, unit, ts, event_id, actor_id, raw, place).
 
-def cascades(uses: DataFrame, actors: DataFrame, *, start=None, end=None, horizon_days: float = 7.0, min_adopters: int = 3, min_burst: float = 0.5, top: int = 50) -> DataFrame:
-    """The same from uses (kind, unit, ts, event_id, actor_id, raw, place)."""
+    A unit may have any number of adopters: they are ranked by range parts, and a unit keeps the rows of its
+    first hops and of its middle (lags rise with time, so the median lag is the middle adopter's).
+    """
+    unit = ["kind", "unit"]
     use = F.struct("ts", "event_id", "place", "actor_id", "raw")
-    origin = uses.groupBy("kind", "unit").agg(F.min(use).alias("origin"), F.count(F.lit(1)).alias("uses_total"))
+    origin = uses.groupBy(*unit).agg(F.min(use).alias("origin"), F.count(F.lit(1)).alias("uses_total"))
     if start is not None:
         origin = origin.filter(F.col("origin.ts") >= F.lit(start).cast("timestamp"))
     if end is not None:
         origin = origin.filter(F.col("origin.ts") < F.lit(end).cast("timestamp"))
-    inside = uses.join(origin, ["kind", "unit"]).filter(F.unix_micros("ts") - F.unix_micros("origin.ts") <= int(horizon_days * 86_400_000_000))
-    by_actor = inside.groupBy("kind", "unit", "origin", "uses_total", "actor_id").agg(F.min(use).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = by_actor.join(actors.select("actor_id", "display_name"), "actor_id", "left").withColumn("name", F.coalesce("display_name", "actor_id"))
+    inside = uses.join(origin, unit).filter(F.unix_micros("ts") - F.unix_micros("origin.ts") <= int(horizon_days * 86_400_000_000))
+    by_actor = inside.groupBy(*unit, "origin", "uses_total", "actor_id").agg(F.min(use).alias("first"), F.count(F.lit(1)).alias("n"))
+    by_actor = stored(uses.sparkSession, by_actor, "adopters")
+    names = actors.select("actor_id", "display_name")
+    c = by_actor.groupBy(*unit, "origin", "uses_total").agg(F.sum("n").alias("uses_in_horizon")).withColumn("actor_id", F.col("origin.actor_id"))
+    c = c.join(names, "actor_id", "left").withColumn("origin_actor", F.coalesce("display_name", "actor_id")).drop("display_name", "actor_id")
     lag = F.round((F.unix_micros("first.ts") - F.unix_micros("origin.ts")) / 3.6e9, 2)
-    hop = F.struct(F.col("first.ts").alias("ts"), F.col("first.event_id").alias("event_id"), F.col("name").alias("actor"), F.col("first.raw").alias("raw"), lag.alias("lag_hours"))
-    other = F.col("actor_id") != F.col("origin.actor_id")
-    c = named.groupBy("kind", "unit", "origin", "uses_total").agg(F.sum("n").alias("uses_in_horizon"), F.sort_array(F.collect_list(F.when(other, hop))).alias("adopters"), F.max(F.when(~other, F.col("name"))).alias("origin_actor"))
-    c = c.withColumn("n_adopters", F.size("adopters")).filter(F.col("n_adopters") >= min_adopters)
-    c = c.filter(F.col("uses_in_horizon") / F.col("uses_total") >= min_burst).withColumn("burst", F.round(F.col("uses_in_horizon") / F.col("uses_total"), 3))
-    lags = F.sort_array(F.transform("adopters", lambda h: h["lag_hours"]))
-    c = c.withColumn("median_lag_hours", F.get(lags, F.floor(F.size(lags) / 2).cast("int")))
+    hops = by_actor.filter(F.col("actor_id") != F.col("origin.actor_id")).select(*unit, "actor_id", "first.ts", "first.event_id", "first.raw", lag.alias("lag_hours"))
+    hops = ranked(hops, unit, ["ts", "event_id", "actor_id"], "hop", "n_adopters")
+    middle = F.col("hop") == F.floor(F.col("n_adopters") / 2) + 1
+    hops = hops.filter((F.col("hop") <= most_hops) | middle).join(names, "actor_id", "left")
+    hop = F.struct("ts", "event_id", F.coalesce("display_name", "actor_id").alias("actor"), "raw", "lag_hours")
+    hops = hops.groupBy(*unit).agg(F.max("n_adopters").alias("n_adopters"), F.max(F.when(middle, F.col("lag_hours"))).alias("median_lag_hours"), F.sort_array(F.collect_list(F.when(F.col("hop") <= most_hops, hop))).alias("adopters"))
+    c = c.join(hops, unit, "left").withColumn("n_adopters", F.coalesce("n_adopters", F.lit(0).cast("long"))).withColumn("adopters", F.coalesce("adopters", F.array()))
+    share = F.col("uses_in_horizon") / F.col("uses_total")
+    c = c.filter((F.col("n_adopters") >= min_adopters) & (share >= min_burst)).withColumn("burst", F.round(share, 3))
+    if top is None:
+        return c
     order = [F.desc("n_adopters"), F.coalesce("median_lag_hours", F.lit(0.0)), F.col("origin.ts"), F.col("origin.event_id"), F.col("origin.place")]
     return c.orderBy(*order).limit(top)
 

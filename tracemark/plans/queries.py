@@ -136,7 +136,7 @@ def q11_trace(spark, sf):
     e = view(spark, sf, "links").withColumn("ts", F.timestamp_micros(F.lit(START) + F.col("page_id") * HOUR))
     e = e.select(F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("event_id"), F.lit("web").alias("source"), "ts", F.concat(F.lit("web:"), (F.col("page_id") * 7 % 23).cast("string")).alias("actor_id"), F.lit("LINK").alias("subtype"), F.concat(F.lit("see http://"), F.col("host"), F.lit("/?q=1, or ask")).alias("text"))
     names = e.select("actor_id", F.col("actor_id").alias("display_name")).distinct()
-    c = propagation.trace(e, names, "web", horizon_days=4.0, min_adopters=1, min_burst=0.1, top=1_000_000, kinds=["url"])
+    c = propagation.trace(e, names, "web", horizon_days=4.0, min_adopters=1, min_burst=0.1, top=None, kinds=["url"])
     return c.select("unit", "uses_total", "uses_in_horizon", F.col("n_adopters").cast("long").alias("n_adopters"), "burst", "median_lag_hours", F.unix_micros("origin.ts").alias("origin_us"))
 
 
