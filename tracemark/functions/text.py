@@ -83,6 +83,36 @@ def find_quote(text: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or q is None else quote_offset(t, q) for t, q in zip(text, quote)], dtype="Int32")
 
 
+#: From so many quotes on, a text is walked through once for all of them.
+SEVERAL = 8
+
+
+def quote_offsets(text: str, quotes: list[str]) -> list[int]:
+    """``quote_offset`` of each quote."""
+    if len(quotes) < SEVERAL or "" in quotes:
+        return [quote_offset(text, q) for q in quotes]
+    import ahocorasick
+
+    word = lambda c: c.isalnum() or c == "_"
+    found, automaton = dict.fromkeys(quotes, -1), ahocorasick.Automaton()
+    for q in found:
+        automaton.add_word(q, q)
+    automaton.make_automaton()
+    for last, q in automaton.iter(text):
+        at = last + 1 - len(q)
+        if found[q] >= 0 or (at > 0 and word(q[0]) and word(text[at - 1])):
+            continue
+        if last + 1 == len(text) or not (word(q[-1]) and word(text[last + 1])):
+            found[q] = at
+    return [found[q] for q in quotes]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def find_quotes(text: pd.Series, quotes: pd.Series) -> pd.Series:
+    """Offsets of normalized quotes in the normal form of a text; null for a null text."""
+    return pd.Series([None if t is None or q is None else quote_offsets(normalized(t), list(q)) for t, q in zip(text, quotes)])
+
+
 def quote_span(text: str, quote: str) -> list[int] | None:
     """[start, end) of a quote in the original text: any white space matches, case doesn't count."""
     fold = str.maketrans(CURLY, PLAIN)

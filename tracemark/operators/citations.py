@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
+from tracemark.operators.quotes import held
 from tracemark.operators.transcript import context_windows
+from tracemark.plans.storage import stored
 
 
 def resolve(refs: DataFrame, events: DataFrame) -> DataFrame:
@@ -37,23 +39,26 @@ def quote_status(quote: Column, found: Column, needle: Column) -> Column:
 
 
 def verify_citations(citations: DataFrame, events: DataFrame) -> DataFrame:
-    """``citations`` (ref, quote, ...) with event_id, status and offset (in the normalized text)."""
+    """``citations`` (ref, quote, ...) with event_id, status and offset (in the normalized text).
+
+    An event's text is searched for all of its quotes at once.
+    """
     found = resolve(citations, events).withColumnRenamed("n", "_n")
-    c = citations.drop("event_id", "status", "offset").join(found, "ref", "left")
-    c = c.join(events.select("event_id", F.col("text").alias("_text")), "event_id", "left")
-    c = c.withColumn("_needle", T.normalize(F.coalesce("quote", F.lit(""))))
-    ready = (F.col("_n") == 1) & (F.length("_text") > 0) & F.length("_needle").between(T.MIN_QUOTE_CHARS, 1 << 30)
-    c = c.withColumn("_at", T.find_quote(T.normalize(F.when(ready, F.col("_text"))), F.col("_needle")))
+    c = citations.drop("event_id", "status", "offset").withColumn("_needle", T.normalize(F.coalesce("quote", F.lit("")))).join(found, "ref", "left")
+    c = stored(events.sparkSession, c.join(events.select("event_id", (F.length("text") > 0).alias("_has_text")), "event_id", "left"), "cited")
+    ready = (F.col("_n") == 1) & F.col("_has_text") & (F.length("_needle") >= T.MIN_QUOTE_CHARS)
+    at = held(c.filter(ready).select("event_id", F.col("_needle").alias("needle")), events)
+    c = c.join(at.select("event_id", F.col("needle").alias("_needle"), F.col("at").alias("_at")), ["event_id", "_needle"], "left")
     status = (
         F.when(F.col("_n").isNull(), "event_missing")
         .when(F.col("_n") > 1, "ambiguous_ref")
         .when(F.col("_needle") == "", "empty_quote")
-        .when(F.coalesce(F.length("_text"), F.lit(0)) == 0, "no_text")
+        .when(~F.coalesce("_has_text", F.lit(False)), "no_text")
         .otherwise(quote_status(F.col("quote"), F.coalesce("_at", F.lit(-1)), F.col("_needle")))
     )
     c = c.withColumn("status", status)
     c = c.withColumn("offset", F.when(F.col("status") == "verified", F.col("_at")))
-    return c.withColumn("event_id", F.when(F.col("_n") == 1, F.col("event_id"))).drop("_text", "_needle", "_at", "_n")
+    return c.withColumn("event_id", F.when(F.col("_n") == 1, F.col("event_id"))).drop("_has_text", "_needle", "_at", "_n")
 
 
 def verify_turn_quotes(citations: DataFrame, turns: DataFrame) -> DataFrame:

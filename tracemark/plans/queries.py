@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, posts, propagation, report, saydo, summaries, transcript
+from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, posts, propagation, quotes, report, saydo, summaries, transcript
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -62,6 +62,13 @@ def q4_verify_citations(spark, sf):
     return _checked(spark, sf).select("claim_key", F.col("n").cast("long").alias("n"), "ref", "status", "event_id")
 
 
+@query(f"""@ q AS (SELECT DISTINCT quote, {NORM.format("quote")} AS needle FROM citations WHERE length({NORM.format("quote")}) >= 8), bodies AS (SELECT event_id, {NORM.format("text")} AS body FROM messages WHERE text IS NOT NULL),
+    pairs AS MATERIALIZED (SELECT quote, needle, event_id, body FROM q JOIN bodies ON contains(body, needle))
+    SELECT quote, event_id FROM pairs WHERE {FOUND.format("body", "needle")}""", "citations")
+def j18_texts_holding(spark, sf):
+    return quotes.texts_holding(view(spark, sf, "citations"), _messages(spark, sf)).select("quote", "event_id")
+
+
 @query(CHECKED + "SELECT ref, n, event_id FROM hits", "citations")
 def j5_resolve_refs(spark, sf):
     return citations.resolve(view(spark, sf, "citations"), _messages(spark, sf))
