@@ -384,7 +384,7 @@ def k3_ingest_audit(spark, sf):
 def a22_key_frequency(spark, sf):
     from tracemark.sources.jsonl import key_frequency
 
-    return key_frequency(table(spark, sf, "events"), "props", 1 << 30)
+    return key_frequency(table(spark, sf, "events"), "props")
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) > 50 THEN left(t, 50) || '...[+' || (length(t) - 50) || ' chars]' ELSE t END AS clipped, CASE WHEN length(t) > 50 THEN '[' || (length(t) - 50) || ' chars]...' || right(t, 50) ELSE t END AS clipped_end,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,19 +20,40 @@ def find(spark: SparkSession, folder: str, stem: str) -> str:
     raise FileNotFoundError(f"{folder}/{stem}.jsonl[.gz]")
 
 
+_LINE = "path string, block long, at long, value string"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (path, block, value) with their place in their block of the file; a task reads blocks one after the other."""
+    key, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(1).to_numpy(zero_copy_only=False)
+        path = batch.column(0).dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (path[1:] != path[:-1])) + 1).tolist(), batch.num_rows]
+        at = np.arange(batch.num_rows)
+        for a, e in zip(cuts[:-1], cuts[1:]):
+            now = (batch.column(0)[a].as_py(), int(block[a]))
+            seen = seen if now == key else 0
+            at[a:e] += seen - a
+            key, seen = now, seen + e - a
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), batch.column(2)], names=["path", "block", "at", "value"])
+
+
 def read_lines(spark: SparkSession, path: str, contains: str | None = None) -> DataFrame:
-    """(file, line_no, value): line numbers count blank lines, which are then left out.
+    """(path, file, line_no, value): line numbers count blank lines, which are then left out; ``file`` is the last part of ``path``.
 
-    Row positions come from the scan itself: the id of a row holds its partition and its place there,
-    so a count per partition turns places into line numbers without moving the lines.
+    A line's place in its block comes from the scan, without moving the lines; how many lines the blocks before
+    hold is a small table, keyed by the whole path (two folders may hold files of one name).
     """
-    raw = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("id"), "value")
-    raw = raw.withColumn("part", F.shiftright("id", 33)).withColumn("at", F.col("id").bitwiseAND((1 << 33) - 1))
-    sizes = raw.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = raw.join(F.broadcast(sizes.withColumn("before", before).drop("n")), ["file", "part"])
-    out = numbered.select("file", (F.col("before") + F.col("at") - F.col("low") + 1).alias("line_no"), "value").filter(F.trim("value") != "")
-    return out.filter(F.col("value").contains(contains)) if contains else out
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    lines = raw.mapInArrow(_placed, _LINE).filter(F.trim("value") != "")
+    lines = lines.filter(F.col("value").contains(contains)) if contains else lines
+    file = F.element_at(F.split("path", "/"), -1)
+    return lines.join(sizes, ["path", "block"]).select("path", file.alias("file"), (F.col("before") + F.col("at") + 1).alias("line_no"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, contains: str | None = None, whole_line: bool = False) -> DataFrame:
@@ -50,6 +75,7 @@ def read_day_map(spark: SparkSession, path: str) -> DataFrame:
     return text.select(pair).select(F.regexp_extract("p", r"(\d+),", 1).cast("int").alias("day"), F.to_date(F.right("p", F.lit(10))).alias("date")).distinct()
 
 
-def key_frequency(rows: DataFrame, column: str, sample: int) -> DataFrame:
-    """How often each top-level key occurs in the first rows of JSON texts."""
-    return rows.limit(sample).select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+def key_frequency(rows: DataFrame, column: str, sample: int | None = None) -> DataFrame:
+    """How often each top-level key occurs in JSON texts: in all of them, or in the first ``sample``."""
+    rows = rows if sample is None else rows.limit(sample)
+    return rows.select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
