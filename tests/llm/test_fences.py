@@ -1,9 +1,12 @@
 """Fences follow the distribution of a group, not a fixed distance."""
 
+import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tokenizers")
 from tracemark.llm import rules  # noqa: E402
@@ -44,9 +47,13 @@ def test_the_documents_of_a_group_are_kept(found):
     assert min(sum(k) / len(k) for k in kept.values()) > 0.98
 
 
-def _plain_verdicts(rows, least_rows):
+def _middle(x):
+    """The middle of the grid's cell that holds x."""
+    return 0.0 if x <= rules.TINY else rules.GROWTH ** math.ceil(math.log(x) / math.log(rules.GROWTH)) * 2 / (rules.GROWTH + 1)
+
+
+def _plain_verdicts(rows, prior):
     """kept by sorted lists instead of sketches."""
-    import math
     import re
 
     facts = []
@@ -67,20 +74,26 @@ def _plain_verdicts(rows, least_rows):
     out = {}
     for i, lang, source, failed, stat in facts:
         pools = ([f for f in passing if f[1:3] == (lang, source)], [f for f in passing if f[1] == lang], passing)
-        pool = next((p for p in pools[:2] if len(p) >= least_rows), pools[2])
         crossed = []
         for name, (low, upper, share, least) in rules.STATISTICS.items():
-            x = sorted(f[4][name] for f in pool)
-            q = lambda at, x=x: x[max(0, math.ceil(at * len(x)) - 1)]
-            off = max(rules.FENCE * share * (q(upper) - q(0.25 if low else 0.5)), least) if x else 0
-            if x and stat[name] is not None and (stat[name] > q(upper) + off or (low and stat[name] < q(0.25) - off)):
+            if not pools[0]:
+                continue
+            x, y, z = (sorted(f[4][name] for f in p) for p in pools)
+
+            def q(at, x=x, y=y, z=z):
+                own, lang_, all_ = (_middle(v[math.ceil(at * len(v)) - 1]) for v in (x, y, z))
+                wide = (len(y) * lang_ + prior * all_) / (len(y) + prior)
+                return (len(x) * own + prior * wide) / (len(x) + prior)
+
+            off = max(rules.FENCE * share * (q(upper) - q(0.25 if low else 0.5)), least)
+            if stat[name] is not None and (stat[name] > q(upper) + off or (low and stat[name] < q(0.25) - off)):
                 crossed.append(name)
         out[i] = (failed, sorted(crossed), not failed and not crossed)
     return out
 
 
-@pytest.mark.parametrize("least_rows", [1, 30, 500])
-def test_verdicts_against_sorted_lists(spark, least_rows):
+@pytest.mark.parametrize("prior", [1e-9, 30.0, rules.PRIOR])
+def test_verdicts_against_sorted_lists(spark, prior):
     rng = random.Random(8)
     rows = []
     for i in range(240):
@@ -95,8 +108,37 @@ def test_verdicts_against_sorted_lists(spark, least_rows):
             text = rng.choice(["", None, "few words", "a " * 40])
         rows.append((i, text, lang, source))
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    want = _plain_verdicts(rows, least_rows)
+    want = _plain_verdicts(rows, prior)
     for n in (1, 7):  # the layout of the input doesn't matter
-        got = {r.doc_id: (r.base_failed, sorted(r.reasons), r.kept) for r in rules.quality_rules(d.repartition(n), least_rows=least_rows).collect()}
+        got = {r.doc_id: (r.base_failed, sorted(r.reasons), r.kept) for r in rules.quality_rules(d.repartition(n), prior=prior).collect()}
         assert got == want
     assert any(v[1] for v in want.values()) and not all(v[1] for v in want.values())
+
+
+def _rates(spark, n, parts):
+    """n rows of one hot group and some of small ones, as rates."""
+    d = spark.range(n).withColumn("lang", F.lit("en")).withColumn("source", F.when(F.col("id") % 50 == 0, F.concat(F.lit("s"), (F.col("id") % 700).cast("string"))).otherwise("hot"))
+    draw = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_007)) / 10_007
+    d = d.withColumns({s: F.when(draw(k) < 0.3, F.lit(0.0)).otherwise(draw(k + 10) * (k + 1)) for k, s in enumerate(rules.STATISTICS)})
+    return d.withColumn("base_failed", F.col("id") % 11 == 0).repartition(parts)
+
+
+def test_large_group(spark):
+    """50,000 rows: quantiles within the grid's width of sorted lists, and fences that no rerun or layout changes."""
+    rates = _rates(spark, 50_000, 3)
+    found = {r.o_statistic: r for r in rules._quantiles(rules.sketches(rates), ["lang", "source"], "o").filter("o_source = 'hot'").collect()}
+    rows = rates.filter("source = 'hot' AND NOT base_failed").toPandas()
+    for s in rules.STATISTICS:
+        x = np.sort(rows[s].to_numpy())
+        assert found[s].on == len(x) > 40_000
+        for k, at in enumerate(rules.LEVELS):
+            exact = x[math.ceil(at * len(x)) - 1]
+            assert abs(found[s][f"o{k}"] - exact) <= 0.005 * exact
+    runs = [sorted(map(str, rules.fences(_rates(spark, 50_000, parts)).collect())) for parts in (3, 3, 8)]
+    assert runs[0] == runs[1] == runs[2] and len(set(runs[0])) > 10
+
+
+def test_every_group_has_fences_of_its_own(spark):
+    rates = _rates(spark, 3_000, 2)
+    f = {r.source: r for r in rules.fences(rates).collect()}
+    assert len({r.hi_mean_word for r in f.values()}) == len(f) == 15

@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Fixed cut-offs suit one language and one source at most.  Here each (lang, source) group describes
-itself: KLL quantile sketches of a few text statistics are built per group (partial sketches merge
-before and after the shuffle, so a hot group costs no more than any other), small groups borrow the
-merged sketch of their language or of everything, and a document is rejected when a statistic lies
-beyond a fence that the group's own quantiles set.  The thresholds are joined back to the documents.
+itself by quantile sketches of a few text statistics: counts in the cells of a fixed logarithmic grid, so
+that a quantile is right to one part in two hundred, sketches merge by adding up, and neither the order of
+the rows nor a rerun changes them.  Counts are added up before and after the shuffle, so a hot group costs
+no more than any other.  Every group's own quantiles set its fences; they are drawn towards those of its
+language, and these towards those of everything, by a weight that falls as the group grows (``prior`` rows
+stand for the wider one), so that a few rows don't make a tail.  A document is rejected when a statistic
+lies beyond a fence.  The thresholds are written once and joined back to the documents.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source is a group of
 its own; repeated rows count as often as they occur; a text may be as long as a column holds; an empty table gives
@@ -13,8 +16,11 @@ an empty result; only doc_id, text, lang and source are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemark.plans.storage import stored
 
@@ -32,9 +38,12 @@ STATISTICS = {
     "repeat_rate": (False, 0.99, 0.25, 0.05),
     "stutter_rate": (False, 0.99, 0.5, 0.02),
 }
-SKETCH_K = 2048  # ranks to about 0.1 %, so that an upper quantile is one
 FENCE = 4.0
-LEAST_ROWS = 200
+#: Rows for which the wider group's quantiles stand in a group's own.
+PRIOR = 100.0
+#: The grid: cell c holds values in (GROWTH ** (c - 1), GROWTH ** c], NONE those up to TINY.
+GROWTH, TINY, NONE = 1.01, 1e-6, -10_000
+LEVELS = (0.25, 0.5, 0.75, 0.9, 0.99)
 
 
 def _bind(value: Column, body) -> Column:
@@ -87,40 +96,52 @@ def _rates(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"mean_word": per("word_chars", "n_words"), "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "stutter_rate": per("n_stutters", "n_words")})
 
 
-def fences(rates: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, lo_<statistic>, hi_<statistic>): from the group's own sketches, else wider ones.
+def _value(cell: Column) -> Column:
+    """The middle of a cell."""
+    return F.when(cell == NONE, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), cell) * (2 / (GROWTH + 1)))
+
+
+def sketches(rates: DataFrame) -> DataFrame:
+    """(lang, source, statistic, cell, n) of the documents that pass the base rule: those that fail it go anyway and would stretch the tails."""
+    cell = lambda x: F.when(x > TINY, F.ceil(F.log(x) / math.log(GROWTH))).when(x.isNotNull(), F.lit(NONE)).cast("int")
+    each = F.array(*[F.struct(F.lit(s).alias("statistic"), cell(F.col(s)).alias("cell")) for s in STATISTICS])
+    cells = rates.filter(~F.col("base_failed")).select("lang", "source", F.inline(each)).filter("cell IS NOT NULL")
+    return cells.groupBy("lang", "source", "statistic", "cell").agg(F.count(F.lit(1)).alias("n"))
+
 
-    The sketches hold the documents that pass the base rule: those that fail it go anyway and would stretch the tails.
-    """
-    of = {s: F.when(~F.col("base_failed"), F.col(s)) for s in STATISTICS}
-    sketch = {s: F.kll_sketch_agg_double(of[s], F.lit(SKETCH_K)).alias(s) for s in STATISTICS}
-    own = rates.groupBy("lang", "source").agg(F.count(of["mean_word"]).alias("n"), *sketch.values())
-    merged = [F.kll_merge_agg_double(F.col(s), F.lit(SKETCH_K)).alias(s) for s in STATISTICS]
-    by_lang = own.filter("n > 0").groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    whole = own.filter("n > 0").groupBy().agg(F.sum("n").alias("n"), *merged)
+def _quantiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(keys, statistic, rows, a quantile for each level) of sketches merged by ``keys``; a sketch has a few thousand cells at most."""
+    merged = sketch.groupBy(*keys, "statistic", "cell").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "statistic")
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("cell"))).withColumn("total", F.sum("n").over(group))
+    at = [_value(F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")), F.col("cell")))).alias(f"{tag}{k}") for k, q in enumerate(LEVELS)]
+    return ranked.groupBy(*[F.col(k).alias(f"{tag}_{k}") for k in (*keys, "statistic")]).agg(F.max("total").cast("double").alias(f"{tag}n"), *at)
 
-    def named(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
 
-    j = named(own, "o").join(named(by_lang, "l"), F.col("o_lang").eqNullSafe(F.col("l_lang")), "left").join(named(whole, "w"), F.lit(True), "left")
-    pick = lambda s: F.when(F.col("o_n") >= least_rows, F.col(f"o_{s}")).when(F.col("l_n") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"w_{s}"))
-    j = j.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), *[pick(s).alias(s) for s in STATISTICS])
-    out = [F.col("lang"), F.col("source")]
+def fences(rates: DataFrame, fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, lo_<statistic>, hi_<statistic>)."""
+    sketch = stored(rates.sparkSession, sketches(rates), "rules-sketches")
+    own, by_lang, whole = (_quantiles(sketch, keys, tag) for keys, tag in ((["lang", "source"], "o"), (["lang"], "l"), ([], "w")))
+    j = own.join(by_lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_statistic") == F.col("l_statistic"))).join(whole, F.col("o_statistic") == F.col("w_statistic"))
+    drawn = lambda n, near, far: (F.col(n) * near + prior * far) / (F.col(n) + prior)
+    q = [drawn("on", F.col(f"o{k}"), drawn("ln", F.col(f"l{k}"), F.col(f"w{k}"))).alias(f"q{k}") for k in range(len(LEVELS))]
+    j = j.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_statistic").alias("statistic"), *q)
+    level = {q: F.col(f"q{k}") for k, q in enumerate(LEVELS)}
+    out = []
     for s, (low, upper, share, least) in STATISTICS.items():
-        q = lambda at, s=s: F.kll_sketch_get_quantile_double(F.col(s), F.lit(at))
-        off = F.greatest(fence * share * (q(upper) - q(0.25 if low else 0.5)), F.lit(least))
-        out.append((q(0.25) - off if low else F.lit(None).cast("double")).alias(f"lo_{s}"))
-        out.append((q(upper) + off).alias(f"hi_{s}"))
-    return j.select(*out)
+        off = F.greatest(fence * share * (level[upper] - level[0.25 if low else 0.5]), F.lit(least))
+        mine = lambda x, s=s: F.max(F.when(F.col("statistic") == s, x))
+        out += [mine(level[0.25] - off if low else F.lit(None).cast("double")).alias(f"lo_{s}"), mine(level[upper] + off).alias(f"hi_{s}")]
+    return j.groupBy("lang", "source").agg(*out)
 
 
-def quality_rules(docs: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, fence: float = FENCE, prior: float = PRIOR) -> DataFrame:
     """One row per document: the counts, base_failed, reasons (fences crossed) and kept."""
     counts = stored(docs.sparkSession, text_statistics(docs), "rules-counts")
     rates = _rates(counts)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rates = rates.withColumn("base_failed", base)
-    limits = fences(rates, fence, least_rows)
+    limits = stored(docs.sparkSession, fences(rates, fence, prior), "rules-fences")
     limits = limits.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     j = rates.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     crossed = [F.when((F.col(s) < F.col(f"lo_{s}")) | (F.col(s) > F.col(f"hi_{s}")), F.lit(s)) for s in STATISTICS]
