@@ -40,7 +40,7 @@ STATISTICS = {
 }
 FENCE = 4.0
 #: Rows for which the wider group's quantiles stand in a group's own.
-PRIOR = 100.0
+PRIOR = 500.0
 #: The grid: cell c holds values in (GROWTH ** (c - 1), GROWTH ** c], NONE those up to TINY.
 GROWTH, TINY, NONE = 1.01, 1e-6, -10_000
 LEVELS = (0.25, 0.5, 0.75, 0.9, 0.99)
