@@ -7,6 +7,8 @@ fewer).  Each quote asks for its rarest run only, and what comes back is searche
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def held(asked: DataFrame, texts: DataFrame, key: str = "event_id") -> DataFrame
     return found.select(key, F.inline(F.arrays_zip(F.col("needles").alias("needle"), F.col("at"))))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, though body names it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _runs(words: Column, k: int) -> Column:
     """A hash of every k words in a row."""
     n = F.size(words) - k + 1
@@ -46,8 +53,9 @@ def _sign_runs(text: Column) -> Column:
 
 
 def _grams(text: str, kinds: list[int]) -> Column:
+    signs = [_sign_runs(F.col(text))] if 0 in kinds else []
     words = F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0))
-    return F.array_distinct(F.concat(*[_runs(words, k) if k else _sign_runs(F.col(text)) for k in kinds]))
+    return _once(words, lambda w: F.array_distinct(F.concat(*signs, *[_runs(w, k) for k in kinds if k])))
 
 
 def texts_holding(quotes: DataFrame, texts: DataFrame, key: str = "event_id") -> DataFrame:
