@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemark.operators import cases, claims, consensus, gates, propagation, report, saydo, summaries
-from tracemark.operators.transcript import overlapping
 from tracemark.sources import jsonl, sinks
 
 AT = lambda h, m=0: dt.datetime(2026, 6, 1, h, m)
@@ -157,13 +156,6 @@ def test_evidence_runs(spark):
     assert w == {0.25: 1, 2.0: 3, 6.0: 4}
 
 
-def test_overlaps_in_buckets(spark):
-    p = spark.range(300).selectExpr("id", "timestamp_seconds(id * 37 % 1000) AS start", "CASE WHEN id % 11 = 0 THEN NULL ELSE timestamp_seconds(id * 37 % 1000 + id % 60) END AS end")
-    q = spark.range(40).selectExpr("id AS episode", "timestamp_seconds(id * 23) AS lo", "timestamp_seconds(id * 23 + id % 9 * 7) AS hi")
-    pairs = lambda d: sorted((r.id, r.episode) for r in d.collect())
-    assert pairs(overlapping(p, q, most=5)) == pairs(overlapping(p, q)) and len(pairs(overlapping(p, q))) > 500
-
-
 def test_writers_and_documents(spark, tmp_path):
     d = spark.createDataFrame([(1, "a\nb"), (2, None)], "id int, text string")
     sinks.write_jsonl(d, str(tmp_path / "j"))

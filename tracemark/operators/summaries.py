@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemark.operators.consensus import FIRST_HAND, UNIT, first_hand, reveals
+from tracemark.operators.intervals import holding
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -59,7 +60,7 @@ def window_manifest(lines: DataFrame) -> DataFrame:
 
 def leads_by_episode(cascades: DataFrame, episodes: DataFrame, most: int) -> DataFrame:
     """The largest cascades whose origin lies in each episode, all episodes in one pass."""
-    j = cascades.join(F.broadcast(episodes), (F.col("origin_ts") >= F.col("lo")) & (F.col("origin_ts") < F.col("hi")))
+    j = holding(cascades, "origin_ts", episodes, "lo", "hi").filter("origin_ts < hi")
     w = Window.partitionBy("episode").orderBy(F.desc("n_adopters"), "median_lag_hours", "unit")
     return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 

@@ -52,31 +52,6 @@ def context_windows(events: DataFrame, centres: DataFrame, before: int, after: i
     return hit.select("centre", (F.col("at") - F.col("mid")).cast("int").alias("place"), "event_id")
 
 
-BROADCAST_EPISODES = 10_000
-_BUCKETS = 4096
-
-
-def overlapping(periods: DataFrame, episodes: DataFrame, most: int = BROADCAST_EPISODES) -> DataFrame:
-    """Periods (start, end; an open end is far away) that overlap episodes (lo, hi), both kept.
-
-    Up to ``most`` episodes are broadcast.  More of them meet the periods in _BUCKETS buckets of time: each pair
-    is taken in the bucket in which the later of the two begins, so it is found once.
-    """
-    end = F.coalesce(F.col("end"), F.lit("2100-01-01").cast("timestamp"))
-    meets = (F.col("start") < F.col("hi")) & (end >= F.col("lo"))
-    if episodes.limit(most + 1).count() <= most:
-        return periods.join(F.broadcast(episodes), meets)
-    us = F.unix_micros
-    first, last = episodes.agg(F.min(us("lo")), F.max(us("hi"))).first()
-    width = max(1, -(-(last - first + 1) // _BUCKETS))
-    bucket = lambda t: F.least(F.greatest(F.floor((us(t) - first) / width), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
-    cut = lambda df, a, b: df.filter(bucket(a) <= bucket(b)).withColumn("_b", F.explode(F.sequence(bucket(a), bucket(b))))
-    p = cut(periods.filter((us("start") <= last) & (us(end) >= first)), F.col("start"), F.greatest(F.col("start"), end))
-    q = cut(episodes, F.col("lo"), F.col("hi"))
-    later = F.greatest(bucket(F.col("start")), bucket(F.col("lo")))
-    return p.join(q, "_b").filter(meets & (F.col("_b") == later)).drop("_b")
-
-
 def latest_day(events: DataFrame, days: DataFrame, shift_hours: int = 17) -> DataFrame:
     """As-of join: ``events`` with the latest listed (day, date) not after the shifted date of ts."""
     shifted = F.to_date(F.col("ts") - F.expr(f"INTERVAL {shift_hours} HOURS"))

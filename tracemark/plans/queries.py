@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
-from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, posts, propagation, quotes, report, saydo, summaries, transcript
+from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, intervals, posts, propagation, quotes, report, saydo, summaries, transcript
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -326,7 +326,7 @@ def j10_asof_day(spark, sf):
 def j21_overlaps(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("start"), F.expr("CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(CAST(o_orderkey % 20 AS INT)) END").alias("end"))
     q = spark.sql("SELECT id AS episode, TIMESTAMP '1995-01-01' + make_dt_interval(CAST(90 * id AS INT)) AS lo, TIMESTAMP '1995-01-01' + make_dt_interval(CAST(90 * id + 5 AS INT)) AS hi FROM range(12)")
-    return transcript.overlapping(o, q).groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return intervals.overlapping(o, q).groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @query("@ m AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(CASE WHEN a THEN 1.0 ELSE 0.0 END) AS pa, avg(CASE WHEN b THEN 1.0 ELSE 0.0 END) AS pb FROM ratings) SELECT n, round(po, 4) AS agreement, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 4) AS kappa FROM m", "ratings")
