@@ -3,7 +3,10 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracemark.operators import propagation
 
@@ -48,3 +51,14 @@ def test_top(spark):
     df = spark.createDataFrame(uses, "kind string, unit string, ts timestamp, event_id string, actor_id string, raw string, place int")
     c = propagation.cascades(df, spark.createDataFrame([], "actor_id string, display_name string"), min_adopters=1, top=2)
     assert [(r.unit, r.n_adopters) for r in c.collect()] == [("x", 4), ("z", 3)]
+
+
+PARTS = ["http://a.org/b_c.py", "https://www.Example.com/x?y#z).", "run_it_now.py", "`code of it, all`", "`x`", "SOME_NAME", "CamelCase9Word", "a/b/file.json", "50%file.json", "é_ü_snake", " ", "\n", "``", "_", ".", "word"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(PARTS), max_size=8).map("".join)), max_size=6))
+def test_units_of_a_batch(texts):
+    f = propagation._found(pd.Series(texts, dtype=object))
+    got = [(r.row, r.kind, r.unit, r.raw, r.place) for r in f.itertuples()]
+    assert got == [(i, u["kind"], u["unit"], u["raw"], u["place"]) for i, t in enumerate(texts) for u in propagation.units_of(t)]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tracemark.operators.places import ranked
@@ -51,12 +54,35 @@ def units_of(text: str | None) -> list[dict]:
     return [{"kind": k, "unit": u, "raw": raw, "place": i} for i, ((k, u), raw) in enumerate(found.items())]
 
 
-_UNITS = ArrayType(StructType([*(StructField(c, StringType()) for c in ("kind", "unit", "raw")), StructField("place", IntegerType())]))
 
 
-@F.pandas_udf(_UNITS)
-def extract_units(text: pd.Series) -> pd.Series:
-    return text.map(units_of)
+def _found(texts: pd.Series) -> pd.DataFrame:
+    """(row, kind, unit, raw, place) of a batch of texts: each pattern walks once over all of them.
+
+    The texts are joined by line feeds.  No pattern takes one in, and to all of them it is an end like any other.
+    """
+    texts = texts.fillna("").reset_index(drop=True)
+    whole, begin = "\n".join(texts), np.cumsum([0, *(texts.str.len() + 1)])
+    hits = [(rank, m.start(), kind, *u) for rank, (kind, p) in enumerate(_PATTERNS) for m in p.finditer(whole) if (u := _unit(kind, whole, m))]
+    f = pd.DataFrame(hits, columns=["rank", "at", "kind", "unit", "raw"])
+    f["row"] = np.searchsorted(begin, f["at"].to_numpy(np.int64), "right") - 1
+    f = f.sort_values(["row", "rank", "at"], kind="stable").drop_duplicates(["row", "rank", "unit"])
+    return f.assign(place=f.groupby("row").cumcount())[["row", "kind", "unit", "raw", "place"]]
+
+
+def extract_units(rows: DataFrame, text: str = "text") -> DataFrame:
+    """A row per unit of each text: the other columns of ``rows``, kind, unit, raw, place (0 the first of its text)."""
+    keys = [c for c in rows.columns if c != text]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = _found(batch.column(len(keys)).to_pandas())
+            at = pa.array(f["row"].to_numpy(np.int64))
+            more = [pa.array(f[c], kind) for c, kind in (("kind", pa.string()), ("unit", pa.string()), ("raw", pa.string()), ("place", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *more], names=[*keys, "kind", "unit", "raw", "place"])
+
+    schema = StructType([*rows.select(*keys).schema.fields, *[StructField(c, StringType()) for c in ("kind", "unit", "raw")], StructField("place", IntegerType())])
+    return rows.select(*keys, text).mapInArrow(find, schema)
 
 
 def trace(events: DataFrame, actors: DataFrame, source: str, *, start=None, end=None, subtypes=None, kinds=None, horizon_days: float = 7.0, min_adopters: int = 3, min_burst: float = 0.5, top: int | None = 50, most_hops: int = MOST_HOPS) -> DataFrame:
@@ -67,7 +93,7 @@ def trace(events: DataFrame, actors: DataFrame, source: str, *, start=None, end=
     """
     e = events.filter((F.col("source") == source) & F.col("text").isNotNull() & F.col("actor_id").isNotNull() & F.col("ts").isNotNull())
     e = e.filter(F.col("subtype").isin(*subtypes)) if subtypes else e
-    uses = e.select("ts", "event_id", "actor_id", F.explode(extract_units("text")).alias("u")).select("ts", "event_id", "actor_id", "u.*")
+    uses = extract_units(e.select("ts", "event_id", "actor_id", "text"))
     return cascades(uses.filter(F.col("kind").isin(*kinds)) if kinds else uses, actors, start=start, end=end, horizon_days=horizon_days, min_adopters=min_adopters, min_burst=min_burst, top=top, most_hops=most_hops)
 
 

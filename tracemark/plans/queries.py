@@ -129,6 +129,26 @@ def q6_context_windows(spark, sf):
     return transcript.context_windows(m, m, 2, 3)
 
 
+NAMED = """@ w AS (SELECT event_id, text, regexp_extract_all(lower(text), '[a-z]{4,9}') AS w FROM messages WHERE text IS NOT NULL),
+    t AS (SELECT event_id, text || ' see https://www.' || w[1] || '.org/' || w[2] || '?x=1. Run `' || w[1] || ' ' || w[2] || '`, ' || w[1] || '_' || w[2] || '.py and ' || upper(w[1]) || '_' || upper(w[2]) || ' or ' || upper(w[1][1]) || w[1][2:] || upper(w[2][1]) || w[2][2:] || '!' AS x FROM w WHERE len(w) > 1),
+    hits AS (SELECT event_id, 'url' AS kind, lower(rtrim(regexp_extract(regexp_replace(regexp_replace(u, '[.,;:!?)}"'']+$', ''), '^https?://(www\\.)?', ''), '^[^?#]*'), '/')) AS unit FROM (SELECT event_id, unnest(regexp_extract_all(x, 'https?://[^\\s<>"''`)}\\]]+')) AS u FROM t)
+        UNION ALL SELECT event_id, 'file', lower(unnest(regexp_extract_all(x, '(?:^|[^/.%\\w-])([\\w-]+(?:\\.[\\w-]+)*\\.(?:py|mjs|js|tsx|ts|html|css|json|md|sh|ya?ml|csv|txt|svg|png))\\b', 1))) FROM t
+        UNION ALL SELECT event_id, 'code', lower(trim(unnest(regexp_extract_all(x, '`([^`\\n]{8,60})`', 1)))) FROM t
+        UNION ALL SELECT event_id, 'snake', unnest(regexp_extract_all(x, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')) FROM t
+        UNION ALL SELECT event_id, 'camel', unnest(regexp_extract_all(x, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b')) FROM t
+        UNION ALL SELECT event_id, 'scream', unnest(regexp_extract_all(x, '\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\\b')) FROM t)
+    SELECT DISTINCT event_id, kind, unit FROM hits WHERE length(unit) >= 8"""
+
+
+@query(NAMED, "messages")
+def d1_units(spark, sf):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,9}"), F.lit(0))
+    a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    more = [" see https://www.", a, ".org/", b, "?x=1. Run `", a, " ", b, "`, ", a, "_", b, ".py and ", F.upper(a), "_", F.upper(b), " or ", F.initcap(a), F.initcap(b), "!"]
+    m = _messages(spark, sf).withColumn("w", w).filter("size(w) > 1").select("event_id", F.concat("text", *[F.lit(x) if isinstance(x, str) else x for x in more]).alias("text"))
+    return propagation.extract_units(m).select("event_id", "kind", "unit")
+
+
 TRACE = f"""@ uses AS (SELECT DISTINCT ON (host, page_id) lower(regexp_replace(host, '^www\\.', '')) AS unit, page_id, {START} + page_id * {HOUR} AS ts_us, 'web:' || (page_id * 7 % 23) AS actor FROM links WHERE length(regexp_replace(host, '^www\\.', '')) >= 8),
     origin AS (SELECT unit, min(ts_us) AS t0, arg_min(actor, ts_us) AS a0, count(*) AS uses_total FROM uses GROUP BY unit),
     inside AS (SELECT u.*, o.t0, o.a0, o.uses_total FROM uses u JOIN origin o USING (unit) WHERE u.ts_us - o.t0 <= {24 * 4 * HOUR}),
