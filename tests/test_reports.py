@@ -59,8 +59,9 @@ def test_report(spark, events, actors, channels):
     did = found["f1"].evidence[1]
     assert did.context == "bash: pytest\n\n[output]\n12 passed\nin all" and did.context[did.span[0] : did.span[1]] == "12 passed" and did.room == "computer-use"
     assert r["hops"].count() == 41 and r["hops"].filter("status = 'verified'").count() == 41
-    lines = claims.digest_lines(r["claims"].withColumns({"importance": F.lit(4), "question": F.lit("Q1"), "claim": F.lit("a  b"), "actors": F.array(F.lit("X"))})).collect()
-    assert [(x.place, x.line) for x in lines] == [(1, "(4) Q1 a b [X]")]
+    known = r["claims"].withColumns({"id": F.lit("c7"), "importance": F.lit(0), "confidence": F.lit(None).cast("string"), "claim": F.lit("a  b")})
+    assert [tuple(x) for x in claims.digest_lines(known, "night").collect()] == [("m1/b/1", "[night c7 | imp 3 | ?] a  b")]
+    assert claims.digest_lines(known, least=4).count() == 0
 
 
 CLAIMS = "packet string, lens string, version string, claim_id string, count int, actors array<string>, evidence array<struct<ref:string,quote:string>>"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracemark.functions import text as T
 from tracemark.operators.citations import verify_citations
@@ -67,15 +66,18 @@ def reject_rate(checked: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("reject_rate", F.when(F.col("quotes") > 0, F.round(1 - F.col("verified") / F.col("quotes"), 4)))
 
 
-def digest(claims: DataFrame, least: int = 3) -> DataFrame:
-    """Verified claims of at least some importance (a missing or zero importance counts as 3)."""
-    return claims.filter((F.col("status") == "verified") & (F.coalesce(F.nullif("importance", F.lit(0)), F.lit(3)) >= least))
+def _importance() -> Column:
+    """A missing or zero importance counts as 3."""
+    return F.coalesce(F.nullif("importance", F.lit(0)), F.lit(3))
 
 
-def digest_lines(claims: DataFrame, least: int = 3) -> DataFrame:
-    """(question, place, line): the digest to be read, one line a claim, the most important of a question first."""
-    d = digest(claims, least).withColumn("_i", F.coalesce(F.nullif("importance", F.lit(0)), F.lit(3)))
-    who = F.when(F.size(F.coalesce("actors", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" ["), F.array_join("actors", ", "), F.lit("]"))).otherwise("")
-    line = F.concat(F.lit("("), F.col("_i").cast("string"), F.lit(") "), F.coalesce("question", F.lit("?")), F.lit(" "), T.squeeze(F.col("claim")), who)
-    w = Window.partitionBy("question").orderBy(F.desc("_i"), "claim_key")
-    return d.select("question", F.row_number().over(w).alias("place"), line.alias("line"))
+def digest(claims: DataFrame, least: int = 1) -> DataFrame:
+    """Verified claims of at least some importance."""
+    return claims.filter((F.col("status") == "verified") & (_importance() >= least))
+
+
+def digest_lines(claims: DataFrame, label: str = "", least: int = 1) -> DataFrame:
+    """(claim_key, line): one line a verified claim, quick to skim; ``claims`` has claim_key, id, importance, confidence and claim."""
+    show = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    line = F.concat(F.lit(f"[{label} "), show("id", "None"), F.lit(" | imp "), _importance().cast("string"), F.lit(" | "), show("confidence", "?"), F.lit("] "), F.col("claim"))
+    return digest(claims, least).select("claim_key", line.alias("line"))

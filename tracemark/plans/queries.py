@@ -84,6 +84,17 @@ def q7_claim_statuses(spark, sf):
     return f.select("claim_key", "n_evidence", "n_verified", "n_events", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "status")
 
 
+@query(CHECKED + """, d AS (SELECT claim_key || '/' || n AS claim_key, CAST(substr(claim_key, 2) AS INT) AS k, CAST(substr(claim_key, 2) AS INT) % 6 AS i FROM checked WHERE status = 'verified')
+    SELECT claim_key, '[sweep ' || k || ' | imp ' || CASE WHEN i IN (0, 5) THEN 3 ELSE i END || ' | ' || CASE WHEN k % 4 = 0 THEN '?' ELSE '0.' || k % 4 END || '] claim of ' || claim_key AS line FROM d WHERE i <> 1""", "citations")
+def q8_digest_lines(spark, sf):
+    """Each citation as a claim of its own."""
+    c = _checked(spark, sf).drop("ts").join(_messages(spark, sf).select("event_id", "ts"), "event_id", "left")
+    f = claims.fold_claims(c.withColumn("claim_key", F.concat_ws("/", "claim_key", "n")).withColumn("count", F.lit(None).cast("int")))
+    f = f.withColumn("id", F.regexp_extract("claim_key", "[0-9]+", 0).cast("int"))
+    f = f.withColumn("importance", F.when(F.col("id") % 6 < 5, F.col("id") % 6)).withColumn("confidence", F.when(F.col("id") % 4 > 0, F.concat(F.lit("0."), (F.col("id") % 4).cast("string"))))
+    return claims.digest_lines(f.withColumn("claim", F.concat(F.lit("claim of "), "claim_key")), "sweep", 2)
+
+
 @query(CHECKED + "SELECT model, count(ref) AS quotes, count(*) FILTER (status = 'verified') AS verified, round(1 - count(*) FILTER (status = 'verified') / count(ref), 4) AS reject_rate FROM checked GROUP BY model", "citations")
 def a7_reject_rate_by_model(spark, sf):
     return report.by_model(_checked(spark, sf))
@@ -307,6 +318,11 @@ def a20_saydo_summary(spark, sf):
     return saydo.summarize(saydo.audit(_claims(spark, sf), _runs(spark, sf), _agents(spark)))
 
 
+@query(LADDER + "SELECT category, count(*) AS with_number, count(*) FILTER (w.first_us IS NULL) AS never_seen FROM cat JOIN claims c USING (claim_id) LEFT JOIN wk w USING (claim_id) WHERE coalesce(c.passed, 0) <> 0 GROUP BY category", "claims", "runs")
+def a21_numbers_never_produced(spark, sf):
+    return saydo.numbers_never_produced(saydo.audit(_claims(spark, sf), _runs(spark, sf), _agents(spark)))
+
+
 @query("SELECT ref, passed, CAST(failed AS INT) AS failed, CASE ref % 4 WHEN 0 THEN 'pytest' WHEN 1 THEN 'jest' WHEN 2 THEN 'cargo' ELSE 'tap' END AS framework FROM runs WHERE passed > 0", "runs")
 def d2_test_summaries(spark, sf):
     p, f = F.col("passed").cast("string"), F.col("failed").cast("string")
@@ -421,10 +437,16 @@ def f14_normal_forms(spark, sf):
     return p.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"), F.min("wall_time").alias("first_time"))
 
 
-@query()
+EVIDENCE = CHECKED + """, found AS (SELECT claim_key, CAST(n AS BIGINT) AS n, eid AS event_id, text, regexp_extract(text, '(?i)' || array_to_string(list_transform(list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\\s+')) AS hit FROM checked WHERE status = 'verified'),
+    spans AS (SELECT *, strpos(text, hit) - 1 AS lo, strpos(text, hit) - 1 + length(hit) AS hi FROM found)
+    SELECT claim_key, n, event_id, CAST(lo AS INT) AS span_lo, CAST(hi AS INT) AS span_hi, CAST(greatest(0, lo - 120) AS INT) AS context_offset, substr(text, CAST(greatest(0, lo - 120) + 1 AS BIGINT), CAST(hi - lo + 240 AS BIGINT)) AS context FROM spans"""
+
+
+@query(EVIDENCE, "citations")
 def q12_evidence_items(spark, sf):
     c = _checked(spark, sf).filter("status = 'verified'").join(_messages(spark, sf).select("event_id", "text"), "event_id")
-    return report.evidence_items(c).select("claim_key", "n", "event_id", "span", "context", "context_offset")
+    e = report.evidence_items(c).withColumns({"span_lo": F.col("span")[0], "span_hi": F.col("span")[1]})
+    return e.select("claim_key", F.col("n").cast("long").alias("n"), "event_id", "span_lo", "span_hi", "context_offset", "context")
 
 
 # -- derived tables -----------------------------------------------------------------------------
