@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemark.functions import text as T
 from tracemark.operators import agreement, bins, cases, citations, claims, consensus, gates, intervals, posts, propagation, quotes, report, saydo, summaries, transcript
+from tracemark.plans.storage import fresh_path
 from tracemark.plans.views import HOUR, START, table, view, with_views
 from tracemark.sources import store
 
@@ -449,6 +450,23 @@ def q12_evidence_items(spark, sf):
     return e.select("claim_key", F.col("n").cast("long").alias("n"), "event_id", "span_lo", "span_hi", "context_offset", "context")
 
 
+SLIM = """@ slim AS (SELECT t.id AS turn_id, substr(replace(t.id, '-', ''), 1, 10) AS ref, t.session_id, s.agent_id, a.name AS agent, t.created_at, coalesce(json_extract_string(agent_action, '$.action'), CASE WHEN json_extract_string(agent_action, '$.command') IS NOT NULL THEN 'bash' END) AS action_type,
+    substr(coalesce(json_extract_string(agent_action, '$.text'), json_extract_string(agent_action, '$.command'), json_extract_string(agent_action, '$.keys'), json_extract_string(agent_action, '$.url'), ''), 1, 800) AS action_text,
+    substr(output, 1, 600) AS out_text, CASE WHEN length(output) > 600 THEN right(output, 600) END AS out_tail, substr(error, 1, 300) AS err_text FROM raw_turns t LEFT JOIN raw_sessions s ON s.id = t.session_id LEFT JOIN raw_agents a ON a.id = s.agent_id)"""
+_RAW = ("raw_turns", "raw_sessions", "raw_agents", "raw_memories")
+
+
+@query(SLIM + "SELECT turn_id, ref, session_id, agent_id, agent, epoch_us(strptime(created_at, '%Y-%m-%dT%H:%M:%SZ')) AS ts_us, action_type, action_text, out_text, out_tail, err_text FROM slim", *_RAW)
+def k4_slim_turns(spark, sf):
+    t = store.slim_turns(*(view(spark, sf, v) for v in _RAW[:3]))
+    return t.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
+@query(SLIM + "SELECT (SELECT count(*) FROM raw_agents) AS agents, (SELECT count(*) FROM raw_sessions) AS sessions, count(*) AS turns, (SELECT count(*) FROM raw_memories) AS memories, count(action_type) AS turns_with_action FROM slim", *_RAW)
+def q15_ingest_turns(spark, sf):
+    return store.ingest_turns(*(view(spark, sf, v) for v in _RAW), fresh_path(spark, "slim"))
+
+
 # -- derived tables -----------------------------------------------------------------------------
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
 def p15_first_by_priority(spark, sf):

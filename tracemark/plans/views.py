@@ -50,6 +50,14 @@ VIEWS = {
     "claims": f"""
         SELECT event_id AS claim_id, concat('agent-', CAST(user_id % 14 AS STRING)) AS agent, {{US(ts)}} AS ts_us, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value) AS INT) % 30 END AS passed
         FROM events WHERE event_type = 'view'""",
+    "raw_turns": f"""
+        SELECT concat(lpad(CAST(event_id AS STRING), 8, '0'), '-turn') AS id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE concat('s', CAST(user_id % 60 AS STRING)) END AS session_id,
+               CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('{{"command": "run ', event_type, '"}}') WHEN 2 THEN concat('{{"action": "type", "text": "', event_type, '"}}') WHEN 3 THEN '{{"action": "key", "keys": "ctrl+c"}}' ELSE concat('{{"action": "', event_type, '"}}') END AS agent_action,
+               repeat(event_type, CAST(event_id % 200 AS INT)) AS output, CASE WHEN event_type = 'error' THEN repeat('e', CAST(event_id % 500 AS INT)) END AS error, {{ISO({START} + event_id * 1000000)}} AS created_at
+        FROM events""",
+    "raw_sessions": "SELECT DISTINCT concat('s', CAST(user_id % 60 AS STRING)) AS id, concat('a', CAST(user_id % 60 % 13 AS STRING)) AS agent_id FROM events",
+    "raw_agents": "SELECT DISTINCT concat('a', CAST(user_id % 11 AS STRING)) AS id, upper(concat('agent ', CAST(user_id % 11 AS STRING))) AS name FROM events",
+    "raw_memories": f"SELECT concat('m-', CAST(doc_id AS STRING)) AS id, text AS content, concat('a', CAST(doc_id % 14 AS STRING)) AS agent_id, {{ISO({START} + doc_id * 1000000)}} AS created_at FROM documents",
     "ratings": "SELECT doc_id, quality = 1 AS a, toxic = 1 OR doc_id % 9 < 7 AS b FROM labels",
     "links": "SELECT page_id, url, regexp_replace(url, '^https?://([^/]*).*$', '$1') AS host FROM pages",
 }
@@ -79,7 +87,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; tables are passed by name, so no temporary view is left behind."""
-    sql = spark_sql(name)
+    sql = spark_sql(name).replace("{", "{{").replace("}", "}}")
     sources = {t: view(spark, sf_dir, t) for t in NEEDS.get(name, [])}
     sources |= {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"FROM {t}\b", sql)}
     for t in sources:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,7 +64,7 @@ def slim_turns(turns: DataFrame, sessions: DataFrame, agents: DataFrame) -> Data
     s = sessions.select(F.col("id").alias("session_id"), "agent_id")
     a = agents.select(F.col("id").alias("agent_id"), F.col("name").alias("agent"))
     t = turns.join(s, "session_id", "left").join(a, "agent_id", "left")
-    said = F.coalesce(*[F.get_json_object("agent_action", f"$.{k}") for k in ("text", "command", "keys", "url")], F.col("agent_action"))
+    said = F.coalesce(*[F.get_json_object("agent_action", f"$.{k}") for k in ("text", "command", "keys", "url")], F.lit(""))
     return t.select(
         F.col("id").alias("turn_id"), F.substring(F.replace("id", F.lit("-"), F.lit("")), 1, 10).alias("ref"), "session_id", "agent_id", "agent",
         T.parse_ts(F.col("created_at")).alias("ts"), action_type(F.col("agent_action")).alias("action_type"), F.left(said, F.lit(800)).alias("action_text"),
@@ -76,6 +78,29 @@ def slim_memories(memories: DataFrame, agents: DataFrame) -> DataFrame:
     return m.select(F.col("id").alias("memory_id"), F.substring(F.replace("id", F.lit("-"), F.lit("")), 1, 10).alias("ref"), "agent_id", "agent", T.parse_ts(F.col("created_at")).alias("ts"), F.left("content", F.lit(8000)).alias("text"), F.length("content").cast("long").alias("full_chars"))
 
 
+def ingest_turns(turns: DataFrame, sessions: DataFrame, agents: DataFrame, memories: DataFrame, path: str) -> DataFrame:
+    """Write the slim tables (turns, memories, sessions, agents) below ``path`` and say how many rows each has: one row, read off what was written.
+
+    Turns and memories are laid out by agent and time, so that an agent's window reads few files.
+    """
+    spark = turns.sparkSession
+    ordered = lambda df: df.repartitionByRange("agent", "ts").sortWithinPartitions("agent", "ts")
+    tables = {
+        "agents": agents.select(F.col("id").alias("agent_id"), "name"),
+        "sessions": sessions.select(F.col("id").alias("session_id"), "agent_id"),
+        "turns": ordered(slim_turns(turns, sessions, agents)),
+        "memories": ordered(slim_memories(memories, agents)),
+    }
+    counted = []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        written = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        acted = F.count("action_type") if name == "turns" else F.lit(None).cast("long")
+        counted.append(written.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), acted.alias("acted")))
+    n = lambda name: F.max(F.when(F.col("name") == name, F.col("n"))).alias(name)
+    return reduce(DataFrame.unionByName, counted).agg(*[n(t) for t in tables], F.max("acted").alias("turns_with_action"))
+
+
 def actions(turns: DataFrame, agent: str, start, end, types=None, grep: str | None = None, limit: int = 200, max_chars: int = 300) -> DataFrame:
     """An agent's turns of [start, end) in order; ``agent`` and ``grep`` are LIKE patterns within."""
     t = turns.filter(F.col("ts").isNotNull() & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")) & F.lower("agent").like(f"%{agent.lower()}%"))
