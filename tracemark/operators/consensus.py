@@ -105,8 +105,8 @@ def totals(s: DataFrame) -> DataFrame:
     a = v.agg(F.count(F.lit(1)).alias("receiver_rounds"), F.count_if("exposed").alias("exposed_upper"), F.count_if("confirmed").alias("confirmed_use"), F.round(F.median("lead_minutes"), 4).alias("lead_minutes_median"))
     share = lambda c: F.when(F.col("receiver_rounds") > 0, F.round(F.col(c) / F.col("receiver_rounds"), 4))
     top = r.filter("revealer IS NOT NULL").groupBy("revealer").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), "revealer")
-    top = top.withColumn("k", F.row_number().over(w)).agg(F.round(F.sum(F.when(F.col("k") <= 5, F.col("n"))) / F.sum("n"), 4).alias("top5_revealer_share"))
+    five = top.orderBy(F.desc("n"), "revealer").limit(5).agg(F.sum("n").alias("most"))
+    top = top.agg(F.sum("n").alias("all")).crossJoin(five).select(F.round(F.col("most") / F.col("all"), 4).alias("top5_revealer_share"))
     dropped = every.agg(F.count_if(F.col("round").isNull()).alias("null_round_dropped"))
     n = u.agg(F.count(F.lit(1)).alias("n_units"))
     out = a.withColumn("exposed_share", share("exposed_upper")).withColumn("confirmed_share", share("confirmed_use"))

@@ -450,6 +450,27 @@ def q12_evidence_items(spark, sf):
     return e.select("claim_key", F.col("n").cast("long").alias("n"), "event_id", "span_lo", "span_hi", "context_offset", "context")
 
 
+REPORT = CHECKED + """, k AS (SELECT *, model || '/' || claim_key || '/0' AS key, row_number() OVER (PARTITION BY claim_key ORDER BY n, ref, quote) - 1 AS place FROM checked),
+    g AS (SELECT key, max(count) AS count, count(ref) AS n_evidence, count(*) FILTER (status = 'verified') AS n_verified, count(DISTINCT CASE WHEN status NOT IN ('event_missing', 'ambiguous_ref') THEN eid END) AS n_events FROM k GROUP BY key),
+    told AS (SELECT key, CASE WHEN n_verified = n_evidence AND count BETWEEN 2 AND 12 AND (n_events <> count OR n_evidence <> count) THEN 'count_mismatch' WHEN n_evidence = 0 THEN 'no_evidence' WHEN n_verified = n_evidence THEN 'verified' WHEN n_verified > 0 THEN 'partial' ELSE 'rejected' END AS claim_status FROM g),
+    marked AS (SELECT *, CASE WHEN status = 'verified' THEN regexp_extract(text, '(?i)' || array_to_string(list_transform(list_filter(regexp_split_to_array(quote, '\\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\\s+')) END AS hit FROM k),
+    spans AS (SELECT *, strpos(text, hit) - 1 AS lo, greatest(0, strpos(text, hit) - 1 - 2000) AS off FROM marked)
+    SELECT s.key AS claim_key, t.claim_status, CAST(s.place AS INT) AS n, s.ref, s.status, CASE WHEN hit IS NOT NULL THEN coalesce(a.display_name, s.actor_id) END AS actor, CASE WHEN hit IS NOT NULL THEN c.name END AS room,
+        CAST(lo - off AS INT) AS span_lo, CAST(lo - off + length(hit) AS INT) AS span_hi, CAST(CASE WHEN hit IS NOT NULL THEN off END AS INT) AS context_offset, CASE WHEN hit IS NOT NULL THEN substr(s.text, CAST(off + 1 AS BIGINT), 4000) END AS context
+    FROM spans s JOIN told t ON t.key = s.key LEFT JOIN messages m ON m.event_id = s.eid LEFT JOIN actors a ON a.actor_id = m.actor_id LEFT JOIN channels c ON c.channel_id = m.channel_id"""
+
+
+@query(REPORT, "citations", "actors", "channels")
+def q12_report(spark, sf):
+    """The report's claims with their evidence, a row an item."""
+    cited = F.transform(F.sort_array(F.collect_list(F.struct("n", "ref", "quote"))), lambda e: F.struct(e["ref"].alias("ref"), e["quote"].alias("quote")))
+    claim = F.struct(F.col("claim_key").alias("id"), F.lit("Q").alias("question"), F.lit("said so").alias("claim"), F.array().cast("array<string>").alias("actors"), F.col("count"), F.col("evidence"), F.lit(4).alias("importance"))
+    c = view(spark, sf, "citations").groupBy("model", "claim_key").agg(F.max("count").alias("count"), cited.alias("evidence"))
+    r = report.build_report(c.select("model", F.array(claim).alias("claims")), _messages(spark, sf), view(spark, sf, "actors"), view(spark, sf, "channels"))
+    e = r["claims"].select("claim_key", F.col("status").alias("claim_status"), F.inline("evidence"))
+    return e.select("claim_key", "claim_status", F.col("n").cast("int").alias("n"), "ref", "status", "actor", "room", F.col("span")[0].alias("span_lo"), F.col("span")[1].alias("span_hi"), "context_offset", "context")
+
+
 SLIM = """@ slim AS (SELECT t.id AS turn_id, substr(replace(t.id, '-', ''), 1, 10) AS ref, t.session_id, s.agent_id, a.name AS agent, t.created_at, coalesce(json_extract_string(agent_action, '$.action'), CASE WHEN json_extract_string(agent_action, '$.command') IS NOT NULL THEN 'bash' END) AS action_type,
     substr(coalesce(json_extract_string(agent_action, '$.text'), json_extract_string(agent_action, '$.command'), json_extract_string(agent_action, '$.keys'), json_extract_string(agent_action, '$.url'), ''), 1, 800) AS action_text,
     substr(output, 1, 600) AS out_text, CASE WHEN length(output) > 600 THEN right(output, 600) END AS out_tail, substr(error, 1, 300) AS err_text FROM raw_turns t LEFT JOIN raw_sessions s ON s.id = t.session_id LEFT JOIN raw_agents a ON a.id = s.agent_id)"""
