@@ -2,6 +2,8 @@ import gzip
 import json
 import random
 
+import pytest
+
 from tracemark.sources import store
 from tracemark.sources.adapters import ACTIONS, Transcript, Wiki
 from tracemark.sources.jsonl import read_day_map, read_lines
@@ -189,3 +191,25 @@ def test_streaming_hourly(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.sql("SELECT n FROM hourly_out").collect()) == [1, 2]
+
+
+def test_snapshots(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    rows = lambda n: spark.range(n)
+    assert store.versions(spark, path) == []
+    store.snapshot(spark, {"events": rows(3), "actors": rows(1)}, path, "2026-06-01")
+    with pytest.raises(ZeroDivisionError):  # a table that fails leaves no version
+        store.snapshot(spark, {"events": rows(4), "actors": _Failing()}, path, "2026-06-02")
+    assert store.versions(spark, path) == ["2026-06-01"]
+    store.snapshot(spark, {"events": rows(5), "actors": rows(2)}, path, "2026-06-02")
+    assert [store.read_snapshot(spark, path, "events", v).count() for v in (None, "2026-06-01", "2026-06-02")] == [5, 3, 5]
+    with pytest.raises(FileExistsError):
+        store.snapshot(spark, {"events": rows(9)}, path, "2026-06-01")
+    with pytest.raises(FileNotFoundError):
+        store.read_snapshot(spark, path, "events", "1999")
+
+
+class _Failing:
+    @property
+    def write(self):
+        return 1 / 0

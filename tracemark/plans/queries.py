@@ -555,9 +555,11 @@ _FAMILIES = [f"family-{x}{i}" for x in "ANR" for i in range(40) if i % 9]
 _IN = ", ".join(f"'{x}'" for x in _FAMILIES)
 
 
-@query(f"""@ q AS (SELECT record_id, kind, family, round, item, value, used_cache, 'In round we saw GA and ohio with ' || coalesce(value, 'x') || CASE WHEN record_id LIKE '%1-%' THEN ', cached' ELSE '' END AS quote FROM statements)
-    SELECT record_id, CASE WHEN family NOT IN ({_IN}) THEN 'family' WHEN item NOT IN ('GA', ' Georgia.', 'ohio') THEN 'item_not_in_quote' WHEN used_cache AND quote NOT LIKE '%cached' THEN 'used_cache_unsupported' END AS reason FROM q""", "statements")
-def g1_statement_rules(spark, sf):
+JUDGED = f"""@ q AS (SELECT record_id, kind, family, round, item, value, used_cache, 'In round we saw GA and ohio with ' || coalesce(value, 'x') || CASE WHEN record_id LIKE '%1-%' THEN ', cached' ELSE '' END AS quote FROM statements),
+    judged AS (SELECT record_id, CASE WHEN family NOT IN ({_IN}) THEN 'family' WHEN item NOT IN ('GA', ' Georgia.', 'ohio') THEN 'item_not_in_quote' WHEN used_cache AND quote NOT LIKE '%cached' THEN 'used_cache_unsupported' END AS reason FROM q) """
+
+
+def _judged(spark, sf) -> DataFrame:
     s = view(spark, sf, "statements")
     q = F.concat(F.lit("In round we saw GA and ohio with "), F.coalesce("value", F.lit("x")), F.when(F.col("record_id").like("%1-%"), ", cached").otherwise(""))
     s = s.withColumn("quote", q).withColumns({c: F.lit(None).cast("string") for c in ("task_clock", "cohort_tier", "corrects_value")})
@@ -565,6 +567,18 @@ def g1_statement_rules(spark, sf):
     return gates.check_statements(s, texts, _FAMILIES).select("record_id", "reason")
 
 
+@query(JUDGED + "SELECT record_id, reason FROM judged", "statements")
+def g1_statement_rules(spark, sf):
+    return _judged(spark, sf)
+
+
+@query(JUDGED + """, f AS (SELECT 'extract-' || (CAST(split_part(record_id, '-', 1) AS BIGINT) % 60) AS file, reason, count(*) AS n FROM judged GROUP BY ALL)
+    SELECT file, CAST(sum(n) AS BIGINT) AS statements, CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS rejected, (SELECT reason FROM f g WHERE g.file = f.file AND reason IS NOT NULL ORDER BY n DESC, reason LIMIT 1) AS worst FROM f GROUP BY file""", "statements")
+def g5_faults_by_file(spark, sf):
+    file = F.concat(F.lit("extract-"), (F.split("record_id", "-")[0].cast("long") % 60).cast("string"))
+    return gates.faults_by_file(_judged(spark, sf).withColumn("file", file))
+
+
 BATCHES = """@ p AS (SELECT CAST(page_id AS VARCHAR) AS record_id, host AS fam, 100 + page_id * 37 % 900 AS chars, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id % 10, CAST(page_id AS VARCHAR)) AS k, page_id % 3 AS g FROM links),
     b(g, k, bin, used, n) AS (SELECT g, k, 0, chars, 1 FROM p WHERE k = 1 UNION ALL SELECT p.g, p.k, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.bin ELSE b.bin + 1 END, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.used + p.chars ELSE p.chars END, CASE WHEN b.used + p.chars <= 9000 AND b.n < 12 THEN b.n + 1 ELSE 1 END FROM b JOIN p ON p.g = b.g AND p.k = b.k + 1) """
 

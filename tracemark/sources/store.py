@@ -101,6 +101,38 @@ def ingest_turns(turns: DataFrame, sessions: DataFrame, agents: DataFrame, memor
     return reduce(DataFrame.unionByName, counted).agg(*[n(t) for t in tables], F.max("acted").alias("turns_with_action"))
 
 
+def snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str) -> None:
+    """Keep ``tables`` under ``version`` for readers that mustn't meet a writer: a whole version or none, and never one twice.
+
+    A draft is written first and renamed when all of its tables stand.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    draft, final = hadoop(f"{path}/_draft-{version}"), hadoop(f"{path}/{version}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise FileExistsError(f"{path}/{version}")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/_draft-{version}/{name}")
+    if not fs.rename(draft, final):
+        raise OSError(f"can't keep {path}/{version}")
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions kept, in order of name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in names if not n.startswith("_"))
+
+
+def read_snapshot(spark: SparkSession, path: str, table: str, version: str | None = None) -> DataFrame:
+    """A table of a version, the last one if none is named."""
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"{path}/{version or ''}")
+    return spark.read.parquet(f"{path}/{version or known[-1]}/{table}")
+
+
 def actions(turns: DataFrame, agent: str, start, end, types=None, grep: str | None = None, limit: int = 200, max_chars: int = 300) -> DataFrame:
     """An agent's turns of [start, end) in order; ``agent`` and ``grep`` are LIKE patterns within."""
     t = turns.filter(F.col("ts").isNotNull() & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")) & F.lower("agent").like(f"%{agent.lower()}%"))
