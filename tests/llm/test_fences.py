@@ -27,7 +27,7 @@ def found(spark):
     rows += [(5000, _text(rng, 200, 5, 6), "en", "plain"), (5001, _text(rng, 200, 5, 6), "en", "refrains")]
     rows += [(5002, _text(rng, 200, 0, 3), "en", "plain"), (5003, None, "en", "plain"), (5004, _text(rng, 200, 0, 10), "en", "plain")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    return {r.doc_id: r for r in rules.quality_rules(d).collect()}
+    return {r.doc_id: r for r in rules.quality_rules(d, prior=50.0).collect()}
 
 
 def test_repeats_below_the_base_rule_are_judged_by_the_group(found):
