@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 HOUR = 3_600_000_000
 START = 1_780_272_000_000_000  # 2026-06-01 00:00 UTC in microseconds
 
-#: name: SQL with {ISO(x)}, {TS(x)} for an ISO time and a timestamp of microseconds x, {US(x)} back.
+#: Letters whose capitals are several letters in Spark (ß: SS) and one in DuckDB (ẞ), with that one.
+CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+_CAPITAL = ", ".join(f"'{c}', '{big}'" for c, big in CAPITALS.items())
+
+#: name: SQL with {ISO(x)}, {TS(x)} for an ISO time and a timestamp of microseconds x, {US(x)} back, {UP(x)} for capitals one for one.
 VIEWS = {
     "messages": f"""
         SELECT concat('chat:msg:', md5(concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)))) AS event_id, 'chat' AS source,
@@ -29,7 +33,7 @@ VIEWS = {
     "channels": "SELECT DISTINCT channel_id, 'chat' AS source, CASE WHEN channel_id = 'chat:room:6' THEN 'session' ELSE 'chat_room' END AS kind, substr(channel_id, 6) AS name FROM messages WHERE channel_id IS NOT NULL",
     "citations": """
         SELECT CASE WHEN conv_id % 17 = 0 THEN substr(event_id, 10, 4) WHEN conv_id % 17 = 1 THEN 'ffffffffffff' WHEN conv_id % 17 = 2 THEN event_id ELSE substr(event_id, 10, 10) END AS ref,
-               CASE WHEN turn % 6 = 0 THEN substr(text, 3, 40) WHEN turn % 6 = 1 THEN upper(substr(text, 1, 30)) WHEN turn % 6 = 2 THEN 'words that nobody has said' WHEN turn % 6 = 3 THEN text WHEN turn % 6 = 4 THEN substr(text, 1, 5) ELSE '   ' END AS quote,
+               CASE WHEN turn % 6 = 0 THEN substr(text, 3, 40) WHEN turn % 6 = 1 THEN {UP(substr(text, 1, 30))} WHEN turn % 6 = 2 THEN 'words that nobody has said' WHEN turn % 6 = 3 THEN text WHEN turn % 6 = 4 THEN substr(text, 1, 5) ELSE '   ' END AS quote,
                concat('c', CAST(conv_id AS STRING)) AS claim_key, concat('m', CAST(conv_id % 3 AS STRING)) AS model, turn AS n, CAST(conv_id % 4 AS INT) AS count
         FROM messages""",
     "statements": f"""
@@ -65,19 +69,19 @@ NEEDS = {"actors": ["messages"], "channels": ["messages"], "citations": ["messag
 TABLES = ("conversations", "lineitem", "events", "labels", "pages", "documents", "orders", "customer", "nation")
 
 
-def _render(sql: str, ts: str, iso: str, us: str, group: str) -> str:
+def _render(sql: str, ts: str, iso: str, us: str, up: str, group: str) -> str:
     """Fill in the placeholders (their arguments hold balanced parentheses)."""
-    for name, shape in (("TS", ts), ("ISO", iso), ("US", us)):
+    for name, shape in (("TS", ts), ("ISO", iso), ("US", us), ("UP", up)):
         sql = re.sub(rf"\{{{name}\((.*?)\)\}}", lambda m, shape=shape: shape.replace("?", m[1]), sql)
     return sql.replace("'$1'", f"'{group}'")
 
 
 def spark_sql(name: str) -> str:
-    return _render(VIEWS[name], "timestamp_micros(?)", "date_format(timestamp_micros(?), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", "unix_micros(CAST(? AS TIMESTAMP))", "$1")
+    return _render(VIEWS[name], "timestamp_micros(?)", "date_format(timestamp_micros(?), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")", "unix_micros(CAST(? AS TIMESTAMP))", f"array_join(transform(split(?, ''), c -> coalesce(try_element_at(map({_CAPITAL}), c), upper(c))), '')", "$1")
 
 
 def duck_sql(name: str) -> str:
-    out = _render(VIEWS[name], "make_timestamp(?)", "strftime(make_timestamp(?), '%Y-%m-%dT%H:%M:%SZ')", "epoch_us(?)", "\\1")
+    out = _render(VIEWS[name], "make_timestamp(?)", "strftime(make_timestamp(?), '%Y-%m-%dT%H:%M:%SZ')", "epoch_us(?)", "upper(?)", "\\1")
     return out
 
 
