@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemark.operators import asof, saydo
 
@@ -86,3 +87,16 @@ def test_nothing(spark):
     assert asof.last_of_others(points, items, ["n"], "at", "agent").count() == 0
     assert asof.next_item(spark.createDataFrame([], POINT), items, ["n"], "at").count() == 0
     assert {r.n_items for r in asof.items_before(points, items, ["n"], "at").collect()} == {0}
+
+
+def test_running(tables):
+    p, i, points, items = tables
+    known = _by_key(i)
+    want = {}
+    for pid, n, at, *_ in p:
+        if n is not None and at is not None:
+            met = [(t, what) for t, _, what in known.get(n, ()) if t <= at]
+            want[pid] = (len(met), sum(what % 2 for _, what in met), max((t for t, what in met if what % 2), default=None), max(met, default=None))
+    odd = F.col("what") % 2 == 1
+    got = asof.running(points, items, ["n"], "at", {"all": F.lit(True), "odd": odd}, {"last": F.when(odd, F.col("at")), "pair": F.struct("at", "what")})
+    assert {r.pid: (r["all"], r.odd, r.last, r.pair and tuple(r.pair)) for r in got.collect()} == want

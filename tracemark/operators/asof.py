@@ -10,7 +10,7 @@ A point without a key or time finds nothing; items without one, or of no agent,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +50,21 @@ def items_before(points: DataFrame, items: DataFrame, keys: list[str], at: str,
     return found.select(*points.columns, (F.col("_own") + F.col("_before")).alias("n_items"))
 
 
+def running(points: DataFrame, items: DataFrame, keys: list[str], at: str, counts: dict[str, Column], greatest: dict[str, Column]) -> DataFrame:
+    """``points`` with figures of the items of its keys up to the point: how many fulfil each condition of ``counts``, and the greatest of each column of ``greatest``."""
+    both = [(k, F.sum) for k in counts] + [(k, F.max) for k in greatest]
+    i = items.select(*keys, at, *[F.when(c, 1).otherwise(0).cast("long").alias(k) for k, c in counts.items()], *[c.alias(k) for k, c in greatest.items()])
+    table = _merged(points, i, keys, at, points_first=False)
+    upto = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    table = table.select("*", *[f(F.col("_item")[k]).over(upto).alias(f"_own_{k}") for k, f in both])
+    parts = table.groupBy("_part", *keys).agg(*[f(F.col("_item")[k]).alias(f"_all_{k}") for k, f in both])
+    parts = parts.select("_part", *keys, *[f(f"_all_{k}").over(earlier(keys, "_part")).alias(f"_before_{k}") for k, f in both])
+    found = with_part_figures(table.filter("_item IS NULL"), parts, keys)
+    zero = F.lit(0).cast("long")
+    total = [(F.coalesce(f"_own_{k}", zero) + F.coalesce(f"_before_{k}", zero)).alias(k) for k in counts]
+    return found.select(*points.columns, *total, *[F.array_max(F.array(f"_own_{k}", f"_before_{k}")).alias(k) for k in greatest])
+
+
 def _last_two(rows: DataFrame, group: list[str], order: list[str], agent: str, last: str, other: str) -> DataFrame:
     """``rows`` with the last ``_item`` so far and the last one of another agent than that."""
     before = earlier(group, *order)
