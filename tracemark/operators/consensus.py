@@ -17,10 +17,12 @@ FIRST_HAND = ("observed_prompt", "answered")
 AHEAD = ("predicted", "relayed")
 UNIT = ["family", "round", "item"]
 _ORDER = ["wall_time", "record_id"]
+#: Items that are broadcast with their normal forms; more of them are joined over SPREAD copies, so that no item is one task's.
+FEW_ITEMS, SPREAD = 16_381, 64
 _READ = ("record_id", "wall_time", "signature", "family", "round", "item", "value", "kind", "used_cache")
 
 
-def _base(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def base(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, statements with rounds, those of them that have one): all metrics below read them several times, so the
     normal forms and the units are worked out once and kept as tables."""
     s = stored(s.sparkSession, s.select(*[c for c in _READ if c in s.columns]), "statements")
@@ -33,7 +35,15 @@ def prepared(statements: DataFrame) -> DataFrame:
     """Statements with a usable time; item and value in normal form (an item's is worked out once, not in every row)."""
     s = statements.withColumn("wall_time", T.norm_time(F.col("wall_time"))).filter("wall_time <> ''")
     items = statements.select(F.col("item").alias("_item")).distinct().withColumn("_norm", T.norm_item(F.col("_item")))
-    s = s.join(items, F.col("item").eqNullSafe(F.col("_item")), "left").withColumn("item", F.col("_norm")).drop("_item", "_norm")
+    items = stored(statements.sparkSession, items, "items")
+    same = F.col("item").eqNullSafe(F.col("_item"))
+    if items.count() <= FEW_ITEMS:
+        items = F.broadcast(items)
+    else:
+        s = s.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SPREAD)))
+        items = items.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        same = same & (F.col("_salt") == F.col("_copy"))
+    s = s.join(items, same, "left").withColumn("item", F.col("_norm")).drop("_item", "_norm", "_salt", "_copy")
     return s.withColumn("value", F.nullif(T.digits(F.col("value")), F.lit("")))
 
 
@@ -91,7 +101,7 @@ def receivers(s: DataFrame, r: DataFrame) -> DataFrame:
 
 def unit_table(s: DataFrame) -> DataFrame:
     """One row per unit with consensus, reveal and its receivers' counts."""
-    u, _, rows = _base(s)
+    u, _, rows = base(s)
     r = reveals(rows, consensus(rows, u))
     n = receivers(rows, r).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("receivers"), F.count_if("exposed").alias("exposed"), F.count_if("confirmed").alias("confirmed_use"))
     return r.join(n, UNIT, "left").fillna(0, ["receivers", "exposed", "confirmed_use"])
@@ -99,7 +109,7 @@ def unit_table(s: DataFrame) -> DataFrame:
 
 def totals(s: DataFrame) -> DataFrame:
     """The metrics document's headline figures, one row."""
-    u, every, rows = _base(s)
+    u, every, rows = base(s)
     r = reveals(rows, consensus(rows, u))
     v = receivers(rows, r)
     a = v.agg(F.count(F.lit(1)).alias("receiver_rounds"), F.count_if("exposed").alias("exposed_upper"), F.count_if("confirmed").alias("confirmed_use"), F.round(F.median("lead_minutes"), 4).alias("lead_minutes_median"))
@@ -115,7 +125,7 @@ def totals(s: DataFrame) -> DataFrame:
 
 def wrong_values(s: DataFrame) -> DataFrame:
     """Other values of a unit, with their distinct signers; without a consensus every value is other."""
-    u, _, rows = _base(s)
+    u, _, rows = base(s)
     said = _signed(rows).filter(F.col("kind").isin(*FIRST_HAND, "relayed") & F.col("value").isNotNull())
     j = said.join(consensus(rows, u), UNIT).filter(~F.col("value").eqNullSafe(F.col("consensus_value")))
     return j.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n_signatures"))
@@ -123,7 +133,7 @@ def wrong_values(s: DataFrame) -> DataFrame:
 
 def wrong_predictions(s: DataFrame) -> DataFrame:
     """Predicted items that aren't units although their family and round has one."""
-    u, _, rows = _base(s)
+    u, _, rows = base(s)
     p = rows.filter("kind = 'predicted'").join(u.select(*UNIT), UNIT, "left_anti").join(u.select("family", "round"), ["family", "round"], "left_semi")
     return p.groupBy(*UNIT).agg(F.sort_array(F.collect_set("value")).alias("values"), F.countDistinct(F.nullif("signature", F.lit(""))).alias("n_signatures"), F.min("wall_time").alias("first_time"))
 
@@ -133,7 +143,7 @@ def foreknowledge(s: DataFrame) -> DataFrame:
 
     The earlier rows of others are found from the two earliest signers of a unit, not by a self-join.
     """
-    u, _, rows = _base(s)
+    u, every, rows = base(s)
     c = consensus(rows, u)
     fh = first_hand(rows, u).select(*UNIT, "signature", F.col("wall_time").alias("fh_time"), F.col("record_id").alias("fh_record"))
     ahead = _signed(rows).filter(F.col("kind").isin(*AHEAD)).join(fh, [*UNIT, "signature"]).filter("wall_time < fh_time AND record_id <> fh_record").join(c.select(*UNIT, "consensus_value"), UNIT)
@@ -141,7 +151,7 @@ def foreknowledge(s: DataFrame) -> DataFrame:
     starts = _signed(rows).join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("t"))
     two = starts.withColumn("k", F.row_number().over(Window.partitionBy(*UNIT).orderBy("t", "signature"))).filter("k <= 2")
     two = two.groupBy(*UNIT).agg(F.max(F.when(F.col("k") == 1, F.col("signature"))).alias("s1"), F.min("t").alias("t1"), F.max(F.when(F.col("k") == 2, F.col("t"))).alias("t2"), F.max(F.when(F.col("k") == 2, F.col("signature"))).alias("s2"))
-    family = _signed(s).groupBy("family", "signature").agg(F.min("wall_time").alias("family_time"))
+    family = _signed(every).groupBy("family", "signature").agg(F.min("wall_time").alias("family_time"))
     j = fh.join(a, [*UNIT, "signature"], "left").join(two, UNIT, "left").join(family, ["family", "signature"], "left")
     other = F.when(F.col("s1") == F.col("signature"), F.col("t2")).otherwise(F.col("t1"))
     no = lambda x: F.coalesce(x, F.lit(False))
@@ -189,7 +199,7 @@ def scouts(checked: DataFrame) -> DataFrame:
 def scout_shares(s: DataFrame, group: DataFrame) -> DataFrame:
     """(what, n, by_group, share): the group's part in statements of the units' families, first reveals, first mentions of a
     unit, and in what others said before a case of foreknowledge."""
-    u, _, rows = _base(s)
+    u, _, rows = base(s)
     r = reveals(rows, consensus(rows, u))
     said = _signed(s).join(u.select("family").distinct(), "family", "left_semi")
     first = _signed(s).filter("round IS NOT NULL").join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT).agg(F.min(F.struct(*_ORDER, "signature")).alias("f"))

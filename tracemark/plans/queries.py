@@ -512,9 +512,7 @@ def r7_survival(spark, sf):
 @query(PREPARED + """SELECT family, round, item, 'receiver' AS role, record_id, wall_time, signature FROM recv
     UNION ALL SELECT r.family, r.round, r.item, 'reveal' AS role, min(r.record_id) AS record_id, v.reveal_time AS wall_time, v.revealer AS signature FROM reveal v JOIN rows r ON r.family = v.family AND r.round = v.round AND r.item = v.item AND r.value = v.consensus_value AND r.wall_time = v.reveal_time AND r.kind IN ('observed_prompt', 'answered', 'relayed') GROUP BY r.family, r.round, r.item, v.reveal_time, v.revealer""", "statements")
 def m14_evidence_rows(spark, sf):
-    s = _statements(spark, sf)
-    u = consensus.units(s)
-    rows = consensus.with_rounds(s, u).filter("round IS NOT NULL")
+    u, _, rows = consensus.base(_statements(spark, sf))
     return summaries.evidence_rows(rows, consensus.consensus(rows, u))
 
 
