@@ -1,7 +1,8 @@
 """Consensus, exposure and foreknowledge over extracted statements.
 
 A unit is (family, round, item) with at least two first-hand signers.  Everything below is joins,
-aggregations and windows keyed by the unit; statements are normalized once.
+aggregations and windows keyed by the unit; statements are normalized once.  Statements are aggregated before they
+are joined, so that what is shuffled grows with the units, their values and signers, not with the statements.
 """
 
 from __future__ import annotations
@@ -64,26 +65,31 @@ def with_rounds(s: DataFrame, u: DataFrame) -> DataFrame:
 
 def consensus(s: DataFrame, u: DataFrame) -> DataFrame:
     """(unit, consensus_value): most distinct first-hand signers, then the earliest."""
-    votes = _signed(s).filter(F.col("kind").isin(*FIRST_HAND) & F.col("value").isNotNull()).join(u.select(*UNIT), UNIT, "left_semi")
+    votes = _signed(s).filter(F.col("kind").isin(*FIRST_HAND) & F.col("value").isNotNull())
     n = votes.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n"), F.min(F.struct(*_ORDER)).alias("first"))
     best = n.groupBy(*UNIT).agg(F.min_by("value", F.struct(-F.col("n"), F.col("first"), F.col("value"))).alias("consensus_value"))
     return u.join(best, UNIT, "left")
 
 
 def first_hand(s: DataFrame, u: DataFrame) -> DataFrame:
-    """The first first-hand row of each signer of a unit."""
-    rows = _signed(s).filter(F.col("kind").isin(*FIRST_HAND)).join(u.select(*UNIT), UNIT, "left_semi")
-    w = Window.partitionBy(*UNIT, "signature").orderBy(*_ORDER)
-    cached = F.max(F.coalesce("used_cache", F.lit(False))).over(Window.partitionBy(*UNIT, "signature"))
-    return rows.withColumn("_k", F.row_number().over(w)).withColumn("any_cache", cached).filter("_k = 1").drop("_k")
+    """(unit, signature, wall_time, record_id, any_cache): the first first-hand row of each signer of a unit, and whether any of them used the cache."""
+    rows = _signed(s).filter(F.col("kind").isin(*FIRST_HAND))
+    first = rows.groupBy(*UNIT, "signature").agg(F.min(F.struct(*_ORDER)).alias("f"), F.max(F.coalesce("used_cache", F.lit(False))).alias("any_cache"))
+    return first.join(u.select(*UNIT), UNIT, "left_semi").select(*UNIT, "signature", "f.*", "any_cache")
 
 
 def reveals(s: DataFrame, c: DataFrame) -> DataFrame:
     """(unit, consensus_value, n_first_hand, reveal_time, revealer): the first row that carries the value."""
-    rows = s.filter(F.col("kind").isin(*FIRST_HAND, "relayed")).withColumnRenamed("value", "consensus_value")
-    hit = rows.join(c.filter("consensus_value IS NOT NULL").select(*UNIT, "consensus_value"), [*UNIT, "consensus_value"], "left_semi")
-    first = hit.groupBy(*UNIT).agg(F.min(F.struct(*_ORDER, "signature")).alias("r"))
-    return c.join(first.select(*UNIT, F.col("r.wall_time").alias("reveal_time"), F.col("r.signature").alias("revealer")), UNIT, "left")
+    rows = s.filter(F.col("kind").isin(*FIRST_HAND, "relayed") & F.col("value").isNotNull())
+    first = rows.groupBy(*UNIT, F.col("value").alias("consensus_value")).agg(F.min(F.struct(*_ORDER, "signature")).alias("r"))
+    first = first.select(*UNIT, "consensus_value", F.col("r.wall_time").alias("reveal_time"), F.col("r.signature").alias("revealer"))
+    return c.join(first, [*UNIT, "consensus_value"], "left").select(*c.columns, "reveal_time", "revealer")
+
+
+def told(s: DataFrame, u: DataFrame) -> DataFrame:
+    """The units with their consensus and reveal, worked out once and kept as a table."""
+    c = stored(s.sparkSession, consensus(s, u), "consensus")
+    return stored(s.sparkSession, reveals(s, c), "reveals")
 
 
 def lead_minutes():
@@ -102,7 +108,7 @@ def receivers(s: DataFrame, r: DataFrame) -> DataFrame:
 def unit_table(s: DataFrame) -> DataFrame:
     """One row per unit with consensus, reveal and its receivers' counts."""
     u, _, rows = base(s)
-    r = reveals(rows, consensus(rows, u))
+    r = told(rows, u)
     n = receivers(rows, r).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("receivers"), F.count_if("exposed").alias("exposed"), F.count_if("confirmed").alias("confirmed_use"))
     return r.join(n, UNIT, "left").fillna(0, ["receivers", "exposed", "confirmed_use"])
 
@@ -110,7 +116,7 @@ def unit_table(s: DataFrame) -> DataFrame:
 def totals(s: DataFrame) -> DataFrame:
     """The metrics document's headline figures, one row."""
     u, every, rows = base(s)
-    r = reveals(rows, consensus(rows, u))
+    r = told(rows, u)
     v = receivers(rows, r)
     a = v.agg(F.count(F.lit(1)).alias("receiver_rounds"), F.count_if("exposed").alias("exposed_upper"), F.count_if("confirmed").alias("confirmed_use"), F.round(F.median("lead_minutes"), 4).alias("lead_minutes_median"))
     share = lambda c: F.when(F.col("receiver_rounds") > 0, F.round(F.col(c) / F.col("receiver_rounds"), 4))
@@ -127,15 +133,16 @@ def wrong_values(s: DataFrame) -> DataFrame:
     """Other values of a unit, with their distinct signers; without a consensus every value is other."""
     u, _, rows = base(s)
     said = _signed(rows).filter(F.col("kind").isin(*FIRST_HAND, "relayed") & F.col("value").isNotNull())
-    j = said.join(consensus(rows, u), UNIT).filter(~F.col("value").eqNullSafe(F.col("consensus_value")))
-    return j.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n_signatures"))
+    n = said.groupBy(*UNIT, "value").agg(F.countDistinct("signature").alias("n_signatures"))
+    j = n.join(consensus(rows, u), UNIT).filter(~F.col("value").eqNullSafe(F.col("consensus_value")))
+    return j.select(*UNIT, "value", "n_signatures")
 
 
 def wrong_predictions(s: DataFrame) -> DataFrame:
     """Predicted items that aren't units although their family and round has one."""
     u, _, rows = base(s)
-    p = rows.filter("kind = 'predicted'").join(u.select(*UNIT), UNIT, "left_anti").join(u.select("family", "round"), ["family", "round"], "left_semi")
-    return p.groupBy(*UNIT).agg(F.sort_array(F.collect_set("value")).alias("values"), F.countDistinct(F.nullif("signature", F.lit(""))).alias("n_signatures"), F.min("wall_time").alias("first_time"))
+    p = rows.filter("kind = 'predicted'").groupBy(*UNIT).agg(F.sort_array(F.collect_set("value")).alias("values"), F.countDistinct(F.nullif("signature", F.lit(""))).alias("n_signatures"), F.min("wall_time").alias("first_time"))
+    return p.join(u.select(*UNIT), UNIT, "left_anti").join(u.select("family", "round"), ["family", "round"], "left_semi")
 
 
 def foreknowledge(s: DataFrame) -> DataFrame:
@@ -144,11 +151,11 @@ def foreknowledge(s: DataFrame) -> DataFrame:
     The earlier rows of others are found from the two earliest signers of a unit, not by a self-join.
     """
     u, every, rows = base(s)
-    c = consensus(rows, u)
-    fh = first_hand(rows, u).select(*UNIT, "signature", F.col("wall_time").alias("fh_time"), F.col("record_id").alias("fh_record"))
+    c = stored(s.sparkSession, consensus(rows, u), "consensus")
+    fh = stored(s.sparkSession, first_hand(rows, u), "firsts").select(*UNIT, "signature", F.col("wall_time").alias("fh_time"), F.col("record_id").alias("fh_record"))
     ahead = _signed(rows).filter(F.col("kind").isin(*AHEAD)).join(fh, [*UNIT, "signature"]).filter("wall_time < fh_time AND record_id <> fh_record").join(c.select(*UNIT, "consensus_value"), UNIT)
     a = ahead.groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("ahead_time"), F.max(F.coalesce(F.col("value") == F.col("consensus_value"), F.lit(False))).alias("value_ahead"))
-    starts = _signed(rows).join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("t"))
+    starts = _signed(rows).groupBy(*UNIT, "signature").agg(F.min("wall_time").alias("t")).join(u.select(*UNIT), UNIT, "left_semi")
     two = starts.withColumn("k", F.row_number().over(Window.partitionBy(*UNIT).orderBy("t", "signature"))).filter("k <= 2")
     two = two.groupBy(*UNIT).agg(F.max(F.when(F.col("k") == 1, F.col("signature"))).alias("s1"), F.min("t").alias("t1"), F.max(F.when(F.col("k") == 2, F.col("t"))).alias("t2"), F.max(F.when(F.col("k") == 2, F.col("signature"))).alias("s2"))
     family = _signed(every).groupBy("family", "signature").agg(F.min("wall_time").alias("family_time"))
@@ -175,8 +182,9 @@ def switchers(sided: DataFrame) -> DataFrame:
 
 def share_of(rows: DataFrame, group: DataFrame, key: str = "signature") -> DataFrame:
     """(n, by_group, share) of the rows whose key is among those of ``group``."""
-    marked = rows.join(group.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
-    out = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("_in").alias("by_group"))
+    marked = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(group.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    out = marked.agg(total(F.col("_n")).alias("n"), total(F.when(F.col("_in"), F.col("_n"))).alias("by_group"))
     return out.withColumn("share", F.when(F.col("n") > 0, F.round(F.col("by_group") / F.col("n"), 4)))
 
 
@@ -200,7 +208,7 @@ def scout_shares(s: DataFrame, group: DataFrame) -> DataFrame:
     """(what, n, by_group, share): the group's part in statements of the units' families, first reveals, first mentions of a
     unit, and in what others said before a case of foreknowledge."""
     u, _, rows = base(s)
-    r = reveals(rows, consensus(rows, u))
+    r = told(rows, u)
     said = _signed(s).join(u.select("family").distinct(), "family", "left_semi")
     first = _signed(s).filter("round IS NOT NULL").join(u.select(*UNIT), UNIT, "left_semi").groupBy(*UNIT).agg(F.min(F.struct(*_ORDER, "signature")).alias("f"))
     sources = foreknowledge(s).filter("earlier_other IS NOT NULL").select(F.col("earlier_other").alias("signature"))

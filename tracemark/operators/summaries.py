@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tracemark.operators.consensus import FIRST_HAND, UNIT, first_hand, reveals
 from tracemark.operators.intervals import holding
+from tracemark.plans.storage import stored
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -36,7 +37,7 @@ def reconciled(candidates: DataFrame, finals: DataFrame, key: str, columns: list
 
 def evidence_rows(s: DataFrame, c: DataFrame) -> DataFrame:
     """(unit, role, record_id, wall_time, signature): the reveal and each receiver's first row."""
-    r = reveals(s, c)
+    r = stored(s.sparkSession, reveals(s, c), "reveals")
     hit = s.filter(F.col("kind").isin(*FIRST_HAND, "relayed")).join(r.select(*UNIT, F.col("consensus_value").alias("value"), "reveal_time"), [*UNIT, "value"]).filter("wall_time = reveal_time")
     reveal = first_by(hit, UNIT, [F.col("record_id")]).select(*UNIT, F.lit("reveal").alias("role"), "record_id", "wall_time", "signature")
     got = first_hand(s, r).join(r.select(*UNIT, "revealer"), UNIT).filter(~F.coalesce(F.col("signature") == F.col("revealer"), F.lit(False)))
