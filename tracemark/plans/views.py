@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 HOUR = 3_600_000_000
 START = 1_780_272_000_000_000  # 2026-06-01 00:00 UTC in microseconds
 
-#: Letters whose capitals are several letters in Spark (ß: SS) and one in DuckDB (ẞ), with that one.
+#: Letters whose capitals are several letters in Spark (ß: SS) and one in DuckDB (ẞ), with that one; and those of Unicode 16, which DuckDB leaves as they are.
 CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
+CAPITALS |= {c: c for c in map(chr, (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86)))}
 _CAPITAL = ", ".join(f"'{c}', '{big}'" for c, big in CAPITALS.items())
 
 #: name: SQL with {ISO(x)}, {TS(x)} for an ISO time and a timestamp of microseconds x, {US(x)} back, {UP(x)} for capitals one for one.
